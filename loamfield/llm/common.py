@@ -1,13 +1,14 @@
-"""What the operators share: staged tables, document keys, Arrow helpers."""
+"""What the operators share: words, document keys, staged tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamfield.staging import fresh_dir, shared_dir, staged
+
+__all__ = ["SPACE", "SPACES", "WORD", "documents", "fresh_dir", "read", "shared_dir", "staged", "text_key", "words"]
+
 #: Code points that part words, in Java, RE2 and Python regular expressions alike.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -15,40 +16,6 @@ WORD = rf"[^{SPACE}]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (tests, local mode) a local folder is made and set.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        jsc = spark.sparkContext._jsc.sc()
-        at = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else tempfile.mkdtemp(prefix="loamfield-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loamfield/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    at = fresh_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
-def drop_staged(df: DataFrame) -> None:
-    """Delete the staged table behind ``df`` (made by :func:`staged`) once nothing will read it again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/loamfield/" in at:
-            path = jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def documents(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` alone, so that further columns can't clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
