@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamfield.staging import fresh_dir, shared_dir, staged
 
-__all__ = ["SPACE", "SPACES", "WORD", "documents", "fresh_dir", "read", "shared_dir", "staged", "text_key", "words"]
+__all__ = ["SPACE", "SPACES", "WORD", "documents", "fresh_dir", "read", "shared_dir", "split_by_partner", "staged", "text_key", "words"]
 
 #: Code points that part words, in Java, RE2 and Python regular expressions alike.
 SPACE = r"\x20\x09-\x0D"
@@ -33,3 +33,23 @@ def words(text) -> F.Column:
 
 def read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bits of the map that tells which rows may have a partner; it is broadcast, 2 MB at most whatever the tables hold.
+MAP_BITS = 1 << 24
+
+
+def split_by_partner(df: DataFrame, key: F.Column, partners: DataFrame, partner_key: F.Column) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose key may be among the partners' keys, and rows whose key surely isn't.
+
+    The keys are hashed to a bitmap of fixed size, so only the first part has to be shuffled for a join. A full map
+    merely leaves more rows in the first part; the join that follows is exact.
+    """
+    at = lambda k: F.pmod(F.xxhash64(k), F.lit(MAP_BITS)) + 1
+    maps = partners.select(at(partner_key).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits_"))
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    met = df.withColumn("h_", at(key)).withColumn("bucket_", F.bitmap_bucket_number("h_")).join(F.broadcast(maps), "bucket_", "left")
+    byte = F.conv(F.hex(F.expr("substring(bits_, cast(bitmap_bit_position(h_) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    may = F.coalesce((F.call_function("shiftright", byte, F.expr("cast(bitmap_bit_position(h_) % 8 as int)")) % 2 == 1), F.lit(False))
+    met = met.withColumn("may_", may)
+    return met.filter("may_").select(*cols), met.filter("not may_").select(*cols)

@@ -9,9 +9,8 @@ Lines that lack the same word position of the same rest differ by a replacement
 variant lacks one word. For each key the earliest line alone is needed, so groups of any size are reduced by
 map-side aggregation and no pairs of a group are made.
 
-One word edit leaves the first or the last part of a line as it was, so only lines that share such a part with
-another line can have a near line; the others emit no variants. Parts have 2^k words, at most half the line, and
-lines at a border of lengths emit parts of both sizes.
+One word edit leaves the first or the last half of a line as it was, so only lines that share such a half with
+another line of a fitting length can have a near line; the others emit no variants.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamfield.llm.common import SPACE, WORD, staged, text_key, words
+from loamfield.llm.common import SPACE, WORD, split_by_partner, staged, text_key, words
 
 
 @dataclass(frozen=True)
@@ -35,52 +34,51 @@ class Params:
 _OCC = "cast(coalesce(doc_id, -9223372036854775808) as decimal(20, 0)) * 4294967296 + pos"
 
 
-def _part(n: F.Column) -> F.Column:
-    return F.pow(F.lit(2), F.floor(F.log2(F.floor(n / 2)))).cast("int")
-
-
 def _lines(docs: DataFrame, p: Params) -> DataFrame:
     """One row for each line of at least min_words words, without its text."""
     df = docs.select("doc_id", text_key().alias("dk"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     df = df.select("doc_id", "dk", "pos", words(F.col("line")).alias("w")).withColumn("n", F.size("w")).filter(F.col("n") >= p.min_words)
     near = F.col("n") >= p.near_words
-    sizes = {"1": _part(F.col("n")), "2": _part(F.col("n") + 1)}
-    keys = {f"{side}{k}": F.when(near, F.xxhash64(F.slice("w", F.lit(1) if side == "h" else F.col("n") - m + 1, m), F.lit(side), m)) for k, m in sizes.items() for side in "ht"}
+    sizes = {"1": F.col("n"), "2": F.col("n") - 1}  # lines of n and n + 1 words meet at n
+    half = {k: F.floor(m / 2).cast("int") for k, m in sizes.items()}
+    keys = {f"{side}{k}": F.when(near, F.xxhash64(F.slice("w", F.lit(1) if side == "h" else F.col("n") - half[k] + 1, half[k]), F.lit(side), m)) for k, m in sizes.items() for side in "ht"}
     return df.select("doc_id", "dk", "pos", "n", F.xxhash64("w").alias("id1"), F.xxhash64("w", F.lit(1)).alias("id2"), *[c.alias(k) for k, c in keys.items()])
 
 
 def _near(docs: DataFrame, distinct: DataFrame, p: Params) -> DataFrame:
     """Ids of distinct lines with an earlier near line."""
     near = distinct.filter(F.col("n") >= p.near_words)
-    keys = near.select("id1", "id2", F.explode(F.array_distinct(F.array("h1", "t1", "h2", "t2"))).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id1").alias("a"), F.max("id1").alias("b"), F.min("id2").alias("c"), F.max("id2").alias("d")).filter("a <> b or c <> d").select("key")
-    alive = keys.join(shared, "key", "left_semi").select("id1", "id2").distinct()
-    alive = near.join(alive, ["id1", "id2"], "left_semi").select("id1", "id2", "n", "occ", F.expr("cast(floor(occ / 4294967296) as decimal(20, 0))").alias("d_"), F.expr("cast(occ - floor(occ / 4294967296) * 4294967296 as int)").alias("pos"))
+    keys = near.select("id1", F.explode(F.array_distinct(F.array("h1", "t1", "h2", "t2"))).alias("key"))
+    shared = keys.groupBy("key").agg(F.min("id1").alias("a"), F.max("id1").alias("b")).filter("a <> b").select("key")
+    alive = keys.join(shared, "key", "left_semi").select("id1").distinct()
+    alive = near.join(alive, "id1", "left_semi").select("id1", "id2", "n", "occ", F.expr("cast(floor(occ / 4294967296) as decimal(20, 0))").alias("d_"), F.expr("cast(occ - floor(occ / 4294967296) * 4294967296 as int)").alias("pos"))
     alive = staged(alive, "line-alive")
     wanted = alive.select(F.when(F.col("d_") != F.lit("-9223372036854775808").cast("decimal(20,0)"), F.col("d_").cast("long")).alias("doc"), "pos")
     wanted = wanted.groupBy("doc").agg(F.collect_list("pos").alias("at"))
-    text = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc"))).select(F.explode(F.expr("transform(at, i -> get(split(text, '\n'), i))")).alias("line"))
+    some, _ = split_by_partner(docs, F.col("doc_id"), wanted, F.col("doc"))
+    text = some.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc"))).select(F.explode(F.expr("transform(at, i -> get(split(text, '\n'), i))")).alias("line"))
     text = text.select(words(F.col("line")).alias("w")).select(F.xxhash64("w").alias("id1"), F.xxhash64("w", F.lit(1)).alias("id2"), "w").dropDuplicates(["id1", "id2"])
     full = staged(alive.select("id1", "id2", "n", "occ").join(text, ["id1", "id2"]), "line-words")
 
-    byline = Window.partitionBy("id1", "id2")
+    byline = Window.partitionBy("occ")  # a distinct line has a first place of its own
     run = byline.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h = {k: F.xxhash64("x", "i", F.lit(k)) for k in (1, 2)}
-    left = {k: F.xxhash64("x", F.col("i") - 1, F.lit(k)) for k in (1, 2)}
-    one = full.select("id1", "id2", "n", "occ", F.posexplode("w").alias("i", "x"))
-    one = one.withColumns({f"{what}{k}": F.bit_xor(col[k]).over(w) for k in (1, 2) for what, col, w in (("a", h, run), ("b", left, run), ("ta", h, byline), ("tb", left, byline))})
-    cut = {k: F.col(f"a{k}").bitwiseXOR(h[k]).bitwiseXOR(F.col(f"tb{k}")).bitwiseXOR(F.col(f"b{k}")) for k in (1, 2)}
-    whole = one.filter("i = 0").select(F.col("ta1").alias("k1"), F.col("ta2").alias("k2"), F.col("n").alias("left"), F.lit(-1).alias("i"), "id1", "id2", "occ")
-    variants = staged(one.select(cut[1].alias("k1"), cut[2].alias("k2"), (F.col("n") - 1).alias("left"), "i", "id1", "id2", "occ").unionByName(whole), "line-variants")
-
-    by = ["k1", "k2", "left"]
-    first = variants.groupBy(*by, "i").agg(F.min("occ").alias("least"), F.count(F.lit(1)).alias("c"))
-    swaps = variants.filter("i >= 0").join(first.filter("i >= 0 and c > 1").select(*by, "i", "least"), [*by, "i"]).filter("least < occ")
-    ends = first.groupBy(*by).agg(F.min(F.expr("if(i < 0, least, null)")).alias("zero"), F.min(F.expr("if(i >= 0, least, null)")).alias("one")).filter("zero is not null and one is not null")
-    moves = variants.join(ends, by).select("id1", "id2", "occ", F.when(F.col("i") < 0, F.col("one")).otherwise(F.col("zero")).alias("least")).filter("least < occ")
-    found = swaps.select("id1", "id2", "least").unionByName(moves.select("id1", "id2", "least")).distinct()
+    here, left = F.xxhash64("x", "i"), F.xxhash64("x", F.col("i") - 1)
+    one = full.select("n", "occ", F.posexplode("w").alias("i", "x")).select("n", "occ", "i", here.alias("a"), left.alias("b"))
+    one = one.withColumns({"ra": F.bit_xor("a").over(run), "rb": F.bit_xor("b").over(run), "ta": F.bit_xor("a").over(byline), "tb": F.bit_xor("b").over(byline)})
+    cut = F.col("ra").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("tb")).bitwiseXOR(F.col("rb"))
+    whole = one.filter("i = 0").select(F.col("ta").alias("k"), F.col("n").alias("left"), F.lit(-1).alias("i"), "occ")
+    variants = staged(one.select(cut.alias("k"), (F.col("n") - 1).alias("left"), "i", "occ").unionByName(whole), "line-variants")
+
+    group = variants.groupBy("k", "left", "i").agg(F.min("occ").alias("least"), F.count(F.lit(1)).alias("c"))
+    ends = group.groupBy("k", "left").agg(F.min(F.expr("if(i < 0, least, null)")).alias("zero"), F.min(F.expr("if(i >= 0, least, null)")).alias("one"), F.max(F.expr("if(i >= 0, c, 0)")).alias("most"))
+    ends = ends.filter("most > 1 or (zero is not null and one is not null)").select("k", "left", "zero", "one")
+    some = staged(variants.join(ends, ["k", "left"]), "line-met")
+    swaps = some.filter("i >= 0").groupBy("k", "left", "i").agg(F.min("occ").alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    swaps = some.join(swaps, ["k", "left", "i"]).select("occ", "least")
+    moves = some.select("occ", F.when(F.col("i") < 0, F.col("one")).otherwise(F.col("zero")).alias("least"))
+    found = swaps.unionByName(moves).filter("least < occ").distinct()
     other = full.select(F.col("occ").alias("least"), F.col("w").alias("v"), F.col("n").alias("m"))
-    found = found.join(full.select("id1", "id2", "n", "w"), ["id1", "id2"]).join(other, "least")
+    found = found.join(full, "occ").join(other, "least")
     return found.filter(_one_apart()).select("id1", "id2").distinct()
 
 
@@ -111,8 +109,10 @@ def dedup(df: DataFrame, p: Params = Params()) -> DataFrame:
     line's place is unique. An empty table gives an empty one.
     """
     gone = removed_lines(df.select("doc_id", "text"), p)
-    gone = gone.select(F.col("doc_id").alias("d_"), F.col("dk").alias("k_"), "gone", "n_near")
-    out = df.withColumn("dk_", text_key()).join(gone, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("dk_") == F.col("k_")), "left")
+    gone = staged(gone.select(F.col("doc_id").alias("d_"), F.col("dk").alias("k_"), "gone", "n_near"), "line-gone")
+    some, rest = split_by_partner(df.withColumn("dk_", text_key()), F.col("dk_"), gone, F.col("k_"))
+    out = some.join(gone, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("dk_") == F.col("k_")), "left")
+    out = out.unionByName(rest, allowMissingColumns=True)
     out = out.withColumn("all_", F.split("text", "\n")).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
     stays = F.expr("transform(array_except(sequence(0, size(all_) - 1), gone), i -> all_[i])")
     return out.withColumns({
