@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamfield.llm.common import documents, staged, text_key
+from loamfield.llm.common import documents, split_by_partner, staged, text_key
 
 U = np.uint64
 LENGTH = 400
@@ -303,6 +303,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def _texts_of(docs: DataFrame, carriers: DataFrame, length: int) -> DataFrame:
     """Segments with their bytes: ah, doc_id, tk, lo, body."""
     wanted = carriers.groupBy(F.col("c.doc_id").alias("d_"), F.col("c.tk").alias("t_")).agg(F.collect_list(F.struct("c.lo", "c.hi", "ah", "once")).alias("parts"))
+    docs, _ = split_by_partner(docs, F.col("tk"), wanted, F.col("t_"))
     met = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("tk") == F.col("t_"))).select("doc_id", "tk", "text", "parts")
 
     def run(batches):
@@ -376,7 +377,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     docs = documents(docs).select("doc_id", F.pmod(text_key(), F.lit(2147483647)).cast("int").alias("tk"), F.coalesce("text", F.lit("")).alias("text"))
     found = repeats(docs, length, gram, shard)
     found = found.groupBy(F.col("doc_id").alias("d_"), F.col("tk").alias("t_")).agg(F.collect_set(F.struct("a", "b")).alias("cover"))
-    met = docs.join(found, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("tk") == F.col("t_")), "left").select("doc_id", "text", "cover")
+    found = staged(found, "cover")
+    some, rest = split_by_partner(docs, F.col("tk"), found, F.col("t_"))
+    met = some.join(found, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("tk") == F.col("t_")), "left").unionByName(rest, allowMissingColumns=True).select("doc_id", "text", "cover")
 
     def run(batches):
         for b in batches:
