@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamfield.llm.common import staged
+from loamfield.llm.common import split_by_partner, staged
 
 U = np.uint64
 #: Bits of a token in the proof that a class stands alone; a collision only weakens the proof.
@@ -189,7 +189,9 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     alone = tokens.filter("c = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("alone"))
     alive = classes.select("cid", "n", "rep").join(alone, "cid", "left").filter(F.coalesce("alone", F.lit(0)) < prefix)
     alive = alive.select("cid", F.col("rep.doc_id").alias("d_"), F.col("rep.tk").alias("t_"))
-    texts = docs.join(alive, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("tk") == F.col("t_"))).select("cid", "text")
+    alive = staged(alive, "alive")
+    some, _ = split_by_partner(docs, F.col("tk"), alive, F.col("t_"))
+    texts = some.join(alive, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("tk") == F.col("t_"))).select("cid", "text")
     sets = staged(_full_sets(texts, p).dropDuplicates(["cid"]), "sets")
 
     each = sets.select("cid", F.explode("tokens").alias("t"))
@@ -225,5 +227,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs.select("doc_id", "text"), Params())
     gone = found.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("g_"), F.col("tk").alias("k_")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.xxhash64("doc_id", "text").alias("tk_"), F.col("doc_id").alias("d_"))
-    kept = rows.join(gone, F.col("d_").eqNullSafe(F.col("g_")) & (F.col("tk_") == F.col("k_")), "left_anti")
-    return kept.select("row_.*")
+    gone = staged(gone, "gone")
+    some, rest = split_by_partner(rows, F.col("tk_"), gone, F.col("k_"))
+    kept = some.join(gone, F.col("d_").eqNullSafe(F.col("g_")) & (F.col("tk_") == F.col("k_")), "left_anti")
+    return kept.unionByName(rest).select("row_.*")
