@@ -122,7 +122,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, with their failing lines removed (and n_chars counted anew); the columns of ``docs``."""
     judged = _judged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col("text")), Rules())
     swap = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return judged.filter("kept").select(*[swap.get(c, F.col(f"row_.`{c}`")).alias(c) for c in docs.columns])
+    # the numbering keeps the filter above the counts; pushed below them it would compute each of them again and again
+    judged = judged.withColumn("row_no_", F.monotonically_increasing_id()).filter("kept and row_no_ >= 0")
+    return judged.select(*[swap.get(c, F.col(f"row_.`{c}`")).alias(c) for c in docs.columns])
 
 
 _W = rf"regexp_extract_all(coalesce(text, ''), '{WORD}')"
