@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 CHUNKS = "doc_id long, chunk_index int, start_pos int, end_pos int, text string"
 SEPARATORS = ("\n\n", "\n", ". ", " ")
@@ -49,6 +50,39 @@ def recursive(text: str, size: int = 512, separators: tuple[str, ...] = SEPARATO
     return out + ([held.strip()] if held.strip() else [])
 
 
+def code(text: str, size: int = 512, separators: tuple[str, ...] = ("\nclass ", "\ndef ", "\n\n", "\n", " ")) -> list[str]:
+    """Segments that each begin with the separator they were parted at; those that are too long go to the next separator."""
+    if len(text) <= size:
+        return [text.strip()] if text.strip() else []
+    if not separators:
+        return [x for i in range(0, len(text), size) if (x := text[i : i + size].strip())]
+    sep, head, *rest = separators[0], *text.split(separators[0])
+    return [x for part in [head, *[sep + r for r in rest]] for x in code(part, size, separators[1:])]
+
+
+def breadcrumbs(sections: DataFrame, depth: int = 6) -> DataFrame:
+    """``sections`` (doc, place, level, heading) with ``path``: the headings that are open at each section, by " > ".
+
+    A heading closes those of its level and of deeper ones; a section without a level stands below what is open.
+    """
+    w = Window.partitionBy("doc").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = F.struct("place", "heading")
+    for n in range(1, depth + 1):
+        sections = sections.withColumn(f"at_{n}", F.max(F.when(F.col("level") == n, here)).over(w)).withColumn(f"up_{n}", F.max(F.when(F.col("level") < n, F.col("place"))).over(w))
+    open_ = [F.when(F.col(f"at_{n}.place") > F.coalesce(F.col(f"up_{n}"), F.lit(-1)), F.col(f"at_{n}.heading")) for n in range(1, depth + 1)]
+    return sections.withColumn("path", F.concat_ws(" > ", *open_)).drop(*[f"{x}_{n}" for n in range(1, depth + 1) for x in ("at", "up")])
+
+
+def merged(sections: DataFrame, depth: int = 2) -> DataFrame:
+    """doc, part, heading, n_sections, text: each heading of level ``depth`` or less opens a part, which takes the sections
+    (doc, place, level, heading, text) up to the next; what comes before the first heading is part 0."""
+    opens = F.coalesce((F.col("level") <= depth), F.lit(False))
+    s = sections.withColumn("opens", opens).withColumn("part", F.sum(opens.cast("int")).over(Window.partitionBy("doc").orderBy("place")))
+    x = F.sort_array(F.collect_list(F.struct("place", "text")))  # one document's sections at most
+    s = s.groupBy("doc", "part").agg(F.max(F.when(F.col("opens"), F.col("heading"))).alias("heading"), F.count(F.lit(1)).alias("n_sections"), x.alias("x"))
+    return s.select("doc", "part", "heading", "n_sections", F.concat_ws("\n\n", "heading", F.array_join("x.text", "\n")).alias("text"))
+
+
 def chunk(docs: DataFrame, how: str = "fixed", size: int = 512, overlap: int = 50) -> DataFrame:
     """Chunks of ``docs`` (doc_id, text); null and blank texts have none."""
     _check(size, overlap)
@@ -60,6 +94,12 @@ def chunk(docs: DataFrame, how: str = "fixed", size: int = 512, overlap: int = 5
                 t = t if isinstance(t, str) else ""
                 if how == "fixed":
                     rows += [(d, i, *c) for i, c in enumerate(fixed(t, size, overlap))]
+                elif how == "code":
+                    at = 0
+                    for i, p in enumerate(code(t, size)):
+                        at = t.index(p, at)
+                        rows.append((d, i, at, at + len(p), p))
+                        at += len(p)
                 else:
                     parts, at = recursive(t, size), 0
                     for i, p in enumerate(parts):

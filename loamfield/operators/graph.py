@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamfield.staging import staged
@@ -42,3 +42,37 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
         if i % 5 == 4:
             score = staged(score, "pagerank")
     return score
+
+
+def incident(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Edges with an end among ``chosen`` (node), each once."""
+    ends = [edges.join(chosen.select(F.col("node").alias(c)), c, "left_semi").select(edges.columns) for c in ("src", "dst")]
+    return ends[0].unionByName(ends[1]).distinct()
+
+
+def rank_edges(edges: DataFrame, chosen: DataFrame, degree: DataFrame, k: int = 10) -> DataFrame:
+    """src, dst, inside, rank: edges between chosen nodes by the sum of degrees, then those that leave, by how many chosen
+    nodes their outer end meets and the sum of degrees; of these, k for each chosen node where there are two or more."""
+    mark = lambda c: chosen.select(F.col("node").alias(c), F.lit(1).alias(f"in_{c}"))
+    weight = lambda c: degree.select(F.col("node").alias(c), F.col("degree").alias(f"deg_{c}"))
+    e = incident(edges.select("src", "dst"), chosen).join(mark("src"), "src", "left").join(mark("dst"), "dst", "left")
+    e = e.join(weight("src"), "src", "left").join(weight("dst"), "dst", "left").fillna(0)
+    e = e.withColumns({"inside": F.col("in_src") + F.col("in_dst") == 2, "sum_": F.col("deg_src") + F.col("deg_dst")})
+    outer = e.withColumns({"outer": F.when(F.col("in_src") == 1, F.col("dst")).otherwise(F.col("src")), "mine": F.when(F.col("in_src") == 1, F.col("src")).otherwise(F.col("dst"))})
+    met = outer.filter("not inside").groupBy("outer").agg(F.countDistinct("mine").alias("partners"))
+    e = outer.join(met, "outer", "left").withColumn("partners", F.when(F.col("inside"), 0).otherwise(F.col("partners")))
+    w = Window.partitionBy("inside").orderBy(F.desc("partners"), F.desc("sum_"), "src", "dst")
+    e = e.withColumn("rank", F.row_number().over(w)).crossJoin(F.broadcast(chosen.agg((F.count(F.lit(1)) * k).alias("most"))))  # one row
+    return e.filter("inside or rank <= most").select("src", "dst", "inside", "rank")
+
+
+def chunk_order(cited: DataFrame) -> DataFrame:
+    """chunk, entity, n from ``cited`` (place, entity, chunk, n): each chunk stands with the first entity that has it."""
+    return cited.groupBy("chunk").agg(F.min_by(F.struct("entity", "n"), F.struct("place", "entity")).alias("x")).select("chunk", "x.entity", "x.n")
+
+
+def order_communities(members: DataFrame, reports: DataFrame, chosen: DataFrame) -> DataFrame:
+    """community, n_chosen, rank: communities (community, report) by how many chosen nodes they hold; blank reports are skipped."""
+    n = members.join(chosen, "node", "left_semi").distinct().groupBy("community").agg(F.count(F.lit(1)).alias("n_chosen"))
+    told = reports.filter(F.trim(F.coalesce("report", F.lit(""))) != "").select("community").join(n, "community")
+    return told.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_chosen"), "community")))  # a row for each community met

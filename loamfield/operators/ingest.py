@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,3 +55,27 @@ def exchanges(turns: DataFrame) -> DataFrame:
     return t.groupBy("conv_id", "pair").agg((F.count(F.lit(1)) - 1).alias("n_replies"), F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("x")).select(
         "conv_id", "pair", "n_replies", F.array_join(F.transform("x", lambda r: F.concat(F.initcap(r["role"]), F.lit(": "), r["text"])), "\n").alias("text")
     )
+
+
+def delete(tables: dict[str, DataFrame], gone: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
+    """Each of the tables without the rows of the documents in ``gone``."""
+    return {name: df.join(gone.select(key).distinct(), key, "left_anti").select(df.columns) for name, df in tables.items()}
+
+
+def stale(stamps: DataFrame, model: str, dim: int) -> DataFrame:
+    """Rows of ``stamps`` (doc_id, model, dim) that were embedded by another model or in another size."""
+    return stamps.filter(~(F.col("model").eqNullSafe(F.lit(model)) & F.col("dim").eqNullSafe(F.lit(dim))))
+
+
+def precedence(*maps: F.Column) -> F.Column:
+    """One map of several; where keys repeat, the later map's value stays."""
+    def over(low, high):
+        return F.map_concat(F.map_filter(low, lambda k, v: ~F.map_contains_key(high, k)), high)
+
+    return reduce(over, maps)
+
+
+def cache_misses(wanted: DataFrame, cache: DataFrame, model: str) -> DataFrame:
+    """``key, text`` once for each text that the cache (key) doesn't hold; the key is the SHA-256 of model and text."""
+    keyed = wanted.select(F.sha2(F.concat(F.lit(model), F.lit("\n"), F.col("text")).cast("binary"), 256).alias("key"), "text").filter("text is not null")
+    return keyed.dropDuplicates(["key"]).join(cache.select("key").distinct(), "key", "left_anti")

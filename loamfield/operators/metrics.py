@@ -42,3 +42,37 @@ def bootstrap(df: DataFrame, value: str, rounds: int = 1000, trim: float = 0.025
     r = means.withColumn("r", F.row_number().over(Window.orderBy("m")))
     cut = int(trim * rounds)
     return r.agg(F.round(F.max(F.when(F.col("r") == cut + 1, F.col("m"))), 6).alias("low"), F.round(F.max(F.when(F.col("r") == rounds - cut, F.col("m"))), 6).alias("high"))
+
+
+def slice_walk(qrels: DataFrame, least: int = 60) -> DataFrame:
+    """query, n_new, n_docs: queries in ascending order until ``least`` distinct relevant documents are gathered.
+
+    The running sum sees one row for each judged query, never the judgements themselves.
+    """
+    fresh = qrels.filter("grade > 0").groupBy("doc").agg(F.min("query").alias("query")).groupBy("query").agg(F.count(F.lit(1)).alias("n_new"))
+    every = qrels.select("query").distinct().join(fresh, "query", "left").fillna(0, ["n_new"])
+    run = F.sum("n_new").over(Window.orderBy("query").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return every.withColumn("n_docs", run).filter(F.col("n_docs") - F.col("n_new") < least)
+
+
+def repeat_gate(timings: DataFrame, most: float = 3.0) -> DataFrame:
+    """n_runs, spread, same_queries, passes for ``timings`` (run, query, ms): two runs or more, over the same queries, whose
+    medians differ by a factor of ``most`` at most."""
+    runs = percentile(timings, "run", "ms", 0.5, "p50").agg(F.count(F.lit(1)).alias("n_runs"), F.round(F.max("p50") / F.min("p50"), 6).alias("spread"))
+    shared = timings.groupBy("query").agg(F.countDistinct("run").alias("c")).agg(F.min("c").alias("least"))
+    same = F.col("least") == F.col("n_runs")
+    return runs.crossJoin(shared).select("n_runs", "spread", same.alias("same_queries"), (same & (F.col("n_runs") > 1) & (F.col("spread") <= most)).alias("passes"))  # one row each
+
+
+def rollup(scores: DataFrame, names: list[str]) -> DataFrame:
+    """metric, mean, unscoreable of each column, and the mean of the means that exist as ``overall``."""
+    one = scores.unpivot([], names, "metric", "value").groupBy("metric").agg(F.avg("value").alias("mean"), F.count_if(F.col("value").isNull()).alias("unscoreable"))
+    total = one.agg(F.lit("overall").alias("metric"), F.avg("mean").alias("mean"), F.sum("unscoreable").alias("unscoreable"))
+    return one.unionByName(total).select("metric", F.round("mean", 6).alias("mean"), "unscoreable")
+
+
+def answer_match(a: F.Column, b: F.Column) -> tuple[F.Column, F.Column]:
+    """Whether two answers share a lower-cased word, and whether they are equal but for case, punctuation and spaces."""
+    bare = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{Nd}]+", " "))
+    word = lambda x: F.array_remove(F.split(F.lower(x), "[ \\n\\t]+"), "")
+    return F.arrays_overlap(word(a), word(b)), bare(a) == bare(b)

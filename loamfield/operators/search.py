@@ -24,12 +24,25 @@ def top(df: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataFrame
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """query, doc, score, rank. ``queries``: query, text; a query's tokens count once. Only postings of query terms are joined."""
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, groups: DataFrame | None = None) -> DataFrame:
+    """query, doc, score, rank. ``queries``: query, text; a query's tokens count once. Only postings of query terms are joined.
+
+    ``groups`` (group_id, term) are synonyms: texts and queries gain the other members of each token's groups, which
+    count in a document's length too.
+    """
     t = docs.select(F.col("doc_id").alias("doc"), tokens(F.col("text")).alias("t")).withColumn("len", F.size("t"))
-    stats = t.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    q = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    tf = t.select("doc", "len", F.explode("t").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    q = queries.select("query", F.explode(tokens(F.col("text"))).alias("term"))
+    each = t.select("doc", F.explode("t").alias("term"))
+    if groups is not None:
+        q, each = synonyms(q, groups), synonyms(each, groups)
+        lens = each.groupBy("doc").agg(F.count(F.lit(1)).alias("len"))
+        stats = lens.agg(F.sum("len").alias("all_")).join(F.broadcast(t.agg(F.count(F.lit(1)).alias("n")))).select("n", (F.col("all_") / F.col("n")).alias("avg_len"))
+        each = each.join(lens, "doc")
+    else:
+        stats = t.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+        each = t.select("doc", "len", F.explode("t").alias("term"))
+    q = q.distinct()
+    tf = each.join(q.select("term").distinct(), "term", "left_semi").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     met = q.join(df, "term").join(tf, "term").join(F.broadcast(stats))  # stats is one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -119,3 +132,27 @@ def synonyms(toks: DataFrame, groups: DataFrame) -> DataFrame:
     """``toks`` (key, term) with the other members of each term's groups (group_id, term) added."""
     pairs = groups.alias("a").join(groups.alias("b"), "group_id").filter("a.term <> b.term").select(F.col("a.term").alias("term"), F.col("b.term").alias("more")).distinct()
     return toks.unionByName(toks.join(pairs, "term").select(*[F.col("more").alias("term") if c == "term" else c for c in toks.columns]))
+
+
+def federate(stores: list[DataFrame], k: int = 10, c: int = 60) -> DataFrame:
+    """query, doc, score, store, rank: hits of several stores by reciprocal ranks; ties go to the better own score, then the
+    earlier store, then the earlier rank."""
+    every = None
+    for i, hits in enumerate(stores):
+        part = hits.select("query", "doc", "score", "rank", F.lit(i).alias("store"))
+        every = part if every is None else every.unionByName(part)
+    first = F.min(F.struct((-F.col("score")).alias("s"), "store", "rank"))
+    merged = every.groupBy("query", "doc").agg(F.round(F.sum(1 / (c + F.col("rank"))), 9).alias("score"), first.alias("x"))
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "x.s", "x.store", "x.rank", "doc")
+    return merged.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("query", "doc", "score", F.col("x.store").alias("store"), F.col("place").alias("rank"))
+
+
+def tags(hits: DataFrame, names: DataFrame, k: int = 1) -> DataFrame:
+    """query, key, doc: the k keys with the best hits, each with its first value. ``names``: doc, key."""
+    met = hits.join(names, "doc").withColumn("r", F.row_number().over(Window.partitionBy("query", "key").orderBy("rank"))).filter("r = 1")
+    return met.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).filter(F.col("r") <= k).select("query", "key", "doc")
+
+
+def pooled(hits: DataFrame, owner, k: int = 10) -> DataFrame:
+    """query, doc, score, rank of whole documents: the best of their chunks; ``owner`` gives a chunk's document."""
+    return top(hits.groupBy("query", owner.alias("doc")).agg(F.max("score").alias("score")), ["query"], "score", "doc", k)

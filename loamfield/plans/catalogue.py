@@ -403,3 +403,207 @@ def stream_tumbling(spark, d):
 def stream_ingest(spark, d):
     s = st.file_stream(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
     return st.settle(s, "ingest", "append").select("doc_id", "h")
+
+
+# ---- more retrieval ------------------------------------------------------------------------------------------------
+#: Synonym groups of the sample languages' commonest words.
+GROUPS = [(1, "the"), (1, "le"), (1, "der"), (2, "and"), (2, "et"), (2, "und"), (3, "of"), (3, "de")]
+_GROUPS = f"g AS (SELECT * FROM (VALUES {', '.join(f'({i}, {t!r})' for i, t in GROUPS)}) v(g, term)), y AS (SELECT DISTINCT a.term, b.term AS more FROM g a JOIN g b USING (g) WHERE a.term <> b.term)"
+
+
+@query(f"""WITH {_GROUPS}, t AS (SELECT doc_id AS doc, {TOK} AS t FROM documents), e0 AS (SELECT doc, unnest(t) AS term FROM t), e AS (SELECT * FROM e0 UNION ALL SELECT doc, more FROM e0 JOIN y USING (term)),
+l AS (SELECT doc, count(*) AS len FROM e GROUP BY doc), tf AS (SELECT doc, term, count(*) AS tf, any_value(len) AS len FROM e JOIN l USING (doc) GROUP BY ALL),
+q0 AS (SELECT item_id AS query, unnest({TOK}) AS term FROM benchmark), q AS (SELECT DISTINCT * FROM (SELECT * FROM q0 UNION ALL SELECT query, more FROM q0 JOIN y USING (term))),
+n AS (SELECT (SELECT count(*) FROM t) AS n, (SELECT sum(len) FROM l) / (SELECT count(*) FROM t) AS al),
+bm AS (SELECT query, doc, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / al))), 6) AS score FROM q JOIN tf USING (term) JOIN (SELECT term, count(*) AS df FROM tf GROUP BY term) USING (term), n GROUP BY query, doc)
+SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM bm QUALIFY rank <= 10""")
+def bm25_synonyms(spark, d):
+    groups = spark.createDataFrame(GROUPS, "group_id int, term string")
+    return search.bm25(table(spark, d, "documents"), _bench(spark, d), groups=groups)
+
+
+def _cos(name, where, q="a.vec_id", k=10):
+    dot = "list_dot_product({0}.embedding::DOUBLE[], {1}.embedding::DOUBLE[])"
+    return f"""{name}c AS (SELECT {q} AS query, b.vec_id AS doc, round({dot.format('a', 'b')} / sqrt({dot.format('a', 'a')} * {dot.format('b', 'b')}), 6) AS score FROM embeddings a JOIN embeddings b ON {where}),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM {name}c QUALIFY rank <= {k})"""
+
+
+@query(f"""WITH {_cos('s0', 'a.vec_id % 100 = 0 AND b.vec_id % 2 = 0')}, {_cos('s1', 'a.vec_id % 100 = 0 AND b.vec_id % 2 = 1')},
+u AS (SELECT *, 0 AS store FROM s0 UNION ALL SELECT *, 1 FROM s1)
+SELECT query, doc, round(1 / (60 + rank), 9) AS score, store, row_number() OVER (PARTITION BY query ORDER BY round(1 / (60 + rank), 9) DESC, u.score DESC, store, u.rank, doc) AS rank FROM u QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(1 / (60 + rank), 9) DESC, u.score DESC, store, u.rank, doc) <= 10""")
+def federated_rrf(spark, d):
+    v = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc")
+    q = v.filter("doc % 100 = 0").withColumnRenamed("doc", "query")
+    return search.federate([search.dense(v.filter(f"doc % 2 = {i}"), q) for i in (0, 1)])
+
+
+@query(f"""WITH {_cos('v0', 'a.vec_id % 100 = 0')}, {_cos('v1', 'a.vec_id % 100 = 1', 'a.vec_id - 1')}, m AS (SELECT query, doc, max(score) AS score FROM (FROM v0 UNION ALL FROM v1) GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM m QUALIFY rank <= 10""")
+def multi_query_max_merge(spark, d):
+    v = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc")
+    variants = [v.filter(f"doc % 100 = {i}").withColumn("query", F.col("doc") - i).drop("doc") for i in (0, 1)]
+    return search.best_of([search.dense(v, q) for q in variants])
+
+
+@query(f"""WITH {_cos('h', 'a.vec_id % 100 = 0', k=20)}, m AS (SELECT h.*, label AS key FROM h JOIN embeddings ON vec_id = doc QUALIFY row_number() OVER (PARTITION BY query, label ORDER BY rank) = 1)
+SELECT query, key, doc FROM m QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank) <= 2""")
+def tag_search(spark, d):
+    return search.tags(_dense(spark, d, 20), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), F.col("label").alias("key")), 2)
+
+
+@query(f"""WITH RECURSIVE {_POST}, {_Q}, {_BM25}, c AS (SELECT query, rank, len(t) AS c FROM bm25 JOIN t USING (doc)),
+b AS (SELECT DISTINCT query, 0::BIGINT AS rank, 600::BIGINT AS room, false AS taken FROM c
+UNION ALL SELECT c.query, c.rank, CASE WHEN c.c <= room THEN room - c.c ELSE room END, c.c <= room FROM b JOIN c ON c.query = b.query AND c.rank = b.rank + 1) SELECT query, rank FROM b WHERE taken""")
+def context_budget(spark, d):
+    docs = table(spark, d, "documents")
+    hits = search.bm25(docs, _bench(spark, d)).join(docs.select(F.col("doc_id").alias("doc"), F.size(tx.tokens(F.col("text"))).cast("long").alias("cost")), "doc")
+    return retrieval.budget(hits, "query", "rank", "cost", 600)
+
+
+_TURNS = "documents AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)"
+
+
+@query(f"""WITH {_TURNS}, {_POST}, {_Q}, {_BM25.replace('rank <= 10', 'rank <= 50')}, p AS (SELECT query, doc // 1000 AS doc, max(score) AS score FROM bm25 GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM p QUALIFY rank <= 10""")
+def maxpool_docs(spark, d):
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return search.pooled(search.bm25(turns, _bench(spark, d), 50), F.expr("doc div 1000"))
+
+
+# ---- more evaluation -----------------------------------------------------------------------------------------------
+@query(f"""WITH {_POOL}, f AS (SELECT query, count(*) AS n_new FROM (SELECT doc, min(query) AS query FROM pool WHERE grade > 0 GROUP BY doc) GROUP BY query),
+r AS (SELECT query, coalesce(n_new, 0) AS n_new, sum(coalesce(n_new, 0)) OVER (ORDER BY query)::BIGINT AS n_docs FROM (SELECT DISTINCT query FROM pool) LEFT JOIN f USING (query))
+SELECT * FROM r WHERE n_docs - n_new < 15""")
+def slice_walk(spark, d):
+    return metrics.slice_walk(_pool(spark, d).select("query", "doc", "grade"), 15)
+
+
+@query("""WITH t AS (SELECT event_type AS run, user_id AS query, value AS ms FROM events WHERE value > 0), r AS (SELECT run, max(ms) FILTER (WHERE i = ceil(0.5 * n)) AS p50 FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ms) AS i, count(*) OVER (PARTITION BY run) AS n FROM t) GROUP BY run),
+s AS (SELECT count(*) AS n_runs, round(max(p50) / min(p50), 6) AS spread FROM r), q AS (SELECT min(c) AS least FROM (SELECT count(DISTINCT run) AS c FROM t GROUP BY query))
+SELECT n_runs, spread, least = n_runs AS same_queries, least = n_runs AND n_runs > 1 AND spread <= 3 AS passes FROM s, q""")
+def cost_gate(spark, d):
+    return metrics.repeat_gate(table(spark, d, "events").filter("value > 0").select(F.col("event_type").alias("run"), F.col("user_id").alias("query"), F.col("value").alias("ms")))
+
+
+@query("""WITH s AS (SELECT CASE WHEN doc_id % 5 <> 0 THEN quality::DOUBLE END AS quality, toxic::DOUBLE AS toxic FROM labels),
+m AS (SELECT 'quality' AS metric, avg(quality) AS mean, count(*) FILTER (WHERE quality IS NULL) AS unscoreable FROM s UNION ALL SELECT 'toxic', avg(toxic), count(*) FILTER (WHERE toxic IS NULL) FROM s)
+SELECT metric, round(mean, 6) AS mean, unscoreable::BIGINT AS unscoreable FROM (FROM m UNION ALL SELECT 'overall', avg(mean), sum(unscoreable) FROM m)""")
+def metric_rollup(spark, d):
+    s = table(spark, d, "labels").select(F.when(F.col("doc_id") % 5 != 0, F.col("quality").cast("double")).alias("quality"), F.col("toxic").cast("double").alias("toxic"))
+    return metrics.rollup(s, ["quality", "toxic"])
+
+
+_BARE = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g'))"
+
+
+@query(f"""SELECT a.conv_id, a.turn, len(list_intersect(list_filter(regexp_split_to_array(lower(a.text), '[ \\n\\t]+'), lambda x: x <> ''), list_filter(regexp_split_to_array(lower(b.text), '[ \\n\\t]+'), lambda x: x <> ''))) > 0 AS shares, {_BARE.format('a.text')} = {_BARE.format('b.text')} AS equal
+FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
+def answer_match(spark, d):
+    t = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    shares, equal = metrics.answer_match(F.col("text"), F.col("reply"))
+    return t.join(after, ["conv_id", "turn"]).select("conv_id", "turn", shares.alias("shares"), equal.alias("equal"))
+
+
+# ---- more ingestion ------------------------------------------------------------------------------------------------
+@query("SELECT 'documents' AS name, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT 'labels', doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def delete_documents(spark, d):
+    held = {n: table(spark, d, n).select("doc_id") for n in ("documents", "labels")}
+    left = ingest.delete(held, table(spark, d, "labels").filter("toxic = 1"))
+    return left["documents"].select(F.lit("documents").alias("name"), "doc_id").unionByName(left["labels"].select(F.lit("labels").alias("name"), "doc_id"))
+
+
+@query("SELECT vec_id AS doc_id FROM embeddings WHERE label < 3 OR len(embedding) <> 64")
+def reindex_stale(spark, d):
+    stamps = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.when(F.col("label") < 3, "old").otherwise("new").alias("model"), F.size("embedding").alias("dim"))
+    return ingest.stale(stamps, "new", 64).select("doc_id")
+
+
+@query("SELECT doc_id, coalesce(lang, 'none') AS lang, 'tag' AS source, doc_id::VARCHAR AS document_id FROM documents")
+def map_precedence(spark, d):
+    lang = F.coalesce("lang", F.lit("none"))
+    system = F.create_map(F.lit("document_id"), F.col("doc_id").cast("string"), F.lit("source"), F.lit("system"), F.lit("lang"), F.lit("system"))
+    m = ingest.precedence(system, F.create_map(F.lit("source"), F.lit("tag"), F.lit("lang"), F.lit("tag")), F.create_map(F.lit("lang"), lang))
+    return table(spark, d, "documents").select("doc_id", m.alias("m")).select("doc_id", *[F.col("m")[k].alias(k) for k in ("lang", "source", "document_id")])
+
+
+@query("SELECT key, md5(any_value(text)) AS h FROM (SELECT sha256('m1' || chr(10) || text) AS key, text, doc_id FROM documents WHERE text IS NOT NULL) GROUP BY key HAVING key NOT IN (SELECT sha256('m1' || chr(10) || text) FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL)")
+def embed_cache_misses(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    cache = docs.filter("doc_id % 3 = 0").select(F.sha2(F.concat(F.lit("m1\n"), F.col("text")).cast("binary"), 256).alias("key"))
+    return ingest.cache_misses(docs.select("text"), cache, "m1").select("key", F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+def _sections(spark, d):
+    """Lines of documents as sections; the length of a line stands in for its heading level."""
+    ln = table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("place", "text"))
+    level = F.length("text") % 5
+    return ln.withColumn("level", F.when(level > 0, level)).withColumn("heading", F.when(level > 0, F.substring("text", 1, 12)))
+
+
+_SECTIONS = "s AS (SELECT doc_id AS doc, i::INTEGER - 1 AS place, l AS text, nullif(length(l) % 5, 0) AS level, CASE WHEN length(l) % 5 > 0 THEN l[1:12] END AS heading FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL))"
+_OPEN = ", ".join(f"CASE WHEN p{n} > coalesce(u{n}, -1) THEN h{n} END" for n in range(1, 5))
+_RUN = ", ".join(f"max(CASE WHEN level = {n} THEN place END) OVER w AS p{n}, last_value(CASE WHEN level = {n} THEN heading END IGNORE NULLS) OVER w AS h{n}, max(CASE WHEN level < {n} THEN place END) OVER w AS u{n}" for n in range(1, 5))
+
+
+@query(f"WITH {_SECTIONS}, r AS (SELECT doc, place, {_RUN} FROM s WINDOW w AS (PARTITION BY doc ORDER BY place ROWS UNBOUNDED PRECEDING)) SELECT doc, place, md5(concat_ws(' > ', {_OPEN})) AS path FROM r")
+def breadcrumbs(spark, d):
+    return chunking.breadcrumbs(_sections(spark, d)).select("doc", "place", F.md5(F.col("path").cast("binary")).alias("path"))
+
+
+@query(f"""WITH {_SECTIONS}, r AS (SELECT *, coalesce(level <= 2, false) AS o, sum(coalesce(level <= 2, false)::INT) OVER (PARTITION BY doc ORDER BY place) AS part FROM s)
+SELECT doc, part::BIGINT AS part, count(*) AS n_sections, md5(concat_ws(chr(10) || chr(10), max(heading) FILTER (WHERE o), string_agg(text, chr(10) ORDER BY place))) AS body FROM r GROUP BY doc, part""")
+def hierarchical_merge(spark, d):
+    return chunking.merged(_sections(spark, d)).select("doc", "part", "n_sections", F.md5(F.col("text").cast("binary")).alias("body"))
+
+
+@query()
+def code_chunks(spark, d):
+    return chunking.chunk(table(spark, d, "documents"), "code")
+
+
+# ---- more graph and streams ----------------------------------------------------------------------------------------
+def _chosen(spark, d):
+    return table(spark, d, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("node"))
+
+
+_CHOSEN = "x AS (SELECT n_nationkey AS node FROM nation WHERE n_regionkey = 1)"
+_INCIDENT = "i AS (SELECT DISTINCT src, dst FROM e WHERE src IN (FROM x) OR dst IN (FROM x))"
+
+
+@query(f"WITH {_EDGES}, {_CHOSEN}, {_INCIDENT} SELECT * FROM i")
+def incident_edges(spark, d):
+    return graph.incident(_trade(spark, d)[1], _chosen(spark, d))
+
+
+@query(f"""WITH {_EDGES}, {_CHOSEN}, {_INCIDENT}, g AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node),
+f AS (SELECT i.*, src IN (FROM x) AND dst IN (FROM x) AS inside, a.degree + b.degree AS s, CASE WHEN src IN (FROM x) THEN dst ELSE src END AS o, CASE WHEN src IN (FROM x) THEN src ELSE dst END AS m FROM i JOIN g a ON a.node = src JOIN g b ON b.node = dst),
+p AS (SELECT o, count(DISTINCT m) AS partners FROM f WHERE NOT inside GROUP BY o),
+r AS (SELECT src, dst, inside, row_number() OVER (PARTITION BY inside ORDER BY CASE WHEN inside THEN 0 ELSE partners END DESC, s DESC, src, dst) AS rank FROM f LEFT JOIN p USING (o))
+SELECT * FROM r WHERE inside OR rank <= 3 * (SELECT count(*) FROM x)""")
+def rel_ranking(spark, d):
+    nodes, edges = _trade(spark, d)
+    return graph.rank_edges(edges, _chosen(spark, d), graph.degrees(nodes, edges), 3)
+
+
+@query("""WITH c AS (SELECT c_nationkey AS entity, o_orderdate::DATE::VARCHAR AS chunk, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+SELECT chunk, entity, n FROM c QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY entity DESC) = 1""")
+def source_chunk_rank(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    cited = o.groupBy(F.col("c_nationkey").alias("entity"), F.to_date("o_orderdate").cast("string").alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
+    return graph.chunk_order(cited.withColumn("place", -F.col("entity")))
+
+
+@query("""WITH n AS (SELECT n_regionkey AS community, count(*) AS n_chosen FROM nation WHERE n_nationkey % 3 <> 0 GROUP BY ALL)
+SELECT community, n_chosen, row_number() OVER (ORDER BY n_chosen DESC, community) AS rank FROM n JOIN region ON r_regionkey = community WHERE r_regionkey <> 2""")
+def community_order(spark, d):
+    n = table(spark, d, "nation")
+    told = table(spark, d, "region").select(F.col("r_regionkey").alias("community"), F.when(F.col("r_regionkey") == 2, " ").otherwise(F.col("r_name")).alias("report"))
+    return graph.order_communities(n.select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("community")), told, n.filter("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("node")))
+
+
+@query("""WITH g AS (SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE, true)::INT AS o FROM events),
+s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, regexp_replace(strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f'), '\\.?0+$', '') AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_session(spark, d):
+    got = st.settle(st.sessions(st.file_stream(spark, d, "events")), "sessions")
+    return got.withColumn("start", F.regexp_replace(F.concat("start", F.when(F.contains("start", F.lit(".")), F.lit("")).otherwise(F.lit(".0"))), r"\.?0+$", ""))

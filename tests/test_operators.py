@@ -2,8 +2,8 @@
 
 import pytest
 
-from loamfield.operators import chunking, graph, ingest, retrieval, search
-from loamfield.sources import web
+from loamfield.operators import chunking, graph, ingest, metrics, retrieval, search
+from loamfield.sources import mail, web
 
 
 def test_recursive_chunks_fit_and_lose_nothing():
@@ -62,3 +62,41 @@ def test_entry_has_sql_only_for_queries():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_code_chunks_keep_separators():
+    text = "import a\nclass A:\n    x = 1\ndef f():\n    return 1\n" + "y = 2\n" * 30
+    parts = chunking.code(text, 60)
+    assert all(len(p) <= 60 for p in parts) and "".join("".join(parts).split()) == "".join(text.split())
+    assert any(p.startswith("class A") for p in parts) and any(p.startswith("def f") for p in parts)
+
+
+def test_breadcrumbs_close_deeper_headings(spark):
+    rows = [(1, 0, 1, "A"), (1, 1, 2, "B"), (1, 2, None, None), (1, 3, 1, "C"), (1, 4, 3, "D"), (1, 5, 2, "E")]
+    s = spark.createDataFrame(rows, "doc long, place int, level int, heading string")
+    assert [r.path for r in chunking.breadcrumbs(s).orderBy("place").collect()] == ["A", "A > B", "A > B", "C", "C > D", "C > E"]
+
+
+def test_merged_sections_begin_at_headings(spark):
+    rows = [(1, 0, None, None, "x"), (1, 1, 1, "A", "y"), (1, 2, 3, "B", "z")]
+    s = spark.createDataFrame(rows, "doc long, place int, level int, heading string, text string")
+    assert [r.text for r in chunking.merged(s).orderBy("part").collect()] == ["x", "A\n\ny\nz"]
+
+
+def test_markdown_and_mail_sections(spark):
+    raw = b"From: a@b.c\nTo: d@e.f\nSubject: Hi\nDate: Mon, 1 Jan 2024 00:00:00 +0000\nContent-Type: text/plain; charset=utf-8\n\nHello there\n"
+    files = spark.createDataFrame([("m.md", b"intro\n# One\nbody\n## Two\n"), ("n.md", None)], "path string, content binary")
+    assert [(r.heading, r.level, r.text) for r in mail.markdown(files).orderBy("place").collect()] == [(None, None, "intro"), ("One", 1, "body"), ("Two", 2, "")]
+    mails = mail.mails(spark.createDataFrame([("a.eml", raw), ("b.eml", None)], "path string, content binary")).orderBy("place").collect()
+    assert [(r.place, r.heading) for r in mails] == [(0, "headers"), (1, "text/plain")] and mails[1].text == "Hello there" and "Subject: Hi" in mails[0].text
+
+
+def test_federated_ties_go_to_the_better_score(spark):
+    a = spark.createDataFrame([(1, 10, 0.5, 1), (1, 11, 0.4, 2)], "query long, doc long, score double, rank int")
+    b = spark.createDataFrame([(1, 20, 0.9, 1)], "query long, doc long, score double, rank int")
+    assert [(r.doc, r.store) for r in search.federate([a, b]).orderBy("rank").collect()] == [(20, 1), (10, 0), (11, 0)]
+
+
+def test_gate_wants_equal_queries(spark):
+    t = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, 2.0)], "run string, query long, ms double")
+    assert metrics.repeat_gate(t).first()[:] == (2, 2.0, False, False)
