@@ -30,17 +30,22 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     """node, score: parallel edges count, loops and unknown ends don't, and nodes without targets share theirs with all."""
     nodes = staged(nodes.select("node"), "nodes")
     n = nodes.count()
+    if not n:
+        return nodes.select("node", F.lit(0.0).alias("score"))
     good = edges.filter("src <> dst").join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
     out = good.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     moves = staged(good.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c")).join(out, "src").select("src", "dst", (F.col("c") / F.col("out")).alias("share")), "moves")
-    ends = moves.select(F.col("src").alias("node")).distinct()
-    score = nodes.select("node", F.lit(1.0 / max(n, 1)).alias("score"))
+    ends = moves.select(F.col("src").alias("node")).distinct().withColumn("out_", F.lit(True))
+    nodes = staged(nodes.join(ends, "node", "left").select("node", F.col("out_").isNull().alias("end")), "nodes-out")
+    n_ends = nodes.filter("end").count()
+    score, lost = nodes.select("node", F.lit(1.0 / max(n, 1)).alias("score")), n_ends / max(n, 1)
     for i in range(rounds):
-        lost = score.join(ends, "node", "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
         came = score.withColumnRenamed("node", "src").join(moves, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("came"))
-        score = nodes.select("node").join(came, "node", "left").crossJoin(F.broadcast(lost)).select("node", ((1 - damping) / n + damping * (F.coalesce("came", F.lit(0.0)) + F.col("lost") / n)).alias("score"))  # lost is one row
-        if i % 5 == 4:
+        score = nodes.join(came, "node", "left").select("node", "end", ((1 - damping) / n + damping * (F.coalesce("came", F.lit(0.0)) + F.lit(lost / n))).alias("score"))
+        if i % 5 == 4 or n_ends:  # the plan of a round holds the one before once, and one number of it comes to the driver
             score = staged(score, "pagerank")
+            lost = (score.filter("end").agg(F.sum("score")).first()[0] or 0.0) if n_ends else 0.0
+        score = score.select("node", "score")
     return score
 
 
