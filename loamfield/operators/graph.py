@@ -42,7 +42,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     for i in range(rounds):
         came = score.withColumnRenamed("node", "src").join(moves, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("came"))
         score = nodes.join(came, "node", "left").select("node", "end", ((1 - damping) / n + damping * (F.coalesce("came", F.lit(0.0)) + F.lit(lost / n))).alias("score"))
-        if i % 5 == 4 or n_ends:  # the plan of a round holds the one before once, and one number of it comes to the driver
+        if i % 2 or n_ends:  # the plan of a round holds the one before once, and one number of it comes to the driver
             score = staged(score, "pagerank")
             lost = (score.filter("end").agg(F.sum("score")).first()[0] or 0.0) if n_ends else 0.0
         score = score.select("node", "score")
