@@ -4,8 +4,9 @@ Two sets with Jaccard similarity of at least t share a token among the first n -
 order of all tokens is taken. So candidates have to meet in the prefixes of *every* order, and the orders are
 intersected before anything is verified:
 
-1. Equal sets are one class. A class with n - ceil(t n) + 1 tokens that no other class has can't link at all; a
-   hash-sampled part of the tokens proves that for most classes with little data.
+1. Equal sets are one class. A class with n - ceil(t n) + 1 tokens that no other class has can't link at all; the
+   tokens below a bound of the hash prove that for most classes with little data. The bound falls with the size of the
+   set, so a token counts only if it is below the bound of the largest set that could link: each partner shows it too.
 2. Among the rest, the rarest-first order: prefix tokens that two classes share hold them together in a block.
 3. Inside a block, candidates meet in the rarest-first prefix; prefixes by ascending and by descending hash must meet
    too; then the overlap is counted exactly, unless a link path joins the two already.
@@ -27,6 +28,8 @@ from loamfield.llm.common import split_by_partner, staged
 U = np.uint64
 #: Bits of a token in the proof that a class stands alone; a collision only weakens the proof.
 PROOF_BITS = 44
+#: Sets of fewer tokens show all of them for the proof.
+PROOF_WHOLE = 80
 
 
 @dataclass(frozen=True)
@@ -40,6 +43,11 @@ class Params:
         """Tokens of a set of n among which it shares one with any set that it links with."""
         return n - -(-self.percent * n // 100) + 1
 
+    @property
+    def proof_below(self) -> int:
+        """Bound of the tokens that a large set shows for the proof: about twice its prefix."""
+        return (1 << PROOF_BITS) * min(100, 2 * (100 - self.percent) + 2) // 100
+
 
 CONTRACT = Params(4, 85)
 
@@ -74,7 +82,8 @@ def _sketches(docs: DataFrame, p: Params) -> DataFrame:
                 ns.append(len(s))
                 one.append(int.from_bytes(d[:8], "little", signed=True))
                 two.append(int.from_bytes(d[8:], "little", signed=True))
-                parts.append((s[: 2 * p.prefix(len(s))] >> U(64 - PROOF_BITS)).astype(np.int64))
+                v = (s >> U(64 - PROOF_BITS)).astype(np.int64)
+                parts.append(v if len(v) < PROOF_WHOLE else v[: np.searchsorted(v, p.proof_below)])
             at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
             flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tk"), pa.array(ns, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(at, flat)], schema=kind)
@@ -185,8 +194,10 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     prefix = F.col("n") - F.ceil(F.lit(p.percent) * F.col("n") / 100) + 1
 
-    tokens = classes.select("cid", F.explode(F.array_distinct("part")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("cid").alias("cid"))
-    alone = tokens.filter("c = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("alone"))
+    small = 100 * F.col("n") < F.lit(p.percent * PROOF_WHOLE)  # all that could link show all their tokens
+    each = classes.select("cid", small.alias("small"), F.explode(F.array_distinct("part")).alias("t"))
+    tokens = each.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("cid").alias("cid"), F.min("small").alias("small"))
+    alone = tokens.filter("c = 1").filter(F.col("small") | (F.col("t") < p.proof_below)).groupBy("cid").agg(F.count(F.lit(1)).alias("alone"))
     alive = classes.select("cid", "n", "rep").join(alone, "cid", "left").filter(F.coalesce("alone", F.lit(0)) < prefix)
     alive = alive.select("cid", F.col("rep.doc_id").alias("d_"), F.col("rep.tk").alias("t_"))
     alive = staged(alive, "alive")

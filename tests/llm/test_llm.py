@@ -259,6 +259,20 @@ def test_near_duplicates(docs_of, p):
     assert ngramjoin.near_duplicates(docs_of([]), p).count() == 0
 
 
+@pytest.mark.parametrize("p", [ngramjoin.CONTRACT, ngramjoin.Params()])
+def test_near_duplicates_of_subsets(docs_of, p):
+    rows = []
+    for n in [*range(4, 24), 60, 66, 70, 78, 79, 80, 82, 84, 85, 90, 96, 104, 130]:
+        w = [f"w{n}x{i}" for i in range(n)]
+        for k, v in enumerate((w, w[1:], w[:-1], w[n // 8 :], w[: n - n // 12])):
+            rows.append((10 * n + k, " ".join(v)))
+    got = ngramjoin.near_duplicates(docs_of(rows), p).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows, p.size, p.percent)
+    long, short = (10, 9) if p.size == 4 else (9, 8)
+    pair = [(1, " ".join(WORDS[:long])), (2, " ".join(WORDS[:short]))]
+    assert {r.component_id for r in ngramjoin.near_duplicates(docs_of(pair), p).collect()} == {1}
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)]
