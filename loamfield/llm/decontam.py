@@ -2,9 +2,10 @@
 
 Words become template tokens: numbers, names (capitalised inside a sentence) and units are replaced by typed
 placeholders, other words are lower-cased without outer punctuation. Windows of template tokens of the documents are
-hash-joined with those of the benchmark. Windows that follow each other on one diagonal form a run; a run counts if
-it is long enough, has enough literal words, and its slots are consistent: equal benchmark values stand for equal
-document values and different ones for different ones. So a question with other numbers or names is still caught.
+hash-joined with those of the benchmark. Windows that follow each other on one diagonal form a run; the longest
+stretch of a run counts that is long enough, has enough literal words, and whose slots are consistent: equal benchmark
+values stand for equal document values and different ones for different ones. So a question with other numbers or names
+is still caught, and one value that is out of line ends a stretch but spoils no other.
 """
 
 from __future__ import annotations
@@ -150,13 +151,34 @@ class Index:
         item_id, t, kind, lit = self.items[n]
         if size < self.need(len(t)) or not (t[i : i + size] == tokens[j : j + size]).all():
             return None
-        slot = kind[i : i + size] != LITERAL
-        if len(np.unique(lit[i : i + size][~slot])) < min(self.p.literals, size):
-            return None
-        pairs = set(zip(kind[i : i + size][slot].tolist(), lit[i : i + size][slot].tolist(), lits[j : j + size][slot].tolist(), strict=True))
-        if len({x[:2] for x in pairs}) != len(pairs) or len({(x[0], x[2]) for x in pairs}) != len(pairs):
-            return None
-        return item_id, size, size / len(t), sum(a != b for _, a, b in pairs)
+        kind, lit, mine = kind[i : i + size], lit[i : i + size], lits[j : j + size]
+        slot = kind != LITERAL
+        where = np.flatnonzero(slot).tolist()
+        pairs = list(zip(kind[slot].tolist(), lit[slot].tolist(), mine[slot].tolist(), strict=True))
+        best = None
+        for a, b in self._consistent(where, pairs, size):
+            if b - a < self.need(len(t)) or (best and b - a <= best[1]):
+                continue
+            if len(np.unique(lit[a:b][~slot[a:b]])) >= min(self.p.literals, b - a):
+                best = item_id, b - a, (b - a) / len(t), sum(x != y for _, x, y in {q for w, q in zip(where, pairs, strict=True) if a <= w < b})
+        return best
+
+    @staticmethod
+    def _consistent(where: list[int], pairs: list[tuple[int, int, int]], size: int):
+        """(start, end) of the longest stretches, none within another, whose slots are consistent."""
+        start = 0
+        there: dict[tuple, tuple] = {}
+        back: dict[tuple, tuple] = {}
+        for at, (kind, ours, theirs) in zip(where, pairs, strict=True):
+            clash = -1
+            for seen, key, value in ((there, (kind, ours), theirs), (back, (kind, theirs), ours)):
+                if key in seen and seen[key][0] != value:
+                    clash = max(clash, seen[key][1])
+            if clash >= start:
+                yield start, at
+                start = clash + 1
+            there[kind, ours], back[kind, theirs] = (theirs, at), (ours, at)
+        yield start, size
 
 
 SCHEMA = "doc_id long, item_id long, n_tokens long, coverage double, n_changed long"

@@ -365,6 +365,24 @@ def test_decontamination(spark, docs_of):
     assert decontam.contaminated(docs_of([]), bench).count() == 0 and decontam.contaminated(docs_of(rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_consistent_stretches(spark, docs_of):
+    mixed = "The first box has 3 coins and the second box has 4 coins while the third box has 3 coins so count every coin you can see"
+    names = "Then Ann gave a pear to Bob because the old man who lives near that river asked for some fresh fruit this morning and Ann agreed"
+    other = names.replace("Ann agreed", "Eve agreed")
+    same = "Then Ann gave a pear to Ann because the old man who lives near that river asked"
+    rows = [(1, mixed), (2, mixed.replace("third box has 3", "third box has 6")), (3, other), (4, same), (5, mixed.replace("4", "3").replace("so count", "thus count"))]
+    bench = spark.createDataFrame([(1, mixed), (2, names)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_tokens, r.n_changed) for r in decontam.contaminated(docs_of(rows), bench).collect()}
+    assert got == {(1, 1): (len(mixed.split()), 0), (2, 1): (22, 1), (3, 2): (len(names.split()) - 2, 0), (4, 2): (15, 1), (5, 1): (13, 1)}
+    rng = random.Random(14)
+    for _ in range(400):
+        pairs = [(1, rng.randrange(3), rng.randrange(3)) for _ in range(rng.randrange(1, 9))]
+        fits = lambda a, b: len(set(pairs[a:b])) == len({x[:2] for x in pairs[a:b]}) == len({x[::2] for x in pairs[a:b]})
+        n = len(pairs)
+        want = {(a, b) for a in range(n) for b in range(a + 1, n + 1) if fits(a, b) and (not a or not fits(a - 1, b)) and (b == n or not fits(a, b + 1))}
+        assert set(decontam.Index._consistent(list(range(n)), pairs, n)) == want
+
+
 # pipeline --------------------------------------------------------------------------------------------------------
 def test_pipeline(spark, docs_of, tmp_path):
     import corpus_pipeline
