@@ -6,6 +6,10 @@ hash-joined with those of the benchmark. Windows that follow each other on one d
 stretch of a run counts that is long enough, has enough literal words, and whose slots are consistent: equal benchmark
 values stand for equal document values and different ones for different ones. So a question with other numbers or names
 is still caught, and one value that is out of line ends a stretch but spoils no other.
+
+Verbatim copies need no literals: windows of the words themselves are joined too, and an item shorter than a window
+counts wherever all its words stand in a row, even if it is a single word. A word that begins a line or comes after a
+colon may or may not begin a sentence; texts with such words are read both ways.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleve
 _NUM = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*%?")
 _OUTER = ".,;:!?\"'()[]{}<>*#$&|_“”‘’«»…"
 _END = re.compile(r"[.!?…][\"')\]”’»]*$")
+_MAYBE_END = re.compile(r":[\"')\]”’»]*$")
+_EMPTY = U(xxhash.xxh3_64_intdigest(b""))
 LITERAL, NUM, UNIT, NAME = range(4)
 CACHE = 300_000
 
@@ -37,7 +43,8 @@ CACHE = 300_000
 @dataclass(frozen=True)
 class Params:
     """``window`` tokens are hashed; a run needs ``run`` tokens (or ``share`` of a shorter item, a window at least) and
-    ``literals`` different literal words. Items of less than ``window`` and at least ``least`` tokens are one window."""
+    ``literals`` different literal words. Items of less than ``window`` and at least ``least`` tokens are one window.
+    Verbatim copies need the same tokens, without ``literals`` and ``least``."""
 
     window: int = 8
     run: int = 13
@@ -57,8 +64,8 @@ class Canon:
         self.at: dict[str, int] = {}
         self.hash: list[int] = []
         self.kind: list[int] = []
-        self.end: list[bool] = []
-        self._arrays = (np.zeros(0, U), np.zeros(0, np.int8), np.zeros(0, bool))
+        self.end: list[int] = []
+        self._arrays = (np.zeros(0, U), np.zeros(0, np.int8), np.zeros(0, np.int8))
 
     def _add(self, w: str) -> int:
         bare = w.strip(_OUTER)
@@ -66,12 +73,17 @@ class Canon:
         kind = NUM if _NUM.fullmatch(bare) or low in NUMBERS else UNIT if low in UNITS or w == "%" else NAME if bare[:1].isupper() else LITERAL
         self.hash.append(xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")))
         self.kind.append(kind)
-        self.end.append(bool(_END.search(w)))
+        self.end.append(2 if _END.search(w) else 1 if _MAYBE_END.search(w) else 0)
         self.at[w] = i = len(self.hash) - 1
         return i
 
-    def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(template hashes, kinds, literal hashes) of the words of one text."""
+    def forms(self, text: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(template hashes, kinds, literal hashes) of the words of a text; once more, with the words that begin lines or
+        follow colons as beginnings of sentences, if that makes a difference."""
+        words, starts = [], []
+        for line in text.splitlines():
+            starts.append(len(words))
+            words += line.split()
         if len(self.at) > CACHE:
             self.clear()
         get, add = self.at.get, self._add
@@ -81,13 +93,20 @@ class Canon:
             self._grow()
         i = np.fromiter(ix, np.int64, len(ix))
         lit, kind, end = self._arrays[0][i], self._arrays[1][i], self._arrays[2][i]
-        first = np.concatenate([[True], end[:-1]]) if len(i) else np.zeros(0, bool)
-        kind = np.where((kind == NAME) & first, LITERAL, kind)
-        return np.where(kind == LITERAL, lit, kind.astype(U)), kind, lit
+        if not len(i):
+            return [(lit, kind, lit)]
+        name = kind == NAME
+        first = np.concatenate([[2], end[:-1]])
+        found = [np.where(name & (first == 2), LITERAL, kind)]
+        first[[x for x in starts if x < len(i)]] = 2
+        also = np.where(name & (first > 0), LITERAL, kind)
+        if (also != found[0]).any():
+            found.append(also)
+        return [(np.where(k == LITERAL, lit, k.astype(U)), k, lit) for k in found]
 
     def _grow(self):
         n = len(self._arrays[0])
-        new = (np.array(self.hash[n:], U), np.array(self.kind[n:], np.int8), np.array(self.end[n:], bool))
+        new = (np.array(self.hash[n:], U), np.array(self.kind[n:], np.int8), np.array(self.end[n:], np.int8))
         self._arrays = tuple(np.concatenate(x) for x in zip(self._arrays, new, strict=True))
 
 
@@ -107,27 +126,32 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str | None]], p: Params):
         self.p, canon = p, Canon()
-        self.items = [(i, *canon.tokens(t.split())) for i, t in items if t and len(t.split()) >= p.least]
-        self.sizes: dict[int, tuple] = {}
-        for k in sorted({min(p.window, len(x[1])) for x in self.items}):
-            found = [(n, rolled(x[1], k)) for n, x in enumerate(self.items) if min(p.window, len(x[1])) == k]
-            h = np.concatenate([w for _, w in found])
-            item = np.concatenate([np.full(len(w), n) for n, w in found])
-            pos = np.concatenate([np.arange(len(w)) for _, w in found])
-            o = np.argsort(h, kind="stable")
-            bits = max(16, int(len(h)).bit_length() + 5)
-            maybe = np.zeros(1 << bits, bool)
-            maybe[h & U((1 << bits) - 1)] = True
-            self.sizes[k] = (h[o], item[o], pos[o], maybe, U((1 << bits) - 1))
+        forms = [(n, i, f, k) for n, (i, t) in enumerate(items) if t and t.strip() for k, f in enumerate(canon.forms(t))]
+        self.items = [(n, i, *f) for n, i, f, _ in forms]
+        templates = [(n, x[2]) for n, x in enumerate(self.items) if len(x[2]) >= p.least]
+        words = [(n, x[4]) for n, (x, f) in enumerate(zip(self.items, forms, strict=True)) if not f[3] and (x[4] != _EMPTY).any()]
+        self.sizes = [(exact, k, *self._windows(of, k)) for exact, of in ((False, templates), (True, words)) for k in sorted({min(p.window, len(t)) for _, t in of})]
+
+    def _windows(self, of: list[tuple[int, np.ndarray]], k: int) -> tuple:
+        """Hashes of the windows of k tokens, ascending, with item and place; a bitmap of them and its mask."""
+        found = [(n, rolled(t, k)) for n, t in of if min(self.p.window, len(t)) == k]
+        h = np.concatenate([w for _, w in found])
+        item = np.concatenate([np.full(len(w), n) for n, w in found])
+        pos = np.concatenate([np.arange(len(w)) for _, w in found])
+        o = np.argsort(h, kind="stable")
+        bits = max(16, int(len(h)).bit_length() + 5)
+        maybe = np.zeros(1 << bits, bool)
+        maybe[h & U((1 << bits) - 1)] = True
+        return h[o], item[o], pos[o], maybe, U((1 << bits) - 1)
 
     def need(self, length: int) -> int:
         return min(self.p.run, max(min(self.p.window, length), int(np.ceil(self.p.share * length))))
 
-    def matches(self, tokens: np.ndarray, kinds: np.ndarray, lits: np.ndarray) -> list[tuple[int, int, float, int]]:
+    def matches(self, forms: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[int, int, float, int]]:
         """(item_id, tokens of the longest run, its share of the item, slots with another value) for each item found."""
         best: dict[int, tuple] = {}
-        for k, (h, item, pos, maybe, mask) in self.sizes.items():
-            mine = rolled(tokens, k)
+        for (exact, k, h, item, pos, maybe, mask), (tokens, _, lits) in ((x, f) for x in self.sizes for f in forms[: 1 if x[0] else None]):
+            mine = rolled(lits if exact else tokens, k)
             at = np.flatnonzero(maybe[mine & mask])
             if not len(at):
                 continue
@@ -142,13 +166,22 @@ class Index:
             at, off, it = at[o], off[o], it[o]
             cut = np.flatnonzero(np.concatenate([[True], (it[1:] != it[:-1]) | ((at - off)[1:] != (at - off)[:-1]) | (at[1:] != at[:-1] + 1)]))
             for a, b in zip(cut, np.append(cut[1:], len(at)), strict=True):
-                got = self._run(int(it[a]), int(off[a]), int(at[a]), int(b - a) + k - 1, tokens, kinds, lits)
-                if got and got[1:] > best.get(int(it[a]), (0, 0, 0, 0))[1:]:
-                    best[int(it[a])] = got
+                found = self._copy if exact else self._run
+                got = found(int(it[a]), int(off[a]), int(at[a]), int(b - a) + k - 1, tokens, lits)
+                source = self.items[int(it[a])][0]
+                if got and got[1:] > best.get(source, (0, 0, 0, 0))[1:]:
+                    best[source] = got
         return list(best.values())
 
-    def _run(self, n: int, i: int, j: int, size: int, tokens, kinds, lits):
-        item_id, t, kind, lit = self.items[n]
+    def _copy(self, n: int, i: int, j: int, size: int, tokens, lits):
+        _, item_id, _, _, lit = self.items[n]
+        lit, mine = lit[i : i + size], lits[j : j + size]
+        if size < self.need(len(self.items[n][4])) or not (lit == mine).all() or (lit == _EMPTY).all():
+            return None
+        return item_id, size, size / len(self.items[n][4]), 0
+
+    def _run(self, n: int, i: int, j: int, size: int, tokens, lits):
+        _, item_id, t, kind, lit = self.items[n]
         if size < self.need(len(t)) or not (t[i : i + size] == tokens[j : j + size]).all():
             return None
         kind, lit, mine = kind[i : i + size], lit[i : i + size], lits[j : j + size]
@@ -188,7 +221,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) ->
     """A row for each document and benchmark item whose template it contains: ``doc_id, item_id, n_tokens`` (of the
     longest run), ``coverage`` (its share of the item) and ``n_changed`` (slots with another value).
 
-    Null and empty texts contain nothing; null or very short items are contained nowhere. Repeated rows of documents
+    Null and empty texts contain nothing; null items and items without a word are contained nowhere. Repeated rows of documents
     give repeated rows; of repeated items with one id the longest run counts. Benchmark items are broadcast in blocks
     of ``block_items``, so the size of what is broadcast is bounded; all documents meet all blocks.
     """
@@ -207,7 +240,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) ->
                 rows = []
                 for d, t in zip(batch["doc_id"], batch["text"], strict=True):
                     if isinstance(t, str) and t:
-                        rows += [(d, *m) for m in sorted(index.matches(*canon.tokens(t.split())))]
+                        rows += [(d, *m) for m in sorted(index.matches(canon.forms(t)))]
                 frame = pd.DataFrame(rows, columns=["doc_id", "item_id", "n_tokens", "coverage", "n_changed"])
                 yield frame.astype({"doc_id": "Int64"})
 

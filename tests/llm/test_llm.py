@@ -383,6 +383,17 @@ def test_decontamination_of_consistent_stretches(spark, docs_of):
         assert set(decontam.Index._consistent(list(range(n)), pairs, n)) == want
 
 
+def test_decontamination_of_verbatim_copies(spark, docs_of):
+    items = ["12 + 7 = 19 and 8 + 5 = 13 or 4 + 4 = 8", "THE QUICK BROWN FOX JUMPS OVER THE LAZY DOG AGAIN TODAY", "Capital of France", "Which colour has snow here", "How many legs does 1 spider have"]
+    rows = [(k, "some words before this: " + t + " and words after") for k, t in enumerate(items)]
+    rows += [(10, "first line\n" + items[4].replace("1", "6")), (11, "Question: " + items[4].replace("1", "6")), (12, "Capital of Spain"), (13, "12 + 7 = 19 and 4"), (14, "- * - |"), (15, "Question: " + items[3])]
+    wrapped = "Yesterday the trader Alice sold ripe apples and later bought many more crates from Bob near the old river market"
+    rows += [(16, wrapped.replace("Alice", "\nCarol").replace("Bob", "Dan"))]
+    bench = spark.createDataFrame([*enumerate(items), (5, "* * -"), (6, wrapped), (7, " ")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_changed for r in decontam.contaminated(docs_of(rows), bench).collect()}
+    assert got == {(0, 0): 0, (1, 1): 0, (2, 2): 0, (3, 3): 0, (4, 4): 0, (10, 4): 1, (11, 4): 1, (15, 3): 0, (16, 6): 2}
+
+
 # pipeline --------------------------------------------------------------------------------------------------------
 def test_pipeline(spark, docs_of, tmp_path):
     import corpus_pipeline
