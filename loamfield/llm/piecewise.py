@@ -6,7 +6,8 @@ exact heuristics (A*), so that it expands only what the N best need.
 
 The lattice falls apart wherever no piece spans two neighbouring characters, so each part is searched by itself and
 remembered; the N best of the whole come from the smallest losses of single parts, as no better whole can use a part
-whose loss is not among the N - 1 smallest.
+whose loss is not among the N - 1 smallest. A forward pass for the best two (Viterbi) gives each word's best ids and
+least loss; only the N - 1 words of the least losses are searched, and their lists make the N segmentations.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import zlib
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loamfield.llm.common import documents
@@ -181,17 +182,22 @@ class Lattice:
         parts = [self.part(x) for x in self.cut(MARK + w)]
         return parts[0] if len(parts) == 1 else (tuple(chain.from_iterable(x[0] for x in parts)), sum(x[1] for x in parts), min(x[2] for x in parts))
 
-    def best_of(self, lists: list[list[float]]) -> list[float]:
-        """The N smallest sums of one loss from each list (ascending, the first 0)."""
-        total = [0.0]
+    def best_of(self, lists: list[list[tuple]]) -> list[tuple]:
+        """The N smallest sums of one loss from each list (ascending, the first 0), each with what was chosen."""
+        total = [(0.0, ())]
         for x in lists:
-            total = heapq.nsmallest(self.n_best, (a + b for a in total for b in x))
+            total = heapq.nsmallest(self.n_best, ((a + b, (*c, d)) for a, c in total for b, d in x), key=lambda y: y[0])
         return total
 
-    def encode(self, text: str) -> tuple[list[int], list[float]]:
-        """Ids of the best segmentation, and the scores of the N best, best first."""
+    def word_lists(self, w: str) -> list[tuple[float, tuple[int, ...]]]:
+        """The N best (loss, ids) of a mark and the word after it."""
+        parts = map(self.search, self.cut(MARK + w))
+        return [(x, tuple(chain.from_iterable(ids))) for x, ids in self.best_of([[(s[0][0] - x, ids) for x, ids in s] for s in parts])]
+
+    def encode_all(self, text: str) -> tuple[list[list[int]], list[float]]:
+        """Ids of the N best segmentations and their scores, best first."""
         if not text:
-            return [], [0.0]
+            return [[]], [0.0]
         if "  " in text or text[0] == " " or MARK in text:  # pieces may span marks that stand together
             words = [u[1:] for u in _UNITS.findall(MARK + text.replace(" ", MARK))]
         else:
@@ -200,11 +206,19 @@ class Lattice:
         score, loss = sum(scores), np.array(losses)
         few = self.n_best - 1
         near = np.argpartition(loss, few)[:few] if len(loss) > few else np.arange(len(loss))
-        lists = []
-        for k in near:
-            if loss[k] < INF:
-                lists.append(self.best_of([[s[0][0] - x for x, _ in s] for s in map(self.search, self.cut(MARK + words[k]))]))
-        return list(chain.from_iterable(ids)), [score - x for x in self.best_of(lists)]
+        near = sorted(k for k in near.tolist() if loss[k] < INF)
+        found, chunks = self.best_of([self.word_lists(words[k]) for k in near]), list(ids)
+        out = []
+        for _, chosen in found:
+            for k, x in zip(near, chosen, strict=True):
+                chunks[k] = x
+            out.append(list(chain.from_iterable(chunks)))
+        return out, [score - x for x, _ in found]
+
+    def encode(self, text: str) -> tuple[list[int], list[float]]:
+        """Ids of the best segmentation, and the scores of the N best, best first."""
+        ids, scores = self.encode_all(text)
+        return ids[0], scores
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: marks are spaces again, the first of which was added; byte pieces are bytes."""
@@ -228,13 +242,21 @@ def lattice_of(path: str, n_best: int) -> Lattice:
     return _LATTICES[path, n_best]
 
 
-SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, best_score double, nbest_scores array<double>, round_trip boolean"
+SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, best_score double, nbest_scores array<double>, round_trip boolean, nbest_ids array<array<int>>"
+ROWS = 500
+
+
+def _nested(values: list, kind: pa.DataType) -> pa.ListArray:
+    """A list column of lists or arrays, of which there is one at least."""
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(values), kind))
 
 
 def segment(docs: DataFrame, model: str | None = None, n_best: int = N_BEST) -> DataFrame:
     """A row for each row of ``docs``: ``doc_id, n_pieces, ids_crc32`` (of the best segmentation's ids as little-endian
-    unsigned 32-bit integers), ``best_score, nbest_scores`` (up to ``n_best``, best first) and ``round_trip`` (whether
-    decoding gives the text back; a text that holds the mark itself reads as a space there).
+    unsigned 32-bit integers), ``best_score, nbest_scores`` (up to ``n_best``, best first), ``round_trip`` (whether
+    decoding gives the text back; a text that holds the mark itself reads as a space there) and ``nbest_ids`` (the ids of
+    each segmentation, in the order of the scores).
 
     Null text is encoded as empty: no pieces, score 0. Ties of score fall to the longest last piece. Repeated rows get
     equal results; an empty table gives none; other columns aren't read. ``model``: a path that exists on every
@@ -244,22 +266,32 @@ def segment(docs: DataFrame, model: str | None = None, n_best: int = N_BEST) ->
     def run(batches):
         lattice = lattice_of(model or model_path(), n_best)
         for b in batches:
-            rows = []
-            for t in b["text"]:
-                t = t if isinstance(t, str) else ""
-                ids, scores = lattice.encode(t)
-                rows.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), scores[0], scores, lattice.decode(ids) == t))
-            out = pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "best_score", "nbest_scores", "round_trip"])
-            out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy(dtype=object) if b["doc_id"].isna().any() else b["doc_id"])
-            yield out
-
-    return documents(docs).mapInPandas(run, SCHEMA)
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                rows, scores, lists, counts = [], [], [], [0]
+                for t in part.column("text").to_pylist():
+                    t = t or ""
+                    ids, score = lattice.encode_all(t)
+                    ids_ = [np.array(x, np.int32) for x in ids]
+                    rows.append((len(ids[0]), zlib.crc32(ids_[0].astype("<u4").tobytes()), score[0], lattice.decode(ids[0]) == t))
+                    scores.append(score)
+                    lists += ids_
+                    counts.append(len(lists))
+                n, crc, best, back = zip(*rows, strict=True)
+                columns = {
+                    "doc_id": part.column("doc_id"), "n_pieces": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "best_score": pa.array(best, pa.float64()),
+                    "nbest_scores": _nested(scores, pa.float64()), "round_trip": pa.array(back, pa.bool_()), "nbest_ids": pa.ListArray.from_arrays(np.array(counts, np.int32), _nested(lists, pa.int32())),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return documents(docs).mapInArrow(run, SCHEMA)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    return segment(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The figures of :func:`segment`, which derives them from the ids."""
+    return segment(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("nbest_ids")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: every document that is left, encoded and decoded again."""
+    """The last stage: every document that is left, encoded (``nbest_ids``) and decoded again."""
     return segment(docs)

@@ -172,6 +172,22 @@ def test_segment(spark, docs_of):
     assert piecewise.segment(docs_of([])).count() == 0
 
 
+def test_segment_gives_the_n_best(docs_of):
+    rng = random.Random(15)
+    rows = [*ODD, (20, "the band in\nthe inn"), (21, " two  marks"), *((30 + k, prose(rng, k)) for k in range(1, 12))]
+    got = piecewise.segment(docs_of(rows)).collect()
+    lat = piecewise.Lattice(piecewise.model_path())
+    names = {i: s for i, s in lat.pieces.values()}
+    assert len(got) == len(rows)
+    for r in got:
+        assert len(r.nbest_ids) == len(r.nbest_scores) == len({tuple(x) for x in r.nbest_ids}) and len(r.nbest_ids[0]) == r.n_pieces
+        assert zlib.crc32(np.array(r.nbest_ids[0], "<u4").tobytes()) == r.ids_crc32 and len({lat.decode(x) for x in r.nbest_ids}) == 1
+        for ids, score in zip(r.nbest_ids, r.nbest_scores):
+            if all(i in names for i in ids):
+                assert sum(names[i] for i in ids) == pytest.approx(score)
+    assert {len(r.nbest_ids) for r in got if r.doc_id and r.doc_id >= 20} == {piecewise.N_BEST}
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 def test_suffix_arrays():
     rng = random.Random(6)
