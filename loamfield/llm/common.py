@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamfield.staging import fresh_dir, shared_dir, staged
 
-__all__ = ["SPACE", "SPACES", "WORD", "documents", "fresh_dir", "read", "shared_dir", "split_by_partner", "staged", "text_key", "words"]
+__all__ = ["SPACE", "SPACES", "WORD", "documents", "fresh_dir", "read", "shared_dir", "slices", "split_by_partner", "staged", "text_key", "unsliced", "words"]
 
 #: Code points that part words, in Java, RE2 and Python regular expressions alike.
 SPACE = r"\x20\x09-\x0D"
@@ -31,6 +34,25 @@ def words(text) -> F.Column:
     return F.coalesce(F.array_remove(F.split(text, f"[{SPACE}]+"), ""), F.array().cast("array<string>"))
 
 
+#: Texts of an Arrow batch are worked on in slices of so many bytes (or one text).
+SLICE = 1 << 20
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE):
+    """Parts of a batch with about ``most`` bytes of text (or one row)."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def unsliced(array: pa.Array) -> pa.Array:
+    """A copy that starts at its buffers' start: some string functions of Arrow misread arrays that don't."""
+    return array.take(pa.array(np.arange(len(array))))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

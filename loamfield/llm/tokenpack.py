@@ -10,9 +10,12 @@ File: header, ids of documents, counts of their ids, word and escape offsets of
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamfield.llm.common import documents, fresh_dir, staged
+from loamfield.llm.common import documents, fresh_dir, slices, staged, unsliced
 
 #: Fixed values of the file format: (ids in a word, bits of each) by selector; the last is the escape.
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -28,13 +31,14 @@ ESCAPE = len(SELECTORS)
 MAGIC, VERSION = b"LS8B", 1
 HEADER = struct.Struct("<4sIIIQQQQ")
 BLOCK = 4096
-#: A file is closed once it has so many ids, so a writer's memory is bounded whatever a partition holds.
+#: A file is closed with the document that brings it to so many ids, so a writer's memory is bounded whatever a partition holds.
 FILE_IDS = 4_000_000
+#: Blocks are independent, so ids are packed as they come, so many blocks at a time.
+PACK_BLOCKS = 32
 NO_ID = -(1 << 63)
 U = np.uint64
-CACHE = 1_000_000
-#: Texts are encoded in slices of so many bytes.
-SLICE = 24 << 20
+#: Words that an encoder remembers.
+CACHE = 500_000
 TOKENIZER, END = "word_bpe_49k.json", 2
 
 
@@ -96,11 +100,47 @@ def unpack(words: np.ndarray, escapes: np.ndarray, offsets: np.ndarray, n: int,
     return out
 
 
+class Packer:
+    """Takes the ids of documents as they come and keeps nothing but packed blocks; :meth:`finish` gives the file."""
+
+    def __init__(self, block: int = BLOCK):
+        self.block, self.n = block, 0
+        self.names: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.words, self.escapes, self.at, self.esc_at = [], [], [np.zeros(1, U)], [np.zeros(1, U)]
+        self.rest = np.zeros(0, np.uint32)
+
+    def add(self, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        self.names.append(doc_ids.astype("<i8"))
+        self.counts.append(counts.astype("<u8"))
+        self.n += len(ids)
+        self.rest = np.concatenate([self.rest, ids])
+        step = PACK_BLOCKS * self.block
+        whole = len(self.rest) // step * step
+        for i in range(0, whole, step):
+            self._pack(self.rest[i : i + step])
+        self.rest = self.rest[whole:].copy()
+
+    def _pack(self, ids: np.ndarray) -> None:
+        words, escapes, at, esc_at = pack(ids, self.block)
+        self.at.append(at[1:] + self.at[-1][-1])
+        self.esc_at.append(esc_at[1:] + self.esc_at[-1][-1])
+        self.words.append(words)
+        self.escapes.append(escapes)
+
+    def finish(self) -> bytes:
+        if len(self.rest):
+            self._pack(self.rest)
+        parts = self.names + self.counts + self.at + self.esc_at + self.words + self.escapes
+        docs, words, escapes = (sum(map(len, x)) for x in (self.names, self.words, self.escapes))
+        body = b"".join([HEADER.pack(MAGIC, VERSION, self.block, 0, docs, self.n, words, escapes), *(x.astype(x.dtype.newbyteorder("<")).data for x in parts)])
+        return body + struct.pack("<I", zlib.crc32(body))
+
+
 def dump(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
-    words, escapes, at, esc_at = pack(ids, block)
-    head = HEADER.pack(MAGIC, VERSION, block, 0, len(doc_ids), len(ids), len(words), len(escapes))
-    body = b"".join([head, doc_ids.astype("<i8").tobytes(), counts.astype("<u8").tobytes(), at.astype("<u8").tobytes(), esc_at.astype("<u8").tobytes(), words.astype("<u8").tobytes(), escapes.astype("<u8").tobytes()])
-    return body + struct.pack("<I", zlib.crc32(body))
+    packer = Packer(block)
+    packer.add(doc_ids, counts, ids)
+    return packer.finish()
 
 
 def load(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +154,28 @@ def load(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for size, kind in ((docs, "<i8"), (docs, "<u8"), (blocks + 1, "<u8"), (blocks + 1, "<u8"), (words, "<u8"), (escapes, "<u8")):
         parts.append(np.frombuffer(data, kind, size, at))
         at += 8 * size
-    return parts[0], parts[1].astype(np.int64), unpack(parts[4], parts[5], parts[2], n, block)
+    names, counts, at, esc_at, words, escapes = parts
+    ids, step = np.empty(n, U), PACK_BLOCKS
+    at, esc_at = at.astype(np.int64), esc_at.astype(np.int64)
+    for b in range(0, blocks, step):  # some blocks at a time, so that decoding needs little memory beside the ids
+        e = min(blocks, b + step)
+        ids[b * block : e * block] = unpack(words[at[b] : at[e]], escapes[esc_at[b] : esc_at[e]], at[b : e + 1] - at[b], min(n, e * block) - b * block, block)
+    return names, counts.astype(np.int64), ids
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it is printable, else one from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+
+
+#: Words of printable ASCII and Latin letters whose lower case is one letter are parted here, as the tokenizer parts them;
+#: the library's model gives the ids of each part. All other words go through the whole tokenizer.
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e"
+_SIMPLE = re.compile(f"[!-~{_LATIN}]*")
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z{_LATIN}0-9]+")
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Encoder:
@@ -127,36 +188,65 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.sep = "<|endoftext|>"
         self.sep_id = self.tok.token_to_id(self.sep)
+        kind = json.loads(self.tok.to_str())
+        steps = [x.get("type") for x in (kind["normalizer"] or {}).get("normalizers", [])], [x.get("type") for x in (kind["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        split = ((kind["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
+        self.simple = steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and split == _SPLIT
+        self.letters = _byte_letters()
         self.clear()
 
     def clear(self):
         self.at: dict[str, int] = {}
+        self.parts: dict[str, list[int]] = {}
         self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, words: list[str]):
-        plain = [w for w in words if "<|" not in w]
-        odd = [w for w in words if "<|" in w]
-        parts: list[np.ndarray] = []
-        for i in range(0, len(plain), 2000):  # one call for many words, told apart by a special token
+    def _part(self, s: str) -> list[int]:
+        got = self.parts.get(s)
+        if got is None:
+            raw = s if s.isascii() else "".join([self.letters[b] for b in s.encode()])
+            got = self.parts[s] = [t.id for t in self.tok.model.tokenize(raw)]
+        return got
+
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        """Ids of words by the whole tokenizer: many in one call, told apart by a special token."""
+        plain = [i for i, w in enumerate(words) if "<|" not in w]
+        out: list[list[int]] = [[]] * len(words)
+        for i in range(0, len(plain), 2000):
             some = plain[i : i + 2000]
-            ids = np.array(self.tok.encode_batch_fast([f" {self.sep} ".join(some) + f" {self.sep}"], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(ids == self.sep_id)
-            parts += [x[:-1] for x in np.split(ids, ends[:-1] + 1)]
-        parts += [np.array(x.ids, np.uint32) for x in self.tok.encode_batch_fast(odd, add_special_tokens=False)]
+            ids = self.tok.encode_batch_fast([f" {self.sep} ".join([words[k] for k in some]) + f" {self.sep}"], add_special_tokens=False)[0].ids
+            ends = [k for k, x in enumerate(ids) if x == self.sep_id]
+            for k, a, b in zip(some, [-1, *ends], ends):
+                out[k] = ids[a + 1 : b]
+        odd = sorted({*range(len(words))} - {*plain})
+        for k, x in zip(odd, self.tok.encode_batch_fast([words[k] for k in odd], add_special_tokens=False), strict=True):
+            out[k] = x.ids
+        return out
+
+    def _learn(self, words: list[str]):
+        part, simple = self._part, _SIMPLE.fullmatch
+        ids: list[list[int] | None] = [None] * len(words)
+        if self.simple:
+            for k, w in enumerate(words):
+                if "<|" not in w and simple(w):
+                    low = w.lower()
+                    ids[k] = part(low) if low.isalpha() else list(chain.from_iterable([part(x) for x in _PARTS.findall(low)]))
+        rest = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(rest, self._whole([words[k] for k in rest]), strict=True):
+            ids[k] = x
         n = len(self.first) - 1
-        self.at.update((w, n + k) for k, w in enumerate(plain + odd))
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in parts])])
-        self.flat = np.concatenate([self.flat, *parts])
+        self.at.update(zip(words, range(n, n + len(words)), strict=True))
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in ids])])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, their count for each text) of a string array; null is empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = pc.fill_null(unsliced(texts).cast(pa.large_string()), "")
         # A-Z may be folded first, as the tokenizer folds case, but not where a special token could come to be
         folded = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         lists = pc.ascii_split_whitespace(folded)
         coded = pc.dictionary_encode(pc.list_flatten(lists))
         known = coded.dictionary.to_pylist()
-        if len(self.at) > CACHE:
+        if len(self.at) > CACHE or len(self.parts) > CACHE:
             self.clear()
         of = list(map(self.at.get, known))
         if None in of:
@@ -181,16 +271,6 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def slices(batch: pa.RecordBatch, most: int = SLICE):
-    """Parts of a batch with about ``most`` bytes of text (or one row)."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -223,7 +303,7 @@ MANIFEST = "part long, piece long, path string, n_docs long, n_ids long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str | None = None, end_id: int = END) -> DataFrame:
+def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str | None = None, end_id: int = END, file_ids: int = FILE_IDS) -> DataFrame:
     """Write the ids of ``docs`` to files below ``out_dir``, in ascending doc_id order from file to file (nulls first; rows
     that repeat a doc_id in the order of their texts), and return the manifest: ``part, piece, path, n_docs, n_ids``.
 
@@ -235,24 +315,28 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str | None = None, en
         from pyspark import TaskContext
 
         part, enc = TaskContext.get().partitionId(), encoder(tokenizer or tokenizer_path())
-        held: list[tuple] = []
-        piece = 0
+        packer, piece = Packer(), 0
 
         def flush():
             path = f"{out_dir}/tokens-{part:06d}-{piece:05d}.s8b"
-            names, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            _write(path, dump(names, counts, ids))
-            return pa.RecordBatch.from_pydict({"part": [part], "piece": [piece], "path": [path], "n_docs": [len(names)], "n_ids": [len(ids)]})
+            _write(path, packer.finish())
+            return pa.RecordBatch.from_pydict({"part": [part], "piece": [piece], "path": [path], "n_docs": [sum(map(len, packer.names))], "n_ids": [packer.n]})
 
         for whole in batches:
             for batch in slices(whole):
                 ids, counts = enc.encode(batch.column("text"))
                 ids = np.insert(ids, np.cumsum(counts), end_id)
-                held.append((pc.fill_null(batch.column("doc_id"), NO_ID).to_numpy(zero_copy_only=False), counts + 1, ids))
-                if sum(len(x[2]) for x in held) >= FILE_IDS:
-                    yield flush()
-                    held, piece = [], piece + 1
-        if held:
+                names, counts = pc.fill_null(batch.column("doc_id"), NO_ID).to_numpy(zero_copy_only=False), counts + 1
+                ends, at = np.cumsum(counts), 0
+                while at < len(names):  # a file ends with the document that fills it
+                    before = int(ends[at - 1]) if at else 0
+                    stop = min(len(names), int(np.searchsorted(ends, before + file_ids - packer.n)) + 1)
+                    packer.add(names[at:stop], counts[at:stop], ids[before : ends[stop - 1]])
+                    at = stop
+                    if packer.n >= file_ids:
+                        yield flush()
+                        packer, piece = Packer(), piece + 1
+        if packer.n:
             yield flush()
 
     return ranged.mapInArrow(run, MANIFEST)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from loamfield.llm import decontam, langid, linededup, ngramjoin, piecewise, quality, sharding, suffix, tokenpack, toxicity
+from loamfield.llm import common, decontam, langid, linededup, ngramjoin, piecewise, quality, sharding, suffix, tokenpack, toxicity
 
 LONG = "word " * 3000
 ODD = [(1, None), (2, ""), (3, "  \n\t "), (4, "One."), (5, LONG), (6, "One."), (6, "One."), (None, "No id here."), (7, "ünï çødé 中文 \x00 end.")]
@@ -140,6 +140,37 @@ def test_token_files(spark, docs_of, tmp_path):
     assert tokenpack.read_tokens(empty).count() == 0
 
 
+def test_slices_of_a_batch_encode_alike():
+    enc, rng = tokenpack.Encoder(tokenpack.tokenizer_path()), random.Random(41)
+    texts = [" ".join(rng.choice(["Über", "it's", "x9y", "naïve!!", "don't…", "a-b", "ŉ", "ſt", "İx", "日本", "e\u0301"]) + rng.choice(WORDS) for _ in range(rng.randrange(30))) for _ in range(300)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    at = 0
+    for part in common.slices(batch, 1000):
+        ids, counts = enc.encode(part.column("text"))
+        for got in np.split(ids, np.cumsum(counts)[:-1]):
+            assert got.tolist() == enc.tok.encode(texts[at], add_special_tokens=False).ids
+            at += 1
+    assert at == len(texts)
+
+
+def test_files_end_with_the_document_that_fills_them(docs_of, tmp_path):
+    rows = [(i, f"w{i} " * (i % 23)) for i in range(60)]
+    whole = tokenpack.Packer(64)
+    many = tokenpack.Packer(64)
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 3000, 40)
+    ids = rng.integers(0, 1 << 31, counts.sum(), dtype=np.uint32)
+    whole.add(np.arange(40), counts, ids)
+    for i, part in enumerate(np.split(ids, np.cumsum(counts)[:-1])):
+        many.add(np.array([i]), counts[i : i + 1], part)
+    assert whole.finish() == many.finish()
+    enc = tokenpack.Encoder(tokenpack.tokenizer_path())
+    manifest = tokenpack.write_tokens(docs_of(rows), f"file://{tmp_path}", file_ids=50).cache()
+    assert manifest.count() > 4 and all(r.n_ids < 50 + 24 * 4 for r in manifest.collect())
+    got = {r.doc_id: r.n_tokens for r in tokenpack.read_tokens(manifest).collect()}
+    assert got == {i: len(enc.tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 def test_n_best_is_exact():
     lat = piecewise.Lattice(piecewise.model_path())
