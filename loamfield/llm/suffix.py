@@ -28,7 +28,7 @@ U = np.uint64
 LENGTH = 400
 GRAM = 100
 #: Bytes of segments in a shard, unless one anchor has more.
-SHARD = 6 << 20
+SHARD = 3 << 19
 _B = 0x9E3779B97F4A7C15
 _SALT = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -36,47 +36,76 @@ _SALT = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 # ---- suffix arrays ---------------------------------------------------------------------------------------------
 
 
-def _doubled(s: np.ndarray) -> np.ndarray:
-    """Suffix order of a string over a large alphabet: ranks of doubled length, for groups that still tie."""
-    n = len(s)
-    order = np.argsort(s, kind="stable")
-    v = s[order]
-    rank = np.empty(n, np.int64)
-    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-    size = np.diff(np.append(first, n))
-    rank[order] = np.repeat(first, size)
-    tied = np.repeat(size > 1, size)
-    at, k = order[tied], 1
-    while len(at):
-        other = np.where(at + k < n, rank[np.minimum(at + k, n - 1)] + 1, 0)
-        key = rank[at] * np.int64(n + 1) + other
-        o = np.argsort(key, kind="stable")
-        at, key = at[o], key[o]
-        group = rank[at]
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        base = np.repeat(start, np.diff(np.append(start, len(at))))
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-        rank[at] = group + (lead - base)
+def _seeded(t: np.ndarray, ends: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """An array with the leftmost-smaller suffixes, in the order given, at the ends of their buckets; 0 elsewhere."""
+    sa, c = np.zeros(len(t), np.int32), t[lms]
+    counts = np.bincount(c, minlength=len(ends))
+    o = np.argsort(c, kind="stable")
+    sa[np.repeat(ends - np.cumsum(counts), counts) + np.arange(len(lms))] = lms[o]
+    return sa
+
+
+def _induce_names(s: np.ndarray, small: np.ndarray, ends: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Like :func:`_induce`, of a string of names: a name's bucket is small, so suffixes are put in one by one."""
+    sa = _seeded(s, ends, lms).tolist()
+    before = np.concatenate([[-1], s[:-1]])
+    is_small = np.concatenate([[False], small[:-1]])
+    letter = np.where(is_small, -1, before).tolist()  # of the suffix one longer, if that is a larger one
+    edge = [0, *ends[:-1].tolist()]
+    for i in sa:  # larger suffixes, from the front; the loop meets what it has put in
+        c = letter[i]
+        if c >= 0:
+            sa[edge[c]] = i - 1
+            edge[c] += 1
+    letter = np.where(is_small, before, -1).tolist()
+    edge = (ends - 1).tolist()
+    for i in reversed(sa):  # smaller suffixes, from the back
+        c = letter[i]
+        if c >= 0:
+            sa[edge[c]] = i - 1
+            edge[c] -= 1
+    return np.array(sa, np.int32)
+
+
+def _sorted_substrings(s: np.ndarray, letters: int, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the leftmost-smaller substrings of a string of names, their names): three letters at a time, for those
+    that still tie. Where one ends its suffix is of the smaller kind, which stands above a larger one of equal letter."""
+    m, base = len(lms), np.int64(letters + 2)
+    size = np.append(np.diff(lms) + 1, 1)
+    pad = np.concatenate([s.astype(np.int64), np.zeros(3, np.int64)])
+    name, order, live, d = np.zeros(m, np.int64), np.arange(m), np.arange(m), 0
+    while len(live):
+        key = np.zeros(len(live), np.int64)
+        for k in range(d, d + 3):
+            inside = k < size[live]
+            key = key * base + np.where(inside, pad[np.where(inside, lms[live] + k, 0)], np.where(k == size[live], letters, letters + 1))
+        o = np.lexsort((key, name[live]))
+        live, key = live[o], key[o]
+        group = name[live]  # a name is the place of its group's first member
+        lead = np.concatenate([[True], group[1:] != group[:-1]])
+        new = lead | np.concatenate([[True], key[1:] != key[:-1]])
+        i = np.arange(len(live))
+        within = np.maximum.accumulate(np.where(new, i, 0)) - np.maximum.accumulate(np.where(lead, i, 0))
+        order[group + i - np.maximum.accumulate(np.where(lead, i, 0))] = live
+        name[live] = group + within
         heads = np.flatnonzero(new)
-        sizes = np.diff(np.append(heads, len(at)))
-        at = at[np.repeat(sizes > 1, sizes)]
-        k *= 2
-    out = np.empty(n, np.int64)
-    out[rank] = np.arange(n)
-    return out
+        many = np.diff(np.append(heads, len(live)))
+        live = live[np.repeat(many > 1, many)]
+        d += 3
+        live = live[size[live] >= d]
+    places = name[order]
+    return order, np.cumsum(np.concatenate([[0], places[1:] != places[:-1]]))
 
 
 def _induce(t: np.ndarray, small: np.ndarray, ends: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """All suffixes in order, from the leftmost-smaller ones in the order given."""
+    """All suffixes in order, from the leftmost-smaller ones in the order given, a bucket of equal first letters at a time.
+
+    Letters are bytes, which a stable argsort of numpy deals by radix, so all is linear.
+    """
     n, letters = len(t), len(ends)
     starts = np.concatenate([[0], ends[:-1]])
-    sa = np.full(n, -1, np.int64)
-    # leftmost-smaller suffixes at the ends of their buckets
-    c = t[lms]
-    counts = np.bincount(c, minlength=letters)
-    o = np.argsort(c, kind="stable")
-    sa[np.repeat(ends - counts, counts) + (np.arange(len(lms)) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts))] = lms[o]
+    sa = _seeded(t, ends, lms)
+    counts = np.bincount(t[lms], minlength=letters)
     lms_from = (ends - counts).tolist()
     head = starts.copy()
     present = np.flatnonzero(ends > starts).tolist()
@@ -136,78 +165,89 @@ def _induce(t: np.ndarray, small: np.ndarray, ends: np.ndarray, lms: np.ndarray)
 
 
 def suffix_array(t: np.ndarray, letters: int) -> np.ndarray:
-    """Starts of all suffixes of ``t`` in order. Letters are below ``letters``; the last letter, 0, stands nowhere else."""
+    """Starts of all suffixes of ``t`` in order. Letters are below ``letters``; the last, 0, stands nowhere else.
+
+    Bytes, at the first level, have few buckets, which are filled by array operations; the strings of names below it have
+    many small ones. Every level recurses until all names differ.
+    """
     n = len(t)
     if n == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int32)
+    few = letters <= 256
     differs = np.append(t[1:] != t[:-1], True)
-    at = np.where(differs, np.arange(n), n)
+    at = np.where(differs, np.arange(n, dtype=np.int32), np.int32(n))
     nxt = np.minimum.accumulate(at[::-1])[::-1]
     small = np.append(t[:-1] < t[1:], True)[nxt]
+    del differs, at, nxt
     small[-1] = True
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    ends = np.cumsum(np.bincount(t, minlength=letters))
-    sa = _induce(t, small, ends, lms)
-    isl = np.zeros(n, bool)
-    isl[lms] = True
-    got = sa[isl[sa]]
-    # names of the leftmost-smaller substrings (from one such place up to the next, both included)
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     m = len(lms)
-    where = np.empty(n, np.int32)
-    where[lms] = np.arange(m)
-    length = np.append(np.diff(lms), 0)[where[got]] + 1
+    ends = np.cumsum(np.bincount(t, minlength=letters))
+    if few:
+        sa = _induce(t, small, ends, lms)
+        isl = np.zeros(n, bool)
+        isl[lms] = True
+        which = np.searchsorted(lms, sa[isl[sa]])
+        del sa, isl
+        name = _names(t, lms, which)
+    else:
+        which, name = _sorted_substrings(t, letters, lms)
+    kinds = int(name[-1]) + 1
+    if kinds < m:
+        names = np.empty(m, np.int32)
+        names[which] = name
+        del name, which
+        which = suffix_array(names, max(kinds, 257))  # names are never taken for bytes
+    return (_induce if few else _induce_names)(t, small, ends, lms[which])
+
+
+def _names(t: np.ndarray, lms: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Names of the leftmost-smaller substrings (from one such place up to the next, both included) in their order."""
+    length = np.append(np.diff(lms), 0)[which] + 1
+    got = lms[which]
     a, b = got[:-1], got[1:]
     same = length[:-1] == length[1:]
     live, d = np.flatnonzero(same), 0
     while len(live):
         live = live[length[live] > d]
-        if not len(live):
-            break
         bad = t[a[live] + d] != t[b[live] + d]
         same[live[bad]] = False
         live = live[~bad]
         d += 1
-    name = np.concatenate([[0], np.cumsum(~same)])
-    kinds = int(name[-1]) + 1
-    if kinds < m:
-        s = np.empty(m, np.int64)
-        s[where[got]] = name
-        if kinds < 4096 and m > 16 * kinds:
-            deeper = suffix_array(s.astype(np.uint16), kinds)
-        else:
-            deeper = _doubled(s)
-        got = lms[deeper]
-    return _induce(t, small, ends, got)
+    return np.concatenate([[0], np.cumsum(~same)])
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(permuted common prefixes, the suffix that stands before each in order; -1: none) of a byte string."""
     n = len(text)
-    phi = np.empty(n, np.int64)
+    phi = np.empty(n, np.int32)
     phi[sa[1:]] = sa[:-1]
     phi[sa[0]] = -1
     has = phi >= 0
-    i = np.arange(n)
-    given = has & (i > 0) & (phi > 0)
+    given = has & (phi > 0)
+    given[0] = False
     given[1:] &= text[:-1] == text[phi[1:] - 1]
-    heads = np.flatnonzero(~given)
-    lcp = np.zeros(len(heads), np.int64)
+    heads = np.flatnonzero(~given).astype(np.int32)
+    lcp = np.zeros(len(heads), np.int32)
     live = np.flatnonzero(has[heads])
     pad = np.concatenate([text, np.zeros(16, np.uint8)])
     wide = np.ndarray(n + 8, "<u8", pad, strides=(1,))
-    x, y = heads[live], phi[heads[live]]
     while len(live):
-        diff = wide[np.minimum(x + lcp[live], n)] ^ wide[np.minimum(y + lcp[live], n)]
-        room = n - np.maximum(x, y) - lcp[live]
-        same = np.where(diff == 0, 8, np.log2((diff & (~diff + U(1))).astype(np.float64).clip(1)).astype(np.int64) >> 3)
-        same = np.minimum(same, room)
+        x, y, d = heads[live], phi[heads[live]], lcp[live]
+        diff = wide[np.minimum(x + d, n)] ^ wide[np.minimum(y + d, n)]
+        room = n - np.maximum(x, y) - d
+        same = np.where(diff == 0, 8, np.log2((diff & (~diff + U(1))).astype(np.float64).clip(1)).astype(np.int32) >> 3)
+        same = np.minimum(same, room).astype(np.int32)
         lcp[live] += same
-        go = same == 8
-        live, x, y = live[go], x[go], y[go]
-    last = np.maximum.accumulate(np.where(~given, i, 0))
-    full = np.zeros(n, np.int64)
+        live = live[same == 8]
+    i = np.arange(n, dtype=np.int32)
+    last = np.maximum.accumulate(np.where(~given, i, np.int32(0)))
+    full = np.zeros(n, np.int32)
     full[heads] = lcp
-    return np.where(has, np.maximum(full[last] - (i - last), 0), 0), phi
+    full = full[last]
+    full -= i
+    full += last
+    return np.where(has, np.maximum(full, 0), np.int32(0)), phi
 
 
 def repeated_starts(segments: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -219,7 +259,9 @@ def repeated_starts(segments: list[bytes], length: int = LENGTH) -> list[np.ndar
     text = np.frombuffer(b"\xff".join(segments) + b"\xff\xfe", np.uint8) + np.uint8(2)
     sa = suffix_array(text, 256)
     lcp, phi = common_prefixes(text, sa)
+    del sa
     hit = lcp >= length
+    del lcp
     twice = hit.copy()
     twice[phi[hit]] = True
     ends = np.cumsum(sizes + 1)
