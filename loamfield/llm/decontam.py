@@ -10,6 +10,9 @@ is still caught, and one value that is out of line ends a stretch but spoils no
 Verbatim copies need no literals: windows of the words themselves are joined too, and an item shorter than a window
 counts wherever all its words stand in a row, even if it is a single word. A word that begins a line or comes after a
 colon may or may not begin a sentence; texts with such words are read both ways.
+
+Every text is read once for the join: windows that a bitmap of the benchmark's windows doesn't know stay behind, the rest
+are joined as a table. Only documents and items that share a window are read again, for the runs and their slots.
 """
 
 from __future__ import annotations
@@ -18,12 +21,13 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamfield.llm.common import documents
+from loamfield.llm.common import documents, slices, split_by_partner, staged, text_key, unsliced
 
 U = np.uint64
 UNITS = frozenset(
@@ -38,13 +42,18 @@ _MAYBE_END = re.compile(r":[\"')\]”’»]*$")
 _EMPTY = U(xxhash.xxh3_64_intdigest(b""))
 LITERAL, NUM, UNIT, NAME = range(4)
 CACHE = 300_000
+#: Bits of the map of the benchmark's windows: 64 for each, up to 16 MB.
+MAP_BITS = (16, 27)
+#: Items whose windows a worker remembers.
+CACHE_ITEMS = 2_000
 
 
 @dataclass(frozen=True)
 class Params:
     """``window`` tokens are hashed; a run needs ``run`` tokens (or ``share`` of a shorter item, a window at least) and
     ``literals`` different literal words. Items of less than ``window`` and at least ``least`` tokens are one window.
-    Verbatim copies need the same tokens, without ``literals`` and ``least``."""
+    Verbatim copies need the same tokens, without ``literals`` and ``least``. The windows of up to ``block_items`` items
+    are broadcast for the join; those of more are shuffled."""
 
     window: int = 8
     run: int = 13
@@ -77,32 +86,40 @@ class Canon:
         self.at[w] = i = len(self.hash) - 1
         return i
 
-    def forms(self, text: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(template hashes, kinds, literal hashes) of the words of a text; once more, with the words that begin lines or
-        follow colons as beginnings of sentences, if that makes a difference."""
-        words, starts = [], []
-        for line in text.splitlines():
-            starts.append(len(words))
-            words += line.split()
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All words of texts (no nulls): (literal hashes, kinds, kinds read the other way, number of the text, place of each
+        text's first word and their end). The other way, words that begin lines or follow colons begin sentences."""
+        lines = pc.split_pattern(unsliced(texts).cast(pa.large_string()), "\n")
+        words = pc.utf8_split_whitespace(pc.list_flatten(lines))
+        flat = pc.list_flatten(words)
         if len(self.at) > CACHE:
             self.clear()
+        coded = pc.dictionary_encode(flat)
+        known = coded.dictionary.to_pylist()
         get, add = self.at.get, self._add
-        ix = [get(w) for w in words]
-        if None in ix:
-            ix = [add(w) if i is None and w not in self.at else self.at[w] for i, w in zip(ix, words, strict=True)]
-            self._grow()
-        i = np.fromiter(ix, np.int64, len(ix))
+        ix = np.fromiter([i if (i := get(w)) is not None else add(w) for w in known], np.int64, len(known))
+        self._grow()
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        real = np.array([bool(w) for w in known], bool)[which]  # white space at the ends of a line leaves empty words
+        i = ix[which[real]]
         lit, kind, end = self._arrays[0][i], self._arrays[1][i], self._arrays[2][i]
-        if not len(i):
-            return [(lit, kind, lit)]
+        before = np.concatenate([[0], np.cumsum(real)])
+        line_ends = before[words.offsets.to_numpy()]
+        text_ends = line_ends[lines.offsets.to_numpy()]
+        of = np.repeat(np.arange(len(texts)), np.diff(text_ends))
         name = kind == NAME
-        first = np.concatenate([[2], end[:-1]])
-        found = [np.where(name & (first == 2), LITERAL, kind)]
-        first[[x for x in starts if x < len(i)]] = 2
-        also = np.where(name & (first > 0), LITERAL, kind)
-        if (also != found[0]).any():
-            found.append(also)
-        return [(np.where(k == LITERAL, lit, k.astype(U)), k, lit) for k in found]
+        first = np.concatenate([[2], end[:-1]])[: len(end)]
+        first[text_ends[:-1][text_ends[:-1] < len(first)]] = 2
+        one = np.where(name & (first == 2), LITERAL, kind)
+        first[line_ends[:-1][line_ends[:-1] < len(first)]] = 2
+        two = np.where(name & (first > 0), LITERAL, kind)
+        return lit, one, two, of, text_ends
+
+    def forms(self, text: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(template hashes, kinds, literal hashes) of the words of a text; once more, with the words that begin lines or
+        follow colons as beginnings of sentences, if that makes a difference."""
+        lit, one, two, _, _ = self.tokens(pa.array([text]))
+        return [(np.where(k == LITERAL, lit, k.astype(U)), k, lit) for k in ([one] if (one == two).all() else [one, two])]
 
     def _grow(self):
         n = len(self._arrays[0])
@@ -215,38 +232,140 @@ class Index:
 
 
 SCHEMA = "doc_id long, item_id long, n_tokens long, coverage double, n_changed long"
+#: Windows of equal tokens meet only if they have the same size and both are templates or both are words.
+_WINDOW = "h long, kind int"
+_FOUND = "array<struct<item_id: long, n_tokens: long, coverage: double, n_changed: long>>"
+
+
+def _kind(exact: bool, k: int) -> int:
+    return 2 * k + exact
+
+
+def _item_windows(items: DataFrame, p: Params) -> DataFrame:
+    """``ik`` and the windows of each distinct item text, without repeats."""
+
+    def run(batches):
+        for b in batches:
+            for ik, text in zip(b.column("ik").to_pylist(), b.column("text").to_pylist(), strict=True):
+                for exact, k, h, *_ in Index([(0, text)], p).sizes:
+                    u = np.unique(h).view(np.int64)
+                    yield pa.RecordBatch.from_pydict({"ik": pa.array(np.full(len(u), ik)), "h": pa.array(u), "kind": pa.array(np.full(len(u), _kind(exact, k), np.int32))})
+
+    return items.select("ik", "text").dropDuplicates(["ik"]).mapInArrow(run, f"ik long, {_WINDOW}")
+
+
+def _mapped(windows: DataFrame, n: int) -> np.ndarray:
+    """Bitmap of the windows' hashes, as bytes; its size is bounded whatever the benchmark holds."""
+    bits = min(max(64 * n, 1).bit_length(), MAP_BITS[1])
+    bits = max(bits, MAP_BITS[0])
+    at = F.shiftrightunsigned("h", 64 - bits) + 1
+    parts = windows.select(at.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in parts:
+        m = np.frombuffer(r["m"], np.uint8)
+        lo = (r["n"] - 1) * len(m)
+        out[lo : lo + len(m)] = m[: len(out) - lo]
+    return out
+
+
+def _doc_windows(docs: DataFrame, known: np.ndarray, kinds: list[int], p: Params) -> DataFrame:
+    """``doc_id, tk`` and the windows of each text that the bitmap knows, without repeats."""
+    held = docs.sparkSession.sparkContext.broadcast(known)
+    schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("h", pa.int64()), ("kind", pa.int32())])
+
+    def run(batches):
+        bits, canon = held.value, Canon()
+        shift = U(64 - (len(bits).bit_length() - 1 + 3))
+        for whole in batches:
+            for b in slices(whole):
+                lit, one, two, of, _ = canon.tokens(pc.fill_null(b.column("text"), ""))
+                differ = np.zeros(b.num_rows, bool)
+                differ[of[one != two]] = True
+                other = differ[of]
+                forms = [(False, np.where(one == LITERAL, lit, one.astype(U)), of), (True, lit, of)]
+                if other.any():
+                    forms.append((False, np.where(two == LITERAL, lit, two.astype(U))[other], of[other]))
+                rows, hashes, sort = [], [], []
+                for exact, tokens, mine in forms:
+                    for kind in kinds:
+                        k = kind // 2
+                        if kind % 2 != exact or len(tokens) < k:
+                            continue
+                        h = rolled(tokens, k)
+                        at = h >> shift
+                        ok = np.flatnonzero((bits[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1)
+                        ok = ok[mine[ok] == mine[ok + k - 1]]
+                        rows.append(mine[ok])
+                        hashes.append(h[ok])
+                        sort.append(np.full(len(ok), kind, np.int32))
+                if rows and sum(map(len, rows)):
+                    key = np.stack([np.concatenate(rows), np.concatenate(hashes).view(np.int64), np.concatenate(sort)], 1)
+                    key = key[np.lexsort(key.T)]
+                    key = key[np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])]
+                    row = pa.array(key[:, 0])
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), b.column("tk").take(row), pa.array(key[:, 1]), pa.array(key[:, 2].astype(np.int32))], schema=schema)
+
+    return docs.mapInArrow(run, f"doc_id long, tk long, {_WINDOW}")
+
+
+def _found(docs: DataFrame, p: Params) -> DataFrame:
+    """``docs`` (with ``items``: ids and texts of those that share a window) with what :meth:`Index.matches` finds."""
+    names = [f.name for f in docs.schema if f.name not in ("items", "text")]
+
+    def run(batches):
+        canon, indexes = Canon(), {}
+        for b in batches:
+            for at in range(b.num_rows):
+                forms, best = canon.forms(b.column("text")[at].as_py()), {}
+                for item in b.column("items")[at].as_py():
+                    text = item["text"]
+                    if text not in indexes:
+                        if len(indexes) >= CACHE_ITEMS:
+                            indexes.clear()
+                        indexes[text] = Index([(0, text)], p)
+                    for got in indexes[text].matches(forms):
+                        best[item["item_id"]] = max(best.get(item["item_id"], (0,)), got[1:])
+                rows = [{"item_id": i, "n_tokens": n, "coverage": c, "n_changed": x} for i, (n, c, x) in best.items()]
+                kept = b.slice(at, 1)
+                kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_tokens", pa.int64()), ("coverage", pa.float64()), ("n_changed", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), pa.array([rows], kind)], names=[*names, "found"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
+    return docs.mapInArrow(run, f"{fields}, found {_FOUND}").filter("size(found) > 0")
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, p: Params) -> DataFrame:
+    """``doc_id, tk`` (tells apart the texts of a repeated doc_id) and ``found`` of each distinct document with an item."""
+    docs = documents(docs).filter("text is not null").withColumn("tk", text_key())
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
+    items = staged(items.withColumn("ik", F.xxhash64("text")), "items")
+    windows = staged(_item_windows(items, p), "item-windows")
+    n = windows.count()
+    kinds = sorted(r["kind"] for r in windows.select("kind").distinct().collect())  # two for each size up to a window
+    met = _doc_windows(docs, _mapped(windows, n), kinds, p)
+    small = items.count() <= p.block_items
+    pairs = met.join(F.broadcast(windows) if small else windows, ["h", "kind"]).select("doc_id", "tk", "ik").distinct()
+    pairs = pairs.join(F.broadcast(items) if small else items, "ik")
+    wanted = pairs.groupBy(F.col("doc_id").alias("d_"), F.col("tk").alias("t_")).agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    wanted = staged(wanted, "suspects")
+    some, _ = split_by_partner(docs, F.col("tk"), wanted.select("t_"), F.col("t_"))
+    some = some.dropDuplicates(["doc_id", "tk"]).join(wanted, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("tk") == F.col("t_")))
+    return _found(some.select("doc_id", "tk", "text", "items"), p)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
     """A row for each document and benchmark item whose template it contains: ``doc_id, item_id, n_tokens`` (of the
     longest run), ``coverage`` (its share of the item) and ``n_changed`` (slots with another value).
 
-    Null and empty texts contain nothing; null items and items without a word are contained nowhere. Repeated rows of documents
-    give repeated rows; of repeated items with one id the longest run counts. Benchmark items are broadcast in blocks
-    of ``block_items``, so the size of what is broadcast is bounded; all documents meet all blocks.
+    Null and empty texts contain nothing; null items and items without a word are contained nowhere; a null item_id is an
+    id of its own. Rows that repeat doc_id and text give repeated rows; of repeated items with one id the longest run
+    counts. Other columns aren't read. An empty table, of documents or of items, gives none.
     """
-    spark = docs.sparkSession
-    docs = documents(docs)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    blocks = max(1, -(-items.count() // p.block_items))
-    out = None
-    for b in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        held = spark.sparkContext.broadcast(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in part.collect()))
-
-        def run(batches, held=held):
-            index, canon = Index(held.value, p), Canon()
-            for batch in batches:
-                rows = []
-                for d, t in zip(batch["doc_id"], batch["text"], strict=True):
-                    if isinstance(t, str) and t:
-                        rows += [(d, *m) for m in sorted(index.matches(canon.forms(t)))]
-                frame = pd.DataFrame(rows, columns=["doc_id", "item_id", "n_tokens", "coverage", "n_changed"])
-                yield frame.astype({"doc_id": "Int64"})
-
-        found = docs.mapInPandas(run, SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out
+    found = staged(_contaminated(docs, benchmark, p), "contaminated")
+    rows = documents(docs).select(F.col("doc_id").alias("d_"), text_key().alias("t_"))
+    some, _ = split_by_partner(rows, F.col("t_"), found.select("tk"), F.col("tk"))
+    out = some.join(found, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("tk") == F.col("t_")))
+    return out.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
@@ -254,6 +373,13 @@ def op10(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item; the columns of ``docs``."""
-    bad = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """Documents that contain no benchmark item; the columns of ``docs``.
+
+    A document goes by its doc_id and text together, so another text of the same doc_id, or of none, stays. Rows with a
+    null text stay. Rows that repeat both stay or go together; whatever other columns there are, they are kept.
+    """
+    found = staged(_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Params()).select(F.col("doc_id").alias("g_"), F.col("tk").alias("k_")), "contaminated")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col("doc_id").cast("long").alias("d_"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("tk_"))
+    some, rest = split_by_partner(rows, F.col("tk_"), found, F.col("k_"))
+    kept = some.join(found, F.col("d_").eqNullSafe(F.col("g_")) & (F.col("tk_") == F.col("k_")), "left_anti")
+    return kept.unionByName(rest).select("row_.*")
