@@ -18,6 +18,8 @@ from loamfield.llm.common import documents
 PROFILE = 400
 #: Training documents of a language, as expected from a hash of doc_id: the documented bound of what is learned from.
 TRAIN_PER_LANG = 4000
+#: So many languages, those with the most documents, have a profile: the bound of what reaches the driver.
+MOST_LANGS = 500
 #: Texts are counted in pieces of so many characters, so that memory stays bounded.
 PIECE = 1 << 18
 _FOLD: list[np.ndarray] = []
@@ -37,25 +39,28 @@ def _fold() -> np.ndarray:
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams of the letters of a text as numbers (21 bits a letter; 0: a run of other characters), and their counts."""
+    """n-grams of the letters of a text as numbers (21 bits a letter; 1: a run of other characters), and their counts.
+
+    Pieces of a long text begin with the last two letters of the piece before, and each n-gram counts where it ends, so
+    the counts are those of the whole.
+    """
     found: list[tuple[np.ndarray, np.ndarray]] = []
+    past = np.zeros(1, np.uint64)
     for at in range(0, max(len(text), 1), PIECE):
-        piece = text[max(0, at - 2) : at + PIECE]
-        c = _fold()[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
-        c = np.concatenate([[0], c, [0]]).astype(np.uint64)
+        c = _fold()[np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
+        c = np.concatenate([past, c] if at + PIECE < len(text) else [past, c, np.zeros(1, np.uint64)])
         c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
-        two = (c[:-1] << np.uint64(21)) | c[1:]
-        three = (two[:-1] << np.uint64(21)) | c[2:] if len(c) > 2 else two[:0]
-        mid = three & np.uint64((1 << 42) - 1 ^ ((1 << 21) - 1))
-        every = np.concatenate([c[c != 0], two, three[mid != 0]])
+        n = np.maximum(c, np.uint64(1))
+        two = (n[:-1] << np.uint64(21)) | n[1:]
+        three = (two[:-1] << np.uint64(21)) | n[2:] if len(n) > 2 else two[:0]
+        mid = c[1:-1] != 0
+        one, two, mid, three = n[len(past) :][c[len(past) :] != 0], two[len(past) - 1 :], mid[max(0, len(past) - 2) :], three[max(0, len(past) - 2) :]
+        every = np.concatenate([one, two, three[mid]])
         every.sort()
         new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
         found.append((every[new], np.diff(np.append(new, len(every)))))
-    if len(found) == 1:
-        return found[0]
-    keys = np.concatenate([k for k, _ in found])
-    uniq, at = np.unique(keys, return_inverse=True)
-    return uniq, np.bincount(at, np.concatenate([n for _, n in found])).astype(np.int64)
+        past = c[-2:]
+    return _merged(found)
 
 
 def ranked(keys: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.ndarray:
@@ -84,7 +89,7 @@ class Profiles:
             return "und", 0.0
         keys, counts = grams(text)
         mine = ranked(keys, counts, self.size)
-        if not len(mine) or not (mine != 0).any():
+        if not len(mine):
             return "und", 0.0
         at = np.searchsorted(self.keys, mine)
         at[at == len(self.keys)] = len(self.keys)
@@ -105,15 +110,12 @@ def learn(docs: DataFrame, size: int = PROFILE, per_lang: int = TRAIN_PER_LANG)
     """Profiles from about ``per_lang`` documents of each language (all, where there are fewer), chosen by a hash of
     their ids. ``docs``: doc_id, text, lang; rows with null text or lang teach nothing.
 
-    What reaches the driver is a count for each language and ``size`` n-grams of each.
+    What reaches the driver is ``size`` n-grams of at most :data:`MOST_LANGS` languages.
     """
     docs = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return Profiles({}, size)
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) < min(1.0, per_lang / n) * (1 << 20)))
+    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang")).orderBy(F.desc("of_lang"), "lang").limit(MOST_LANGS)
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) * F.col("of_lang") < F.lit(per_lang << 20)
+    chosen = docs.join(F.broadcast(counts), "lang").filter(drawn)  # MOST_LANGS rows at most
 
     def tally(batches):
         total: dict[str, list] = {}
@@ -126,7 +128,7 @@ def learn(docs: DataFrame, size: int = PROFILE, per_lang: int = TRAIN_PER_LANG)
             k, n = _merged(parts)
             yield pd.DataFrame({"lang": lang, "gram": k.astype(np.int64), "n": n.astype(np.int64)})
 
-    found = docs.filter(keep).select("lang", "text").mapInPandas(tally, "lang string, gram long, n long")
+    found = chosen.select("lang", "text").mapInPandas(tally, "lang string, gram long, n long")
     found = found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by: dict[str, list[int]] = {}
     cut = found.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(32)))
