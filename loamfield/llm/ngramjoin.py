@@ -106,11 +106,12 @@ def _full_sets(texts: DataFrame, p: Params) -> DataFrame:
     return texts.mapInArrow(run, "cid long, n long, tokens array<long>")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """``node, root`` (the smallest node of its component) for all nodes of ``edges`` (a, b): large stars and small stars.
 
     Each round links every node's larger neighbours, then its smaller ones, to its smallest; rounds grow with the
-    logarithm of the longest path. All stays distributed and each round is a written table.
+    logarithm of the longest path. All stays distributed and each round is a written table. Rounds go on until nothing
+    changes; RuntimeError if ``rounds`` don't do.
     """
     e = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     before = None
@@ -125,6 +126,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components aren't stable after {rounds} rounds")
     roots = e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
