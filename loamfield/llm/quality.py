@@ -119,12 +119,17 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, with their failing lines removed (and n_chars counted anew); the columns of ``docs``."""
-    judged = _judged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col("text")), Rules())
+    """Documents that pass, with their failing lines removed (and n_chars counted anew); the columns of ``docs``.
+
+    Null and empty texts fail the base counts and go. Repeated rows stay or go alike. Other columns are carried along under
+    names of their own, so they can't clash. An empty table stays empty.
+    """
+    at = {c: "text" if c == "text" else f"in{i}_" for i, c in enumerate(docs.columns)}
+    judged = _judged(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()]), Rules())
     swap = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
     # the numbering keeps the filter above the counts; pushed below them it would compute each of them again and again
     judged = judged.withColumn("row_no_", F.monotonically_increasing_id()).filter("kept and row_no_ >= 0")
-    return judged.select(*[swap.get(c, F.col(f"row_.`{c}`")).alias(c) for c in docs.columns])
+    return judged.select(*[swap.get(c, F.col(at[c])).alias(c) for c in docs.columns])
 
 
 _W = rf"regexp_extract_all(coalesce(text, ''), '{WORD}')"
