@@ -91,11 +91,40 @@ def test_language(spark):
 
 
 def test_grams_in_pieces(monkeypatch):
-    text = "Straße und ÉTÉ, 3 mots. " * 40
-    whole = langid.grams(text)
-    monkeypatch.setattr(langid, "PIECE", 100)
-    parts = langid.grams(text)
-    assert set(whole[0]) <= set(parts[0])
+    for text in ("Straße und ÉTÉ, 3 mots. " * 40, "a" * 350, " - " * 200, "ab, " * 75, "", "x" * 99 + "  " + "y" * 99):
+        monkeypatch.setattr(langid, "PIECE", 1 << 18)
+        whole = langid.grams(text)
+        for piece in (1, 2, 3, 100):
+            monkeypatch.setattr(langid, "PIECE", piece)
+            parts = langid.grams(text)
+            assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
+
+
+def brute_language(text, by_lang, size):
+    """(language, sum of ranks out of place) by plain lists."""
+    folded = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text)
+    s = " " + " ".join(folded.split()) + " "
+    s = " " if not s.strip() else s
+    seen = Counter(s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1))
+    seen = {g: n for g, n in seen.items() if g != " " and not (len(g) == 3 and g[1] == " ")}
+    number = lambda g: sum((1 if c == " " else ord(c)) << 21 * k for k, c in enumerate(reversed(g)))
+    mine = sorted(seen, key=lambda g: (-seen[g], number(g)))[:size]
+    far = {x: sum(min(abs(p.index(number(g)) - i), size) if number(g) in p else size for i, g in enumerate(mine)) for x, p in by_lang.items()}
+    best = min(sorted(far), key=far.get)
+    return best, 1 - far[best] / (size * len(mine))
+
+
+def test_language_by_brute_force():
+    rng = random.Random(33)
+    say = lambda some, n: " ".join("".join(rng.choice(some) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    texts = {"a": say(["ka", "É", "ru"], 60), "b": say(["Sch", "ung", "ß"], 60), "c": say(["ka", "ung", "x1y"], 60)}
+    by = {x: langid.ranked(*langid.grams(t), 30).tolist() for x, t in texts.items()}
+    by["d"] = list(by["a"])  # a tie: the first by name wins
+    p = langid.Profiles(by, 30)
+    for _ in range(100):
+        text = say(rng.choice([["ka", "É"], ["Sch", "ß", "x1y"], ["Q", "中"]]), rng.randint(1, 30))
+        lang, score = p.predict(text)
+        assert (lang, score) == (brute_language(text, by, 30)[0], pytest.approx(brute_language(text, by, 30)[1])) and lang != "d"
 
 
 # 4 ---------------------------------------------------------------------------------------------------------------
@@ -441,6 +470,76 @@ def test_decontamination_of_verbatim_copies(spark, docs_of):
     assert got == {(0, 0): 0, (1, 1): 0, (2, 2): 0, (3, 3): 0, (4, 4): 0, (10, 4): 1, (11, 4): 1, (15, 3): 0, (16, 6): 2}
 
 
+def brute_contaminated(rows, items, p):
+    """(doc_id, item_id) -> tokens of the longest stretch, by trying every place of every item in every document."""
+    canon, out = decontam.Canon(), Counter()
+    for d, text in rows:
+        for item_id, item in items:
+            if not text or not item or not item.split():
+                continue
+            for n, (t, kind, lit) in enumerate(canon.forms(item)):
+                need = min(p.run, max(min(p.window, len(t)), int(np.ceil(p.share * len(t)))))
+                for other, other_kind, other_lit in canon.forms(text):
+                    for i in range(len(t)):
+                        for j in range(len(other)):
+                            k, there, back, words = 0, {}, {}, set()
+                            while len(t) >= p.least and i + k < len(t) and j + k < len(other) and t[i + k] == other[j + k]:
+                                if kind[i + k] == decontam.LITERAL:
+                                    words.add(lit[i + k])
+                                else:
+                                    ours, theirs = (kind[i + k], lit[i + k]), (kind[i + k], other_lit[j + k])
+                                    if there.setdefault(ours, theirs) != theirs or back.setdefault(theirs, ours) != ours:
+                                        break
+                                k += 1
+                            if k >= need and len(words) >= min(p.literals, k):
+                                out[d, item_id] = max(out[d, item_id], k)
+                            k = 0
+                            while i + k < len(t) and j + k < len(other) and lit[i + k] == other_lit[j + k]:
+                                k += 1
+                            if not n and k >= need and any(x != decontam._EMPTY for x in lit[i : i + k]):
+                                out[d, item_id] = max(out[d, item_id], k)
+    return dict(out)
+
+
+@pytest.mark.parametrize("few", [1, 50])
+def test_decontamination_by_brute_force(spark, docs_of, few):
+    rng = random.Random(16)
+    words = ["the", "of", "box", "has", "coins", "then", "Ann", "Bob", "3", "7", "12", "km", "-", "river.", "Old", "sold", "to:", "apples", "many", "so"]
+    say = lambda n: "".join(rng.choice(words) + rng.choice([" ", " ", " ", "\n", "  "]) for _ in range(n))
+    items = [(k, say(rng.choice([1, 3, 5, 6, 8, 12, 20, 25]))) for k in range(24)] + [(24, None), (25, " "), (3, say(9)), (None, say(9))]
+    rows = []
+    for d in range(60):
+        parts = []
+        for _ in range(rng.randrange(4)):
+            w = (rng.choice(items)[1] or "").split(" ")
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            lo = rng.randrange(max(1, len(w) // 2))
+            parts += [say(rng.randrange(4)), " ".join(w[lo:])]
+        rows.append((d % 50, " ".join(parts)))
+    rows += [(None, items[20][1]), (None, None), (5, ""), (7, items[20][1]), (7, items[20][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    p = decontam.Params(block_items=few)
+    got = Counter()
+    for r in decontam.contaminated(docs_of(rows), bench, p).collect():
+        got[r.doc_id, r.item_id] = max(got[r.doc_id, r.item_id], r.n_tokens)
+    want = brute_contaminated(rows, items, p)
+    assert len(want) > 40 and dict(got) == want
+
+
+def test_decontamination_stage(spark, docs_of, tmp_path):
+    q = "Yesterday the trader sold many crates of ripe apples and later bought some more crates near the old river market"
+    clean = ["a clean text", None, "", "another clean text"]
+    rows = [(1, clean[0]), (1, q), (1, q), (None, q), (None, clean[3]), (None, None), (2, None), (3, ""), (3, "so " + q)]
+    spark.createDataFrame([(1, q), (None, q)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = docs_of(rows).withColumnsRenamed({"source": "bad_id", "kept": "row_", "n_words": "d_", "lang": "tk_"})
+    left = decontam.stage(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    key = lambda x: (str(x[0]), str(x[1]))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=key) == sorted([x for x in rows if not x[1] or q not in x[1]], key=key)
+    assert decontam.stage(spark, docs_of([]), str(tmp_path)).count() == 0
+
+
 # pipeline --------------------------------------------------------------------------------------------------------
 def test_pipeline(spark, docs_of, tmp_path):
     import corpus_pipeline
