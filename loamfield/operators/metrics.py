@@ -76,3 +76,44 @@ def answer_match(a: F.Column, b: F.Column) -> tuple[F.Column, F.Column]:
     bare = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{Nd}]+", " "))
     word = lambda x: F.array_remove(F.split(F.lower(x), "[ \\n\\t]+"), "")
     return F.arrays_overlap(word(a), word(b)), bare(a) == bare(b)
+
+
+def distance(pairs: DataFrame) -> DataFrame:
+    """``id, score`` of pairs of vectors (id, a, b): their cosine, 0 where a length is 0 or sizes differ."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, z: s + z)
+    norm = F.sqrt(dot("a", "a") * dot("b", "b"))
+    return pairs.select("id", F.when((F.size("a") == F.size("b")) & (norm > 0), dot("a", "b") / norm).otherwise(0.0).alias("score"))
+
+
+def ab_report(results: DataFrame, epsilon: float = 0.0) -> DataFrame:
+    """One row about two variants' results (sample, variant a or b, score, ms): pairs, those that both score, their means,
+    wins, ties within ``epsilon``, and the mean difference of times. A pair that lacks a score is not compared."""
+    side = lambda v: results.filter(F.col("variant") == v).select("sample", F.col("score").alias(v), F.col("ms").alias(f"ms_{v}"))
+    p = side("a").join(side("b"), "sample")
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    return p.agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.count_if(both).alias("n_comparable"), F.round(F.avg(F.when(both, F.col("a"))), 6).alias("mean_a"), F.round(F.avg(F.when(both, F.col("b"))), 6).alias("mean_b"),
+        F.count_if(F.col("b") - F.col("a") > epsilon).alias("wins_b"), F.count_if(F.col("a") - F.col("b") > epsilon).alias("wins_a"), F.count_if(F.abs(F.col("a") - F.col("b")) <= epsilon).alias("ties"),
+        F.round(F.avg(F.col("ms_b") - F.col("ms_a")), 6).alias("ms_delta"),
+    )
+
+
+def accuracy(answers: DataFrame) -> DataFrame:
+    """``question_type, n, accuracy`` of answers (question_type, right), and of ``all``."""
+    return answers.rollup("question_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("right").cast("int")), 6).alias("accuracy"), F.grouping("question_type").alias("g")).select(
+        F.when(F.col("g") == 1, "all").otherwise(F.col("question_type")).alias("question_type"), "n", "accuracy"
+    )
+
+
+def corpus(docs: DataFrame, chosen: DataFrame | None, key: str, most: int | None = None) -> DataFrame:
+    """``key, place``: the chosen documents of a corpus in its order, or its first ``most``. A slice is small."""
+    d = docs.select(key) if chosen is None else docs.select(key).join(chosen.select(key).distinct(), key, "left_semi")
+    d = d.orderBy(key).limit(most) if most is not None else d
+    return d.withColumn("place", F.row_number().over(Window.orderBy(key)))
+
+
+def timings(records: DataFrame) -> DataFrame:
+    """``query, stage, n, ms`` of JSON records (body): query and its stages' times. Negative times are an error."""
+    r = records.select(F.from_json("body", "query long, stages array<struct<stage: string, ms: double>>", {"mode": "FAILFAST"}).alias("r")).select("r.query", F.explode("r.stages").alias("s"))
+    ms = F.when(F.col("s.ms") >= 0, F.col("s.ms")).otherwise(F.raise_error(F.lit("a negative time")).cast("double"))
+    return r.select("query", "s.stage", ms.alias("ms")).groupBy("query", "stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("ms"), 2).alias("ms"))

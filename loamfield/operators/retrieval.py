@@ -28,14 +28,20 @@ def budget(rows: DataFrame, group: str, order: str, cost: str, most: int) -> Dat
     return packed.select(group, F.explode(kept).alias(order))
 
 
+def _unit(vectors: pd.Series) -> np.ndarray:
+    """Vectors of length 1; a null vector, or one of another size than the longest, is near nothing."""
+    size = max((len(x) for x in vectors if x is not None), default=0)
+    v = np.array([x if x is not None and len(x) == size else [0.0] * size for x in vectors], np.float64).reshape(len(vectors), size)
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+
+
 def mmr(hits: DataFrame, k: int = 5, balance: float = 0.5) -> DataFrame:
     """``query, doc, place`` by maximal marginal relevance; ``hits``: query, doc, rank, score, embedding; ties go to the earlier rank."""
 
     def pick(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("rank", kind="stable")
-        v = np.stack(g["embedding"].to_list()).astype(np.float64)
-        norm = np.linalg.norm(v, axis=1, keepdims=True)
-        v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+        v = _unit(g["embedding"])
         near, left, taken = np.zeros(len(g)), list(range(len(g))), []
         while left and len(taken) < k:
             best = max(left, key=lambda i: (round(balance * g["score"].iat[i] - (1 - balance) * max(0.0, near[i]), 12), -i))
@@ -52,9 +58,7 @@ def drop_redundant(hits: DataFrame, least: float = 0.95) -> DataFrame:
 
     def pick(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("rank", kind="stable")
-        v = np.stack(g["embedding"].to_list()).astype(np.float64)
-        norm = np.linalg.norm(v, axis=1, keepdims=True)
-        v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+        v = _unit(g["embedding"])
         kept: list[int] = []
         for i in range(len(g)):
             if not kept or (v[kept] @ v[i]).max() < least:
@@ -65,7 +69,22 @@ def drop_redundant(hits: DataFrame, least: float = 0.95) -> DataFrame:
 
 
 def parents(children: DataFrame, whole: DataFrame) -> DataFrame:
-    """Each child (doc, child, start) with ``parent``: the first parent (doc, parent, start, end) that holds its start, else the last."""
-    c, p = children.alias("c"), whole.alias("p")
-    met = c.join(p, F.col("c.doc") == F.col("p.doc")).groupBy("c.doc", "c.child")
-    return met.agg(F.coalesce(F.min(F.when(F.col("c.start").between(F.col("p.start"), F.col("p.end")), F.col("p.parent"))), F.max("p.parent")).alias("parent"))
+    """Each child (doc, child, start) with ``parent``: the first parent (doc, parent, start, end; ends included) that holds
+    its start, else the document's last; null where the document has no parents.
+
+    A document's parents come as one array beside each child, so no row is made for a pair of them.
+    """
+    listed = whole.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("parent", "start", "end"))).alias("x"))  # one document's parents
+    met = children.join(listed, "doc", "left")
+    first = F.expr("filter(x, p -> start between p.start and p.end)[0].parent")
+    return met.select("doc", "child", F.coalesce(first, F.expr("element_at(x, -1).parent")).alias("parent"))
+
+
+def expand_parents(hits: DataFrame, links: DataFrame, bodies: DataFrame, k: int = 10) -> DataFrame:
+    """query, doc, text, score, rank: hits (query, doc, text, score, over-fetched) with each parent's text in place of its
+    best child's; hits without a parent stay as they are. ``links``: doc, parent; ``bodies``: parent, body."""
+    met = hits.join(links, "doc", "left").join(bodies, "parent", "left")
+    best = F.row_number().over(Window.partitionBy("query", F.coalesce(F.col("parent").cast("string"), F.concat(F.lit("child "), F.col("doc").cast("string")))).orderBy(F.desc("score"), "doc"))
+    one = met.withColumn("r", best).filter("r = 1").withColumn("text", F.coalesce("body", "text"))
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
+    return one.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "doc", "text", "score", "rank")

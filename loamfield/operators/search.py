@@ -34,7 +34,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: fl
     q = queries.select("query", F.explode(tokens(F.col("text"))).alias("term"))
     each = t.select("doc", F.explode("t").alias("term"))
     if groups is not None:
-        q, each = synonyms(q, groups), synonyms(each, groups)
+        q = expanded(queries.select("query", tokens(F.col("text")).alias("t")), groups)
+        each = expanded(t.select("doc", "t"), groups)
         lens = each.groupBy("doc").agg(F.count(F.lit(1)).alias("len"))
         stats = lens.agg(F.sum("len").alias("all_")).join(F.broadcast(t.agg(F.count(F.lit(1)).alias("n")))).select("n", (F.col("all_") / F.col("n")).alias("avg_len"))
         each = each.join(lens, "doc")
@@ -111,6 +112,32 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096
     return top(out, ["query"], "score", "doc", k)
 
 
+def scaled(hits: DataFrame, how: str) -> DataFrame:
+    """Cosines on another store's scale: ``certainty`` (1 + c) / 2, ``distance`` 1 - c, or ``cosine`` itself."""
+    c = F.col("score")
+    return hits.withColumn("score", F.round({"cosine": c, "certainty": (1 + c) / 2, "distance": 1 - c}[how], 6))
+
+
+def inner(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.0) -> DataFrame:
+    """query, doc, score, rank by the inner product of sparse vectors (doc or query, term, w); only positive products count,
+    of ``least`` at least."""
+    q = queries.select("query", "term", F.col("w").alias("wq"))
+    hits = vectors.join(q, "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
+    return top(hits.filter((F.col("score") > 0) & (F.col("score") >= least)), ["query"], "score", "doc", k)
+
+
+def pooled_logits(logits: DataFrame, k: int = 256) -> DataFrame:
+    """``key, term, w`` of logits (key, window, term, logit): the greatest positive one of each term over all tokens and
+    windows as ln(1 + x), the k heaviest terms (ties: the smaller)."""
+    w = logits.filter("logit > 0").groupBy("key", "term").agg(F.log1p(F.max("logit")).alias("w"))
+    return top(w, ["key"], "w", "term", k).select("key", "term", "w")
+
+
+def lookup(chunks: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The chunks that have one of the keys; keys without a chunk are left out."""
+    return chunks.join(keys.select(on).distinct(), on, "left_semi").select(chunks.columns)
+
+
 def fuse(lists: list[tuple[DataFrame, float]], k: int = 10, c: int = 60) -> DataFrame:
     """query, doc, score, rank by weighted reciprocal ranks of the lists (query, doc, rank from 1)."""
     every = None
@@ -134,6 +161,19 @@ def synonyms(toks: DataFrame, groups: DataFrame) -> DataFrame:
     return toks.unionByName(toks.join(pairs, "term").select(*[F.col("more").alias("term") if c == "term" else c for c in toks.columns]))
 
 
+def expanded(texts: DataFrame, groups: DataFrame, longest: int = 8) -> DataFrame:
+    """``key, term`` of texts (key, t: array of tokens): the tokens, and the tokens of every other member of the groups
+    (group_id, term) that a token or a phrase of neighbouring tokens belongs to. Phrases have up to ``longest`` words."""
+    key = texts.columns[0]
+    g = groups.select("group_id", F.lower("term").alias("term"))
+    pairs = g.alias("a").join(g.alias("b"), "group_id").filter("a.term <> b.term").select(F.col("a.term").alias("term"), F.col("b.term").alias("other")).distinct()
+    pairs = pairs.select("term", F.explode(tokens(F.col("other"))).alias("more"))
+    held = groups.agg(F.max(F.size(F.split("term", " "))).alias("n"))  # one row
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least("n", F.size("t") - i, F.lit(longest))), lambda n: F.array_join(F.slice("t", i + 1, n), " "))))
+    met = texts.join(F.broadcast(held)).filter("size(t) > 0").select(key, F.explode(spans).alias("term")).join(pairs, "term").select(key, F.col("more").alias("term"))
+    return texts.select(key, F.explode("t").alias("term")).unionByName(met)
+
+
 def federate(stores: list[DataFrame], k: int = 10, c: int = 60) -> DataFrame:
     """query, doc, score, store, rank: hits of several stores by reciprocal ranks; ties go to the better own score, then the
     earlier store, then the earlier rank."""

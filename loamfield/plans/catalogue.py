@@ -6,23 +6,11 @@ from pyspark.sql import functions as F
 
 from loamfield.functions import text as tx
 from loamfield.operators import chunking, graph, ingest, metrics, retrieval, search
+from loamfield.plans.registry import ORACLES, QUERIES, query
 from loamfield.session import table
 from loamfield.sources import web
 from loamfield.streaming import events as st
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
 
 # ---- text ----------------------------------------------------------------------------------------------------------
 TOK = rf"regexp_extract_all(lower(coalesce(text, '')), '{tx.TOKEN}')"
@@ -264,21 +252,36 @@ def reservoir_hash_sample(spark, d):
 
 
 # ---- ingestion -----------------------------------------------------------------------------------------------------
-_OLD = "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 3"
+_OLD = "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 3"
 
 
-@query(f"""SELECT doc_id, CASE WHEN a.text IS NULL THEN 'new' WHEN b.text IS NULL THEN 'deleted' WHEN sha256(a.text) = sha256(b.text) THEN 'unchanged' ELSE 'changed' END AS status
-FROM ({_OLD}) a FULL JOIN (SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 4) b USING (doc_id)""")
+@query(f"""SELECT doc_id, CASE WHEN NOT coalesce(a.here, false) THEN 'new' WHEN NOT coalesce(b.here, false) THEN 'deleted' WHEN sha256(a.text) IS NOT DISTINCT FROM sha256(b.text) THEN 'unchanged' ELSE 'changed' END AS status
+FROM (SELECT *, true AS here FROM ({_OLD})) a FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN text END AS text, true AS here FROM documents WHERE doc_id % 10 <> 4) b USING (doc_id)""")
 def change_detection(spark, d):
     docs = table(spark, d, "documents")
-    old = docs.filter("doc_id % 10 <> 3").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
-    return ingest.changes(old, docs.filter("doc_id % 10 <> 4"))
+    old = docs.filter("doc_id % 10 <> 3").select("doc_id", _edited().alias("text"))
+    return ingest.changes(old, docs.filter("doc_id % 10 <> 4").select("doc_id", F.when(F.col("doc_id") % 11 != 0, F.col("text")).alias("text")))
+
+
+def _edited():
+    return F.when(F.col("doc_id") % 11 != 0, F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+
+
+@query(f"""SELECT doc_id, CASE WHEN NOT coalesce(a.here, false) THEN 'new' WHEN NOT coalesce(b.here, false) THEN 'deleted' WHEN a.etag IS NOT DISTINCT FROM b.etag AND a.etag IS NOT NULL THEN 'unchanged'
+WHEN sha256(a.text) IS NOT DISTINCT FROM sha256(b.text) THEN 'refreshed' ELSE 'changed' END AS status
+FROM (SELECT doc_id, text, CASE WHEN doc_id % 5 > 0 THEN 'e' || (doc_id % 3)::VARCHAR END AS etag, true AS here FROM ({_OLD})) a
+FULL JOIN (SELECT doc_id, text, CASE WHEN doc_id % 5 > 0 THEN 'e' || (doc_id % 6)::VARCHAR END AS etag, true AS here FROM documents WHERE doc_id % 10 <> 4) b USING (doc_id)""")
+def incremental_ingest(spark, d):
+    docs = table(spark, d, "documents")
+    tag = lambda n: F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("e"), (F.col("doc_id") % n).cast("string"))).alias("etag")
+    state = docs.filter("doc_id % 10 <> 3").select("doc_id", tag(3), ingest.content_hash(_edited()).alias("hash"))
+    return ingest.plan(state, docs.filter("doc_id % 10 <> 4").select("doc_id", tag(6), "text")).select("doc_id", "status")
 
 
 @query(f"SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, md5(text) FROM ({_OLD}) WHERE doc_id % 3 <> 0")
 def upsert_documents(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    old = docs.filter("doc_id % 10 <> 3").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    old = docs.filter("doc_id % 10 <> 3").select("doc_id", _edited().alias("text"))
     return ingest.upsert(old, docs.filter("doc_id % 3 = 0"), "doc_id").select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
 
 
@@ -298,7 +301,10 @@ def csv_sections(spark, d):
     return n.select(web.row_text(n).alias("section"))
 
 
-@query(f"SELECT page_id, regexp_replace(regexp_replace(t, '#.*$', ''), '/+$', '') AS target, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '{web.LINK}', 1)) AS t FROM pages) GROUP BY ALL")
+_LINK = web.LINK.replace("'", "''")
+
+
+@query(f"""SELECT page_id, regexp_replace(regexp_replace(trim(regexp_replace(t, '^["'']|["'']$', '', 'g'), ' '), '#.*$', ''), '/+$', '') AS target, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_LINK}', 1)) AS t FROM pages) GROUP BY ALL""")
 def link_graph(spark, d):
     return web.links(table(spark, d, "pages"))
 
@@ -311,8 +317,8 @@ def page_headings(spark, d):
 @query("""WITH RECURSIVE c AS (
   SELECT doc_id, text, length(text) AS n, 0 AS s, CASE WHEN length(text) <= 512 THEN length(text) ELSE 512 END AS e0 FROM documents WHERE length(text) > 0
   UNION ALL SELECT doc_id, text, n, nx, least(nx + 512, n) FROM (SELECT *, CASE WHEN e >= n THEN n WHEN e - s - 50 > 0 THEN s + e - s - 50 ELSE e END AS nx FROM (
-    SELECT *, CASE WHEN e0 < n AND strpos(reverse(text[s + 2:e0 + 1]), ' ') > 0 THEN e0 + 1 - strpos(reverse(text[s + 2:e0 + 1]), ' ') ELSE e0 END AS e FROM c)) WHERE nx < n
-), f AS (SELECT doc_id, s, CASE WHEN e0 < n AND strpos(reverse(text[s + 2:e0 + 1]), ' ') > 0 THEN e0 + 1 - strpos(reverse(text[s + 2:e0 + 1]), ' ') ELSE e0 END AS e, text FROM c)
+    SELECT *, CASE WHEN e0 < n AND strpos(reverse(text[s + 2:e0]), ' ') > 0 THEN e0 - strpos(reverse(text[s + 2:e0]), ' ') ELSE e0 END AS e FROM c)) WHERE nx < n
+), f AS (SELECT doc_id, s, CASE WHEN e0 < n AND strpos(reverse(text[s + 2:e0]), ' ') > 0 THEN e0 - strpos(reverse(text[s + 2:e0]), ' ') ELSE e0 END AS e, text FROM c)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INTEGER AS chunk_index, s::INTEGER AS start_pos, e::INTEGER AS end_pos, md5(regexp_replace(text[s + 1:e], '^\\s+|\\s+$', '', 'g')) AS body
 FROM f WHERE regexp_matches(text[s + 1:e], '\\S')""")
 def fixed_chunks(spark, d):
@@ -325,15 +331,15 @@ def recursive_chunks(spark, d):
 
 
 @query("""WITH c AS (SELECT doc_id AS doc, unnest(range(0, greatest(n_chars, 1), 462)) AS start, n_chars FROM documents),
-p AS (SELECT doc_id AS doc, unnest(range(0, greatest(n_chars, 1), 1948)) AS start, n_chars FROM documents)
+p AS (SELECT doc_id AS doc, unnest(range(0, greatest(n_chars, 1), 1948)) AS start, n_chars FROM documents WHERE doc_id % 9 <> 2)
 SELECT doc, start // 462 AS child, coalesce((SELECT min(p.start // 1948) FROM p WHERE p.doc = c.doc AND c.start BETWEEN p.start AND least(p.start + 2048, p.n_chars)), (SELECT max(p.start // 1948) FROM p WHERE p.doc = c.doc)) AS parent FROM c""")
 def parent_range_join(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "n_chars")
 
-    def cut(step, name):
+    def cut(docs, step, name):
         return docs.select("doc", "n_chars", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_chars") - 1, F.lit(0)), F.lit(step))).alias("start")).withColumn(name, F.expr(f"start div {step}"))
 
-    return retrieval.parents(cut(462, "child"), cut(1948, "parent").withColumn("end", F.least(F.col("start") + 2048, F.col("n_chars"))))
+    return retrieval.parents(cut(docs, 462, "child"), cut(docs.filter("doc % 9 <> 2"), 1948, "parent").withColumn("end", F.least(F.col("start") + 2048, F.col("n_chars"))))
 
 
 # ---- conversations -------------------------------------------------------------------------------------------------
@@ -552,7 +558,8 @@ def breadcrumbs(spark, d):
 
 
 @query(f"""WITH {_SECTIONS}, r AS (SELECT *, coalesce(level <= 2, false) AS o, sum(coalesce(level <= 2, false)::INT) OVER (PARTITION BY doc ORDER BY place) AS part FROM s)
-SELECT doc, part::BIGINT AS part, count(*) AS n_sections, md5(concat_ws(chr(10) || chr(10), max(heading) FILTER (WHERE o), string_agg(text, chr(10) ORDER BY place))) AS body FROM r GROUP BY doc, part""")
+SELECT * FROM (SELECT doc, part::BIGINT AS part, count(*) AS n_sections, md5(coalesce(nullif(max(heading) FILTER (WHERE o), '') || chr(10) || chr(10), '')
+|| regexp_replace(coalesce(string_agg(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10) ORDER BY place) FILTER (WHERE NOT o), ''), '^\\s+|\\s+$', '', 'g')) AS body FROM r GROUP BY doc, part) WHERE body <> md5('')""")
 def hierarchical_merge(spark, d):
     return chunking.merged(_sections(spark, d)).select("doc", "part", "n_sections", F.md5(F.col("text").cast("binary")).alias("body"))
 
@@ -607,3 +614,6 @@ s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRE
 def stream_session(spark, d):
     got = st.settle(st.sessions(st.file_stream(spark, d, "events")), "sessions")
     return got.withColumn("start", F.regexp_replace(F.concat("start", F.when(F.contains("start", F.lit(".")), F.lit("")).otherwise(F.lit(".0"))), r"\.?0+$", ""))
+
+
+from loamfield.plans import evaluating, graphs, reading, writing  # noqa: E402, F401  (they register their queries)

@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LINK = r'<a [^>]*href="([^"]*)"'
+#: href of a link, in double quotes, single quotes or none; tags and attributes in any case.
+LINK = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 HEADING = r"(?s)<h[1-6][^>]*>(.*?)</h[1-6]>"
 TAG = r"<[^>]*>"
 
 
+def href(value: Column) -> Column:
+    """What stands in an attribute, without its quotes."""
+    return F.trim(F.regexp_replace(value, "^[\"']|[\"']$", ""))
+
+
+def bare_url(url: Column) -> Column:
+    """Without its fragment and final slashes."""
+    return F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "/+$", "")
+
+
 def links(pages: DataFrame) -> DataFrame:
     """page_id, target, n: links of each page, without fragments and final slashes."""
     got = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("t"))
-    target = F.regexp_replace(F.regexp_replace("t", "#.*$", ""), "/+$", "")
+    target = bare_url(href(F.col("t")))
     return got.select("page_id", target.alias("target")).groupBy("page_id", "target").agg(F.count(F.lit(1)).alias("n"))
 
 

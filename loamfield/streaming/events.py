@@ -19,17 +19,48 @@ def settle(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     spark = stream.sparkSession
     out, state = fresh_dir(spark, name), fresh_dir(spark, f"{name}-state")
 
-    def write(df, step):
-        df.write.mode("overwrite" if mode == "complete" else "append").parquet(out if mode == "complete" else f"{out}/step={step}")
+    def write(df, step):  # a step that is tried again takes the place of its first attempt
+        df.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/step={step}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.parquet(out)
+    got = spark.read.parquet(out)
+    return got if mode == "complete" else got.drop("step")
 
 
-def tumbling(events: DataFrame, width: str = "1 hour") -> DataFrame:
-    w = F.window("ts", width)
-    return events.groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.col("w.start").cast("string").alias("start"), "event_type", "n", "total")
+def _told(windowed, events: DataFrame, late: str | None) -> DataFrame:
+    rows = events if late is None else events.withWatermark("ts", late)
+    grouped = rows.groupBy(windowed.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return grouped.select(F.col("w.start").cast("string").alias("start"), "event_type", "n", "total")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    return events.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").cast("string").alias("start"), "n")
+def tumbling(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
+    """Counts and sums by window and type. With ``late`` (how late an event may come) windows close and their state goes, so
+    results can be appended; without it all windows stay open."""
+    return _told(F.window("ts", width), events, late)
+
+
+def sliding(events: DataFrame, width: str = "1 hour", step: str = "30 minutes", late: str | None = None) -> DataFrame:
+    """Like :func:`tumbling`, over windows that begin every ``step``."""
+    return _told(F.window("ts", width, step), events, late)
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
+    rows = events if late is None else events.withWatermark("ts", late)
+    return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").cast("string").alias("start"), "n")
+
+
+def polled(spark: SparkSession, read, apply, rounds: int | None, seconds: float = 300.0, wait=None) -> list[str]:
+    """Run an incremental ingestion again and again: ``read`` gives the entries, ``apply`` ingests them. A round that fails is
+    noted and doesn't end the loop. ``rounds`` None: for ever."""
+    import time
+
+    faults, i = [], 0
+    while rounds is None or i < rounds:
+        try:
+            apply(read(spark))
+        except Exception as e:  # noqa: BLE001
+            faults.append(str(e))
+        i += 1
+        if rounds is None or i < rounds:
+            (wait or time.sleep)(seconds)
+    return faults
