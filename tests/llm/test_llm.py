@@ -425,6 +425,27 @@ def test_toxicity_learns_pairs(spark):
     assert toxicity.rate(df.limit(2), empty).count() == 2 and toxicity.rate(df.limit(0), m).count() == 0
 
 
+def test_toxicity_score_by_pairs():
+    rng = np.random.default_rng(4)
+    m = toxicity.Machine(-0.3, rng.normal(0, 0.3, 1 << toxicity.BITS), rng.normal(0, 0.3, (1 << toxicity.BITS, toxicity.RANK)))
+    m.w[:50] = 0  # terms without training add nothing, to pairs neither
+    for n in (0, 1, 2, 7, 30):
+        ids = rng.choice(300, n, replace=False)
+        known = [i for i in ids if m.w[i]]
+        z = m.w0 + sum(m.w[i] for i in known) + sum(float(m.v[a] @ m.v[b]) for k, a in enumerate(known) for b in known[:k])
+        assert m.score(ids) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_toxicity_of_long_texts(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join([f"w{rng.randrange(3000)}" for _ in range(rng.choice([20, 800]))] + ["vermin"] * (i % 10 == 0)), int(i % 10 == 0)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    held = {r[0]: r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0}
+    got = {r.doc_id: r.predicted for r in toxicity.rate(df, m).collect()}
+    assert sum(got[d] for d, y in held.items() if y) >= 0.9 * sum(held.values()) and sum(got[d] for d, y in held.items() if not y) <= 0.02 * len(held)
+
+
 # 10 --------------------------------------------------------------------------------------------------------------
 def test_decontamination(spark, docs_of):
     q = "Yesterday the trader Alice sold 12 crates of ripe apples for 30 dollars and later bought 5 more crates from Bob near the old river market"
@@ -435,7 +456,8 @@ def test_decontamination(spark, docs_of):
     rows = [(10, prose(rng, 40) + " " + q), (11, prose(rng, 9) + " " + changed + " " + prose(rng, 9)), (12, prose(rng, 200)), (13, mixed), (14, broken), (15, " ".join(q.split()[:6]))]
     bench = spark.createDataFrame([(1, q), (2, mixed), (3, None), (4, "too short"), (5, prose(rng, 30))], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs_of(rows + ODD), bench).collect()}
-    assert set(got) == {(10, 1), (11, 1), (13, 2)} and got[11, 1].n_changed == 5 and got[10, 1].n_changed == 0
+    assert set(got) == {(10, 1), (11, 1), (13, 2), (14, 2)} and got[11, 1].n_changed == 5 and got[10, 1].n_changed == 0
+    assert got[14, 2].n_tokens == 22  # the stretch before (or after) the number that is out of line
     small = decontam.contaminated(docs_of(rows), bench, decontam.Params(block_items=1)).collect()
     assert {(r.doc_id, r.item_id) for r in small} == set(got)
     assert decontam.contaminated(docs_of([]), bench).count() == 0 and decontam.contaminated(docs_of(rows), bench.limit(0)).count() == 0
