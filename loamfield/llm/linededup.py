@@ -1,8 +1,9 @@
 """Line de-duplication by a deletion-neighbourhood join, with DataFrame functions only.
 
-Lines are equal if their words are. Two lines are near if one word was replaced, added or taken away (word edit
-distance 1) and both have ``near_words`` words or more. The earliest of equal or near lines stays, by (doc_id,
-line number); a line goes if an earlier line is equal or near.
+Lines are equal if their words are. The edit bound of two lines is one word (replaced, added or taken away) if both have
+``near_words`` words or more, and none below: a bound of one edit in ``near_words`` words, so that lines within it are alike
+to 0.8 at least. The earliest of equal or near lines stays, by (doc_id, line number); a line goes if an earlier line is
+equal or near.
 
 Every line emits its deletion variants (itself and itself without each one word) as hashed keys; equal keys meet.
 Lines that lack the same word position of the same rest differ by a replacement at most; a line that equals another's
@@ -20,29 +21,55 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamfield.llm.common import SPACE, WORD, split_by_partner, staged, text_key, words
+from loamfield.llm.common import SPACE, WORD, split_by_partner, staged, text_key
 
 
 @dataclass(frozen=True)
 class Params:
-    """``min_words``: shorter lines stay as they are. ``near_words``: shorter lines are compared for equality alone."""
+    """``min_words``: shorter lines stay as they are. ``near_words``: the edit bound is one word from so many words on."""
 
-    min_words: int = 3
-    near_words: int = 8
+    min_words: int = 1
+    near_words: int = 5
 
 
-_OCC = "cast(coalesce(doc_id, -9223372036854775808) as decimal(20, 0)) * 4294967296 + pos"
+#: A document's place, as one number: doc_ids in their order (texts without one stand before all others, by their keys), then
+#: 26 bits of the key, for texts that share a doc_id. A line's place is its document's and 32 bits of its number.
+_DOC = "(coalesce(cast(doc_id as decimal(20,0)), cast(cast(dk as decimal(20,0)) - 18446744073709551616BD as decimal(20,0))) * 67108864 + (dk & 67108863))"
+_OCC = f"cast({_DOC} * 4294967296 + pos as decimal(38,0))"
+_DOC = f"cast({_DOC} as decimal(38,0))"
+
+
+def _plain(text: F.Column) -> F.Column:
+    """A text with single spaces between the words of its lines; texts that have no others are passed through."""
+    odd = F.lit(False)
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(text, F.lit(c))
+    spaced = F.when(odd, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
+    return F.when(odd | F.contains(text, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(text)
+
+
+def _ids(line: F.Column) -> list[F.Column]:
+    """Two independent hashes of a line's words (the second starts from another seed)."""
+    return [F.xxhash64(line).alias("id1"), F.xxhash64(F.lit(1), line).alias("id2")]
+
+
+def _n_words(line: F.Column) -> F.Column:
+    return F.when(line == "", 0).otherwise(1 + F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))))
 
 
 def _lines(docs: DataFrame, p: Params) -> DataFrame:
-    """One row for each line of at least min_words words, without its text."""
-    df = docs.select("doc_id", text_key().alias("dk"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    df = df.select("doc_id", "dk", "pos", words(F.col("line")).alias("w")).withColumn("n", F.size("w")).filter(F.col("n") >= p.min_words)
+    """One row for each line of at least min_words words, without its text.
+
+    A line is hashed as a string; the half keys are hashes of its first and of its last words.
+    """
+    df = docs.select("doc_id", text_key().alias("dk"), F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("pos", "line"))
+    df = df.select("doc_id", "dk", "pos", F.trim("line").alias("w")).withColumn("n", _n_words(F.col("w")).cast("int")).filter(F.col("n") >= max(1, p.min_words))
     near = F.col("n") >= p.near_words
     sizes = {"1": F.col("n"), "2": F.col("n") - 1}  # lines of n and n + 1 words meet at n
     half = {k: F.floor(m / 2).cast("int") for k, m in sizes.items()}
-    keys = {f"{side}{k}": F.when(near, F.xxhash64(F.slice("w", F.lit(1) if side == "h" else F.col("n") - half[k] + 1, half[k]), F.lit(side), m)) for k, m in sizes.items() for side in "ht"}
-    return df.select("doc_id", "dk", "pos", "n", F.xxhash64("w").alias("id1"), F.xxhash64("w", F.lit(1)).alias("id2"), *[c.alias(k) for k, c in keys.items()])
+    part = {f"{side}{k}": F.call_function("substring_index", F.col("w"), F.lit(" "), half[k] if side == "h" else -half[k]) for k in sizes for side in "ht"}
+    keys = {name: F.when(near, F.xxhash64(part[name], F.lit(name[0]), sizes[name[1]])) for name in part}
+    return df.select("doc_id", "dk", "pos", "n", *_ids(F.col("w")), *[c.alias(k) for k, c in keys.items()])
 
 
 def _near(docs: DataFrame, distinct: DataFrame, p: Params) -> DataFrame:
@@ -51,19 +78,22 @@ def _near(docs: DataFrame, distinct: DataFrame, p: Params) -> DataFrame:
     keys = near.select("id1", F.explode(F.array_distinct(F.array("h1", "t1", "h2", "t2"))).alias("key"))
     shared = keys.groupBy("key").agg(F.min("id1").alias("a"), F.max("id1").alias("b")).filter("a <> b").select("key")
     alive = keys.join(shared, "key", "left_semi").select("id1").distinct()
-    alive = near.join(alive, "id1", "left_semi").select("id1", "id2", "n", "occ", F.expr("cast(floor(occ / 4294967296) as decimal(20, 0))").alias("d_"), F.expr("cast(occ - floor(occ / 4294967296) * 4294967296 as int)").alias("pos"))
+    alive = near.join(alive, "id1", "left_semi").select("id1", "id2", "n", "occ")
     alive = staged(alive, "line-alive")
-    wanted = alive.select(F.when(F.col("d_") != F.lit("-9223372036854775808").cast("decimal(20,0)"), F.col("d_").cast("long")).alias("doc"), "pos")
-    wanted = wanted.groupBy("doc").agg(F.collect_list("pos").alias("at"))
-    some, _ = split_by_partner(docs, F.col("doc_id"), wanted, F.col("doc"))
-    text = some.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc"))).select(F.explode(F.expr("transform(at, i -> get(split(text, '\n'), i))")).alias("line"))
-    text = text.select(words(F.col("line")).alias("w")).select(F.xxhash64("w").alias("id1"), F.xxhash64("w", F.lit(1)).alias("id2"), "w").dropDuplicates(["id1", "id2"])
+    wanted = alive.select("occ", F.expr("pmod(occ, 4294967296BD)").cast("int").alias("pos"))
+    wanted = wanted.select(F.expr("cast((occ - pos) / 4294967296BD as decimal(38,0))").alias("doc"), "pos").groupBy("doc").agg(F.collect_list("pos").alias("at"))
+    some, _ = split_by_partner(docs.withColumn("dk", text_key()).withColumn("place", F.expr(_DOC)), F.col("place"), wanted, F.col("doc"))
+    met = some.dropDuplicates(["place", "dk"]).join(wanted, F.col("place") == F.col("doc"))
+    # a row of its own for the parted text, so that it is parted once and not for each line that is wanted
+    parted = met.select(F.inline(F.array(F.struct(F.split(_plain(F.col("text")), "\n").alias("all_"), F.col("at").alias("at")))))
+    text = parted.select(F.explode(F.expr("transform(at, i -> trim(get(all_, i)))")).alias("line"))
+    text = text.select(*_ids(F.col("line")), F.split("line", " ").alias("w")).dropDuplicates(["id1", "id2"])
     full = staged(alive.select("id1", "id2", "n", "occ").join(text, ["id1", "id2"]), "line-words")
 
-    byline = Window.partitionBy("occ")  # a distinct line has a first place of its own
+    byline = Window.partitionBy("occ", "id1")
     run = byline.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     here, left = F.xxhash64("x", "i"), F.xxhash64("x", F.col("i") - 1)
-    one = full.select("n", "occ", F.posexplode("w").alias("i", "x")).select("n", "occ", "i", here.alias("a"), left.alias("b"))
+    one = full.select("n", "occ", "id1", F.posexplode("w").alias("i", "x")).select("n", "occ", "id1", "i", here.alias("a"), left.alias("b"))
     one = one.withColumns({"ra": F.bit_xor("a").over(run), "rb": F.bit_xor("b").over(run), "ta": F.bit_xor("a").over(byline), "tb": F.bit_xor("b").over(byline)})
     cut = F.col("ra").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("tb")).bitwiseXOR(F.col("rb"))
     whole = one.filter("i = 0").select(F.col("ta").alias("k"), F.col("n").alias("left"), F.lit(-1).alias("i"), "occ")
@@ -105,8 +135,8 @@ def dedup(df: DataFrame, p: Params = Params()) -> DataFrame:
     """Rows of ``df`` (doc_id, text, ``row_``) with ``n_lines``, ``n_removed``, ``n_near`` and ``clean_text``.
 
     Lines with fewer than min_words words always stay. Null text has no lines and stays null. Rows that repeat doc_id
-    and text are one document: they are treated alike. A null doc_id comes before all others. Ties can't occur, as a
-    line's place is unique. An empty table gives an empty one.
+    and text are one document: they are treated alike. Texts without a doc_id come before all others; texts that share
+    one are told apart by their keys. Ties can't occur, as a line's place is unique. An empty table gives an empty one.
     """
     gone = removed_lines(df.select("doc_id", "text"), p)
     gone = staged(gone.select(F.col("doc_id").alias("d_"), F.col("dk").alias("k_"), "gone", "n_near"), "line-gone")
@@ -130,10 +160,11 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines (n_chars counted anew); a document of which no word is left goes."""
-    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*rest).alias("row_"))
     out = dedup(rows).filter((F.col("n_removed") == 0) | F.rlike("clean_text", F.lit(f"[^{SPACE}]")))
     swap = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return out.select(*[swap.get(c, F.col(f"row_.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[(swap[c] if c in swap else F.col(f"row_.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op8_sql(p: Params = Params()) -> str:
