@@ -57,17 +57,19 @@ def read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bits of the map that tells which rows may have a partner; it is broadcast, 2 MB at most whatever the tables hold.
-MAP_BITS = 1 << 24
+#: Bits of the map that tells which rows may have a partner: 16 for each partner, up to 16 MB, which bounds what is broadcast.
+MAP_BITS = (1 << 20, 1 << 27)
 
 
-def split_by_partner(df: DataFrame, key: F.Column, partners: DataFrame, partner_key: F.Column) -> tuple[DataFrame, DataFrame]:
+def split_by_partner(df: DataFrame, key: F.Column, partners: DataFrame, partner_key: F.Column, n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``df`` in two: rows whose key may be among the partners' keys, and rows whose key surely isn't.
 
-    The keys are hashed to a bitmap of fixed size, so only the first part has to be shuffled for a join. A full map
-    merely leaves more rows in the first part; the join that follows is exact.
+    The keys are hashed to a bitmap of bounded size, so only the first part has to be shuffled for a join. A full map
+    merely leaves more rows in the first part; the join that follows is exact. ``n``: how many partners there are at most
+    (absent: they are counted, so they should be a written table).
     """
-    at = lambda k: F.pmod(F.xxhash64(k), F.lit(MAP_BITS)) + 1
+    bits = min(MAP_BITS[1], max(MAP_BITS[0], 1 << (16 * (partners.count() if n is None else n)).bit_length()))
+    at = lambda k: F.pmod(F.xxhash64(k), F.lit(bits)) + 1
     maps = partners.select(at(partner_key).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits_"))
     cols = [F.col(f"`{c}`") for c in df.columns]
     met = df.withColumn("h_", at(key)).withColumn("bucket_", F.bitmap_bucket_number("h_")).join(F.broadcast(maps), "bucket_", "left")

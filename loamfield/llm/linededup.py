@@ -82,7 +82,7 @@ def _near(docs: DataFrame, distinct: DataFrame, p: Params) -> DataFrame:
     alive = staged(alive, "line-alive")
     wanted = alive.select("occ", F.expr("pmod(occ, 4294967296BD)").cast("int").alias("pos"))
     wanted = wanted.select(F.expr("cast((occ - pos) / 4294967296BD as decimal(38,0))").alias("doc"), "pos").groupBy("doc").agg(F.collect_list("pos").alias("at"))
-    some, _ = split_by_partner(docs.withColumn("dk", text_key()).withColumn("place", F.expr(_DOC)), F.col("place"), wanted, F.col("doc"))
+    some, _ = split_by_partner(docs.withColumn("dk", text_key()).withColumn("place", F.expr(_DOC)), F.col("place"), wanted, F.col("doc"), alive.count())
     met = some.dropDuplicates(["place", "dk"]).join(wanted, F.col("place") == F.col("doc"))
     # a row of its own for the parted text, so that it is parted once and not for each line that is wanted
     parted = met.select(F.inline(F.array(F.struct(F.split(_plain(F.col("text")), "\n").alias("all_"), F.col("at").alias("at")))))

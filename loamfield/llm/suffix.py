@@ -318,12 +318,14 @@ class Anchors:
 
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    kind = pa.schema([("doc_id", pa.int64()), ("tk", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("ah", pa.int64()), ("sh", pa.int64())])
+    """``doc_id, tk, ah, sh, w, los``: the segments of each text by anchor hash and hash of the whole, with all places where
+    they start (text that goes round has the same segment many times) and how far their last window is from the first."""
+    kind = pa.schema([("doc_id", pa.int64()), ("tk", pa.int32()), ("ah", pa.int64()), ("sh", pa.int64()), ("w", pa.int32()), ("los", pa.list_(pa.int32()))])
 
     def run(batches):
         anchors = Anchors(length, gram)
         for b in batches:
-            parts, n, sh = [], [], []
+            parts, n = [], []
             for t in b.column("text"):
                 e = t.as_py()
                 e = e.encode("utf-8", "surrogatepass") if e else b""
@@ -331,21 +333,25 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     n.append(0)
                     continue
                 h, lo, hi = anchors.segments(e)
-                parts.append((h, lo, hi))
-                n.append(len(h))
-                sh += [xxhash.xxh3_64_intdigest(e[x : y + length]) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+                sh = np.fromiter((xxhash.xxh3_64_intdigest(e[x : y + length]) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)), U, len(lo))
+                o = np.lexsort((lo, sh, h))
+                h, lo, hi, sh = h[o], lo[o], hi[o], sh[o]
+                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (sh[1:] != sh[:-1])]))
+                parts.append((h[first], sh[first], (hi - lo)[first], np.diff(np.append(first, len(h))), lo))
+                n.append(len(first))
             if parts:
                 row = pa.array(np.repeat(np.arange(len(n)), n))
-                h, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), b.column("tk").take(row), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(np.array(sh, U).view(np.int64))], schema=kind)
+                h, sh, w, many, lo = (np.concatenate(x) for x in zip(*parts, strict=True))
+                ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), b.column("tk").take(row), pa.array(h.view(np.int64)), pa.array(sh.view(np.int64)), pa.array(w.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(lo.astype(np.int32)))], schema=kind)
 
-    return docs.mapInArrow(run, "doc_id long, tk int, lo int, hi int, ah long, sh long")
+    return docs.mapInArrow(run, "doc_id long, tk int, ah long, sh long, w int, los array<int>")
 
 
-def _texts_of(docs: DataFrame, carriers: DataFrame, length: int) -> DataFrame:
-    """Segments with their bytes: ah, doc_id, tk, lo, body."""
+def _texts_of(docs: DataFrame, carriers: DataFrame, length: int, n: int) -> DataFrame:
+    """Segments with their bytes: ah, doc_id, tk, lo, body; n at most."""
     wanted = carriers.groupBy(F.col("c.doc_id").alias("d_"), F.col("c.tk").alias("t_")).agg(F.collect_list(F.struct("c.lo", "c.hi", "ah", "once")).alias("parts"))
-    docs, _ = split_by_partner(docs, F.col("tk"), wanted, F.col("t_"))
+    docs, _ = split_by_partner(docs, F.col("tk"), wanted, F.col("t_"), n)
     met = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("tk") == F.col("t_"))).select("doc_id", "tk", "text", "parts")
 
     def run(batches):
@@ -369,18 +375,19 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int
     start elsewhere too.
     """
     anchors = staged(_anchor_rows(docs, length, gram), "anchors")
-    often = anchors.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("ah")
+    often = anchors.groupBy("ah").agg(F.sum(F.size("los")).alias("n")).filter("n > 1").select("ah")
     met = staged(anchors.join(often, "ah", "left_semi"), "anchors-met")
-    segments = met.groupBy("ah", "sh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tk", "lo", "hi")).alias("c"))
+    lo = F.col("los")[0]
+    segments = met.groupBy("ah", "sh").agg(F.sum(F.size("los")).alias("n"), F.min(F.struct("doc_id", "tk", lo.alias("lo"), (lo + F.col("w")).alias("hi"))).alias("c"))
     segments = staged(segments, "segments")
     whole = met.join(segments.filter("n > 1").select("ah", "sh"), ["ah", "sh"], "left_semi")
-    whole = whole.select("doc_id", "tk", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
+    whole = whole.select("doc_id", "tk", "w", F.explode("los").alias("a")).select("doc_id", "tk", "a", (F.col("a") + F.col("w") + length).alias("b"))
 
     mixed = segments.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("ah")
     sorted_ = segments.join(mixed, "ah", "left_semi").select("ah", "c", (F.col("n") == 1).alias("once"))
-    total = sorted_.agg(F.sum(F.col("c.hi") - F.col("c.lo") + length)).first()[0] or 0
+    n, total = sorted_.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("c.hi") - F.col("c.lo") + length), F.lit(0))).first()
     shards = int(min(100_000, max(1, -(-total // shard))))
-    bodies = _texts_of(docs, sorted_, length).repartition(shards, "ah").sortWithinPartitions("ah")
+    bodies = _texts_of(docs, sorted_, length, n).repartition(shards, "ah").sortWithinPartitions("ah")
 
     def run(batches):
         held, size, last = [], 0, None
