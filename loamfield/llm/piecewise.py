@@ -22,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from loamfield.llm.common import documents, slices, unsliced
+from loamfield.llm.common import slices, unsliced
 
 N_BEST = 4
 MARK = "▁"
@@ -121,6 +123,12 @@ class Lattice:
         self.flat, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.score, self.loss = np.zeros(0), np.zeros(0)
 
+    def trim(self):
+        """Forget the words if they are more than half of what may be remembered."""
+        if len(self.at) > CACHE // 2:
+            self.clear()
+            self.lists.clear()
+
     def edges(self, s: str) -> list[list[tuple[int, float]]]:
         """For each end position, (start, score) of the pieces that end there; a character without one is an edge too."""
         out: list[list[tuple[int, float]]] = [[] for _ in range(len(s) + 1)]
@@ -426,7 +434,7 @@ def _nested(values: list, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(values), kind))
 
 
-def segment(docs: DataFrame, model: str | None = None, n_best: int = N_BEST) -> DataFrame:
+def segment(docs: DataFrame, model: str | None = None, n_best: int = N_BEST, carry: bool = False) -> DataFrame:
     """A row for each row of ``docs``: ``doc_id, n_pieces, ids_crc32`` (of the best segmentation's ids as little-endian
     unsigned 32-bit integers), ``best_score, nbest_scores`` (up to ``n_best``, best first), ``round_trip`` (whether
     decoding gives the text back; a text that holds the mark itself reads as a space there) and ``nbest_ids`` (the ids of
@@ -434,8 +442,13 @@ def segment(docs: DataFrame, model: str | None = None, n_best: int = N_BEST) ->
 
     Null text is encoded as empty: no pieces, score 0. Ties of score fall to the longest last piece. Repeated rows get
     equal results; an empty table gives none; other columns aren't read. ``model``: a path that exists on every
-    executor (absent: the public 32k model of the installed package).
+    executor (absent: the public 32k model of the installed package). With ``carry`` all columns of ``docs`` stand before
+    the results, which take the place of columns of their names.
     """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")] if carry else []
+    held = [*(["text"] if carry else []), *[f"in{i}_" for i in range(len(rest))]]
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"in{i}_") for i, c in enumerate(rest)])
+    results = StructType.fromDDL(SCHEMA)
 
     def run(batches):
         lattice = lattice_of(model or model_path(), n_best)
@@ -453,9 +466,15 @@ def segment(docs: DataFrame, model: str | None = None, n_best: int = N_BEST) ->
                     "nbest_scores": _nested(scores, pa.float64()), "round_trip": pc.equal(pa.array(back, pa.large_binary()), texts.cast(pa.large_binary())),
                     "nbest_ids": pa.ListArray.from_arrays(counts, _nested(lists, pa.int32())),
                 }
-                yield pa.RecordBatch.from_pydict(columns)
+                yield pa.RecordBatch.from_pydict(columns | {c: part.column(c) for c in held})
+            lattice.trim()  # what a worker remembers is bounded, and less while it waits
 
-    return documents(docs).mapInArrow(run, SCHEMA)
+    out = source.mapInArrow(run, StructType([*results.fields, *[source.schema[c] for c in held]]))
+    if not carry:
+        return out
+    names = {"doc_id": "doc_id", "text": "text"} | {c: f"in{i}_" for i, c in enumerate(rest)}
+    new = [f.name for f in results.fields if f.name != "doc_id"]
+    return out.select(*[F.col(names[c]).alias(c) for c in docs.columns if c not in new], *new)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
@@ -464,5 +483,6 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: every document that is left, encoded (``nbest_ids``) and decoded again."""
-    return segment(docs)
+    """The last stage: every document that is left, with all its columns, encoded (``nbest_ids``) and decoded again. Null
+    and empty texts have no pieces; repeated rows get equal results; an empty table gives none."""
+    return segment(docs, carry=True)
