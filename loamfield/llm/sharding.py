@@ -62,7 +62,7 @@ def place(df: DataFrame, key: str, shards: list[str] = SHARDS, size: int = TABLE
     spark = df.sparkSession
     held = lookup_table(shards, size)
     table = spark.createDataFrame([(s, shards[i]) for s, i in enumerate(held)], "slot long, shard string")
-    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
     slot = F.conv(F.substring(F.md5(text.cast("binary")), 1, HEX), 16, 10).cast("long") % F.lit(size)
     rest = [c for c in df.columns if c.lower() not in ("slot", "shard")]
     placed = df.select(*[F.col(f"`{c}`") for c in rest], slot.alias("slot"))
