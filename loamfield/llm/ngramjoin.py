@@ -7,9 +7,9 @@ intersected before anything is verified:
 1. Equal sets are one class. A class with n - ceil(t n) + 1 tokens that no other class has can't link at all; the
    tokens below a bound of the hash prove that for most classes with little data. The bound falls with the size of the
    set, so a token counts only if it is below the bound of the largest set that could link: each partner shows it too.
-2. Among the rest, the rarest-first order: prefix tokens that two classes share hold them together in a block.
-3. Inside a block, candidates meet in the rarest-first prefix; prefixes by ascending and by descending hash must meet
-   too; then the overlap is counted exactly, unless a link path joins the two already.
+2. Among the rest, candidates meet in the rarest-first prefixes, by a join on their tokens: pivots of each token with its
+   other sets, round by round, unless a path of links joins the two already.
+3. Prefixes by ascending and by descending hash must meet too; then the overlap is counted exactly.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -43,6 +42,10 @@ class Params:
         """Tokens of a set of n among which it shares one with any set that it links with."""
         return n - -(-self.percent * n // 100) + 1
 
+    def prefix_of(self, n: F.Column) -> F.Column:
+        """:meth:`prefix` of a column, as int."""
+        return (n - F.ceil(F.lit(self.percent) * n / 100) + 1).cast("int")
+
     @property
     def proof_below(self) -> int:
         """Bound of the tokens that a large set shows for the proof: about twice its prefix."""
@@ -132,55 +135,47 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _verify(cids: np.ndarray, sets: list[np.ndarray], p: Params) -> np.ndarray:
-    """The smallest cid that each set of a block is linked with, through links."""
-    n = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
-    order = np.lexsort((cids, size))
-    cids, sets, size = cids[order], [sets[i] for i in order], size[order]
-    flat = np.concatenate(sets)
-    names, dense, df = np.unique(flat, return_inverse=True, return_counts=True)
-    at = np.concatenate([[0], np.cumsum(size)])
-    need = p.prefix(size)
-    orders = []
-    for key in ((np.arange(len(names)), df), (np.arange(len(names)),), (-np.arange(len(names)),)):
-        rank = np.empty(len(names), np.int64)
-        rank[np.lexsort(key)] = np.arange(len(names))
-        orders.append([np.sort(rank[dense[at[i] : at[i + 1]]])[: need[i]] for i in range(n)])
-    root = np.arange(n)
-    index: dict[int, list[int]] = {}
-    mark = np.zeros(len(names), bool)
-    for x in range(n):
-        met = [index[t] for t in orders[0][x].tolist() if t in index]
-        if met:
-            cand = np.unique(np.concatenate([np.asarray(m) for m in met]))
-            cand = cand[(100 * size[cand] >= p.percent * size[x]) & (root[cand] != root[x])]
-            for o in orders[1:]:
-                if len(cand):
-                    mark[o[x]] = True
-                    cand = cand[[bool(mark[o[c]].any()) for c in cand]]
-                    mark[o[x]] = False
-            mark[dense[at[x] : at[x + 1]]] = True
-            for k in range(0, len(cand), 256):
-                some = cand[k : k + 256]
-                some = some[root[some] != root[x]]
-                if not len(some):
-                    continue
-                rows = np.concatenate([dense[at[c] : at[c + 1]] for c in some])
-                same = np.add.reduceat(mark[rows].astype(np.int64), np.concatenate([[0], np.cumsum(size[some])[:-1]]))
-                for c in some[same * (100 + p.percent) >= p.percent * (size[some] + size[x])]:
-                    if root[c] != root[x]:
-                        root[root == root[c]] = root[x]
-            mark[dense[at[x] : at[x + 1]]] = False
-        for t in orders[0][x].tolist():
-            index.setdefault(t, []).append(x)
-    least: dict[int, int] = {}
-    for c, r in zip(cids.tolist(), root.tolist(), strict=True):
-        least[r] = min(c, least.get(r, c))
-    out = np.array([least[r] for r in root.tolist()], np.int64)
-    back = np.empty(n, np.int64)
-    back[order] = out
-    return back
+def _alike(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """The pairs (a, b) of candidates under the rarest-first order that the other two orders let through (prefixes by
+    ascending and by descending hash share a token too) and whose overlap, counted exactly, suffices."""
+    side = lambda c: sets.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"))
+    head = lambda c: p.prefix_of(F.col(f"n{c}"))
+    up = lambda c: F.slice(f"t{c}", F.lit(1), head(c))
+    down = lambda c: F.slice(f"t{c}", F.col(f"n{c}").cast("int") - head(c) + 1, head(c))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    met = met.filter(F.arrays_overlap(up("a"), up("b")) & F.arrays_overlap(down("a"), down("b")))
+    same = F.size(F.array_intersect("ta", "tb"))
+    return met.filter(same * (100 + p.percent) >= p.percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _linked(sets: DataFrame, posts: DataFrame, p: Params) -> DataFrame:
+    """``node, root`` of linked sets; ``posts``: t, cid, n, the prefixes of the rarest-first order.
+
+    A token's sets meet by pivots: some of them, the least of each bucket of a hash, are compared with all of the token's
+    sets that no path of links joins to them yet, and then leave the token. Tokens whose sets are all joined are done. The
+    buckets grow from round to round, so rounds grow with the logarithm of a token's sets, and no task holds them all.
+    """
+    spark, width, links = sets.sparkSession, 1, None
+    roots = spark.createDataFrame([], "node long, root long")
+    while True:
+        now = posts.join(roots, posts["cid"] == roots["node"], "left").select("t", "cid", "n", F.coalesce("root", "cid").alias("root"))
+        open_ = now.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("t")
+        now = staged(now.join(open_, "t", "left_semi"), "postings-open")
+        if now.isEmpty():
+            return roots
+        bucket = F.pmod(F.xxhash64("cid"), F.lit(width))
+        pivots = now.groupBy("t", bucket.alias("k")).agg(F.min("cid").alias("pivot")).join(now.select("t", F.col("cid").alias("pivot"), F.col("n").alias("m"), F.col("root").alias("at")), ["t", "pivot"])
+        pivots = staged(pivots.select("t", "pivot", "m", "at"), "pivots")
+        near = (100 * F.col("n") >= p.percent * F.col("m")) & (100 * F.col("m") >= p.percent * F.col("n"))
+        pairs = now.join(pivots, "t").filter((F.col("root") != F.col("at")) & near)
+        pairs = staged(pairs.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct(), "candidates")
+        found = staged(_alike(pairs, sets, p), "links")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            roots = staged(components(links), "roots")
+            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # the same components with fewer links
+        posts = now.join(pivots.select("t", F.col("pivot").alias("cid")), ["t", "cid"], "left_anti").select("t", "cid", "n")
+        width *= 8
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -195,7 +190,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     every = staged(_sketches(docs, p), "sketches")
     classes = every.filter("n > 0").groupBy("fp1", "fp2").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tk")).alias("rep"), F.first("part").alias("part"))
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    prefix = F.col("n") - F.ceil(F.lit(p.percent) * F.col("n") / 100) + 1
+    prefix = p.prefix_of(F.col("n"))
 
     small = 100 * F.col("n") < F.lit(p.percent * PROOF_WHOLE)  # all that could link show all their tokens
     each = classes.select("cid", small.alias("small"), F.explode(F.array_distinct("part")).alias("t"))
@@ -212,16 +207,9 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     shared = each.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     ranks = each.join(shared, "t").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("by_df"))  # bounded by the set
     heads = sets.select("cid", "n").join(ranks, "cid").withColumn("take", prefix - (F.col("n") - F.size("by_df"))).filter("take > 0")
-    posts = staged(heads.select("cid", F.explode(F.slice("by_df", F.lit(1), F.col("take").cast("int"))).alias("x")).select("cid", F.col("x.t").alias("t")), "postings")
-    hubs = posts.groupBy("t").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("t", "hub")
-    blocks = staged(components(posts.join(hubs, "t").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()), "blocks")
-
-    def check(group: pd.DataFrame) -> pd.DataFrame:
-        cids = group["cid"].to_numpy(np.int64)
-        return pd.DataFrame({"cid": cids, "head": _verify(cids, [np.asarray(t, np.int64) for t in group["tokens"]], p)})
-
-    linked = sets.join(blocks, sets["cid"] == blocks["node"]).select("cid", "root", "tokens").groupBy("root").applyInPandas(check, "cid long, head long")
-    heads = classes.select("cid", "fp1", "fp2", "least").join(staged(linked, "linked"), "cid", "left").withColumn("head", F.coalesce("head", "cid"))
+    posts = heads.select("cid", "n", F.explode(F.slice("by_df", F.lit(1), F.col("take").cast("int"))).alias("x")).select(F.col("x.t").alias("t"), "cid", "n")
+    roots = _linked(sets, staged(posts, "postings"), p)
+    heads = classes.select("cid", "fp1", "fp2", "least").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("head", F.coalesce("root", "cid"))
     best = heads.groupBy("head").agg(F.min("least").alias("component_id"))
     ids = heads.select("head", "fp1", "fp2").join(best, "head").select("fp1", "fp2", "component_id")
     out = every.select("doc_id", "tk", "n", "fp1", "fp2").join(ids, ["fp1", "fp2"], "left")
