@@ -1,5 +1,6 @@
 """Small cases, brute force, round trips and held-out accuracy."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -8,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from loamfield.llm import common, decontam, langid, linededup, ngramjoin, piecewise, quality, sharding, suffix, tokenpack, toxicity
+from loamfield.llm import common, decontam, langid, linededup, ngramjoin, piecewise, quality, queries, sharding, suffix, tokenpack, toxicity
 
 LONG = "word " * 3000
 ODD = [(1, None), (2, ""), (3, "  \n\t "), (4, "One."), (5, LONG), (6, "One."), (6, "One."), (None, "No id here."), (7, "ünï çødé 中文 \x00 end.")]
@@ -248,6 +249,25 @@ def test_segment_gives_the_n_best(docs_of):
     assert {len(r.nbest_ids) for r in got if r.doc_id and r.doc_id >= 20} == {piecewise.N_BEST}
 
 
+def test_segment_carries_columns(docs_of):
+    docs = docs_of(ODD).withColumnsRenamed({"source": "n_pieces", "kept": "in0_"})
+    got = piecewise.stage(None, docs, "")
+    assert got.columns == [c for c in docs.columns if c != "n_pieces"] + ["n_pieces", "ids_crc32", "best_score", "nbest_scores", "round_trip", "nbest_ids"]
+    assert sorted((str(r.doc_id), r.text, r.lang, r.in0_) for r in got.collect() if r.text) == sorted((str(i), t, "en", True) for i, t in ODD if t)
+    assert all(r.n_pieces == len(r.nbest_ids[0]) for r in got.collect())
+
+
+def test_words_at_once_as_one_by_one():
+    lat, rng = piecewise.Lattice(piecewise.model_path()), random.Random(51)
+    words = list({"".join(rng.choice("theandinéß中\nxyz.0") for _ in range(rng.randint(0, 50))) for _ in range(600)})
+    lat.learn(words)
+    for w in words:
+        k = lat.at[w]
+        parts = [lat.part(x) for x in lat.cut(piecewise.MARK + w)]
+        assert lat.flat[lat.first[k] : lat.first[k + 1]].tolist() == [i for x in parts for i in x[0]]
+        assert lat.score[k] == pytest.approx(sum(x[1] for x in parts)) and lat.loss[k] == min(x[2] for x in parts)
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 def test_suffix_arrays():
     rng = random.Random(6)
@@ -260,6 +280,9 @@ def test_suffix_arrays():
         want = sorted(range(len(raw)), key=lambda i: raw[i:])
         sa = suffix.suffix_array(text, 256)
         assert sa.tolist() == want
+        names = np.array([*(rng.randrange(1, 400) for _ in range(rng.choice([1, 30, 300]))), 0])
+        names[:-1] = names[rng.choices(range(len(names) - 1), k=len(names) - 1)]  # a large alphabet, some of it often
+        assert suffix.suffix_array(names, 400).tolist() == sorted(range(len(names)), key=lambda i: names[i:].tolist())
         lcp, _ = suffix.common_prefixes(text, sa)
         for a, b in zip(want, want[1:]):
             n = 0
@@ -277,7 +300,8 @@ def brute_repeats(rows, length):
         for i in range(len(e) - length + 1):
             if seen[e[i : i + length]] > 1:
                 gone[i : i + length] = True
-        out.append((str(d), len(e), int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])[: len(e)]).sum())))
+        kept = hashlib.sha256(bytes(np.frombuffer(e, np.uint8)[~gone])).hexdigest()
+        out.append((str(d), len(e), int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])[: len(e)]).sum()), kept))
     return sorted(out)
 
 
@@ -285,10 +309,10 @@ def test_remove_repeats(docs_of):
     rng = random.Random(7)
     shared = [prose(rng, 12) for _ in range(6)]
     rows = ODD + [(100 + i, " ".join(rng.choice(shared) if rng.random() < 0.4 else prose(rng, 5) for _ in range(rng.randrange(8)))) for i in range(60)]
-    rows += [(300 + i, rows[20][1]) for i in range(3)] + [(400, "ab" * 200)]
+    rows += [(300 + i, rows[20][1]) for i in range(3)] + [(400, "ab" * 200), (401, "the " * 60 + "end"), (402, "say " + "the " * 50), (403, "é中" * 40)]
     for shard in (300, 1 << 20):
         got = suffix.remove_repeats(docs_of(rows), 40, 16, shard).collect()
-        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans) for r in got) == brute_repeats(rows, 40)
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, 40)
     assert suffix.remove_repeats(docs_of([])).count() == 0
 
 
@@ -578,3 +602,53 @@ def test_pipeline(spark, docs_of, tmp_path):
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(out) == set(range(12)) and all(r.round_trip for r in out.values())
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+    assert {out[i].text for i in range(12)} <= {t for t in texts} and all(out[i].n_pieces == len(out[i].nbest_ids[0]) for i in out)
+
+
+def test_pipeline_of_odd_rows(spark, docs_of, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    body = "\n".join(prose(rng, 20) for _ in range(4))
+    q = prose(rng, 30)
+    other = "\n".join(prose(rng, 20) for _ in range(4))
+    rows = [*ODD, (100, body), (100, body), (100, other), (None, "\n".join(prose(rng, 20) for _ in range(4))), (None, prose(rng, 60) + " " + q), (101, prose(rng, 60) + "\n" + q)]
+    docs = docs_of(rows).withColumnsRenamed({"source": "bad_id", "kept": "row_", "lang": "d_"})
+    for name, some in (("full", docs), ("none", docs.limit(0))):
+        some.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, q), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in rows[len(ODD) : -2])
+    assert all(r.bad_id == "s" and r.row_ and r.d_ == "en" for r in got)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+# registered queries ----------------------------------------------------------------------------------------------
+SHAPES = {
+    "op2_line_first_quality": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op3_rank_order_language": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op4_simple8b_token_files": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
+    "op6_suffix_array_dedup": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"},
+    "op7_multi_order_jaccard": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
+    "op9_factorization_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_registered_query(spark, name, tmp_path):
+    """Each query over a whole small folder: a row for each document (but op10), the contract's columns and held-out flags."""
+    rng = random.Random(61)
+    rows = [(i, "\n".join(prose(rng, rng.randint(1, 25)) for _ in range(4)) + (" idiot" if i % 9 == 0 else ""), ["en", "de", None][i % 3]) for i in range(80)] + [(500, None, "en"), (501, "", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, rows[3][1].split("\n")[0])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(80)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = queries.QUERIES[name](spark, str(tmp_path))
+    got = df.collect()
+    assert SHAPES.get(name, {}).items() <= dict(df.dtypes).items()
+    if name.startswith("op10"):
+        assert (3, 1) in {(r.doc_id, r.item_id) for r in got}
+        return
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    if "held_out" in df.columns:
+        n, of = (4, 2) if name.startswith("op3") else (5, 0)
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % n == of) for r in got)
