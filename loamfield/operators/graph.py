@@ -22,6 +22,7 @@ def neighbours(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     for h in range(1, hops + 1):
         front = front.select("origin", F.col("node").alias("src")).join(both, "src").select("origin", F.col("dst").alias("node")).distinct()
         front = front.join(seen, ["origin", "node"], "left_anti").withColumn("hop", F.lit(h))
+        front = staged(front, "front") if h < hops else front  # else each hop would be computed again by all after it
         seen = seen.unionByName(front)
     return seen.filter("hop > 0")
 
@@ -42,7 +43,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     for i in range(rounds):
         came = score.withColumnRenamed("node", "src").join(moves, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("came"))
         score = nodes.join(came, "node", "left").select("node", "end", ((1 - damping) / n + damping * (F.coalesce("came", F.lit(0.0)) + F.lit(lost / n))).alias("score"))
-        if i % 2 or n_ends:  # the plan of a round holds the one before once, and one number of it comes to the driver
+        if i % 5 == 4 or n_ends:  # the plan of a round holds the one before once, and one number of it comes to the driver
             score = staged(score, "pagerank")
             lost = (score.filter("end").agg(F.sum("score")).first()[0] or 0.0) if n_ends else 0.0
         score = score.select("node", "score")
@@ -66,9 +67,12 @@ def rank_edges(edges: DataFrame, chosen: DataFrame, degree: DataFrame, k: int =
     outer = e.withColumns({"outer": F.when(F.col("in_src") == 1, F.col("dst")).otherwise(F.col("src")), "mine": F.when(F.col("in_src") == 1, F.col("src")).otherwise(F.col("dst"))})
     met = outer.filter("not inside").groupBy("outer").agg(F.countDistinct("mine").alias("partners"))
     e = outer.join(met, "outer", "left").withColumn("partners", F.when(F.col("inside"), 0).otherwise(F.col("partners")))
-    w = Window.partitionBy("inside").orderBy(F.desc("partners"), F.desc("sum_"), "src", "dst")
-    e = e.withColumn("rank", F.row_number().over(w)).crossJoin(F.broadcast(chosen.agg((F.count(F.lit(1)) * k).alias("most"))))  # one row
-    return e.filter("inside or rank <= most").select("src", "dst", "inside", "rank")
+    most = chosen.count() * k
+    order = [F.desc("partners"), F.desc("sum_"), F.asc("src"), F.asc("dst")]
+    w = Window.partitionBy("inside").orderBy(*order)
+    inner = e.filter("inside").withColumn("rank", F.row_number().over(w))  # edges among the chosen
+    outer = e.filter("not inside").orderBy(*order).limit(most).withColumn("rank", F.row_number().over(w))  # each task keeps ``most``
+    return inner.unionByName(outer).select("src", "dst", "inside", "rank")
 
 
 def chunk_order(cited: DataFrame) -> DataFrame:

@@ -8,14 +8,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamfield.functions.text import tokens
+from loamfield.staging import staged
 
 K1, B = 1.5, 0.75
 
 
-def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, term, tf, len: one row for each term of each document; len counts the document's tokens."""
+#: Distinct query terms, and (query, term) rows, that are broadcast; more of them are joined by shuffle.
+MOST_TERMS = 200_000
+
+
+def token_table(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc, t, len: each text's tokens, written once, so that all that is computed from them reads them instead of the texts."""
     t = docs.select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("t"))
-    return t.select("doc", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    return staged(t.withColumn("len", F.size("t")), "tokens")
+
+
+def _tokens_of(docs: DataFrame) -> DataFrame:
+    return docs if docs.columns == ["doc", "t", "len"] else token_table(docs)
+
+
+def document_counts(docs: DataFrame) -> DataFrame:
+    """term, df of texts or of a token table: only terms and counts are shuffled."""
+    return _tokens_of(docs).select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def top(df: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataFrame:
@@ -25,42 +39,52 @@ def top(df: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataFrame
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, groups: DataFrame | None = None) -> DataFrame:
-    """query, doc, score, rank. ``queries``: query, text; a query's tokens count once. Only postings of query terms are joined.
+    """query, doc, score, rank. ``docs``: doc_id, text, or a :func:`token_table`; ``queries``: query, text; a query's tokens count
+    once. Only postings of query terms are joined.
 
     ``groups`` (group_id, term) are synonyms: texts and queries gain the other members of each token's groups, which
     count in a document's length too.
     """
-    t = docs.select(F.col("doc_id").alias("doc"), tokens(F.col("text")).alias("t")).withColumn("len", F.size("t"))
-    q = queries.select("query", F.explode(tokens(F.col("text"))).alias("term"))
-    each = t.select("doc", F.explode("t").alias("term"))
+    t = _tokens_of(docs)
     if groups is not None:
         q = expanded(queries.select("query", tokens(F.col("text")).alias("t")), groups)
         each = expanded(t.select("doc", "t"), groups)
         lens = each.groupBy("doc").agg(F.count(F.lit(1)).alias("len"))
         stats = lens.agg(F.sum("len").alias("all_")).join(F.broadcast(t.agg(F.count(F.lit(1)).alias("n")))).select("n", (F.col("all_") / F.col("n")).alias("avg_len"))
-        each = each.join(lens, "doc")
+        each = each.join(lens, "doc").select("doc", "len", "term")
     else:
+        q = queries.select("query", F.explode(tokens(F.col("text"))).alias("term"))
         stats = t.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
         each = t.select("doc", "len", F.explode("t").alias("term"))
-    q = q.distinct()
-    tf = each.join(q.select("term").distinct(), "term", "left_semi").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    met = q.join(df, "term").join(tf, "term").join(F.broadcast(stats))  # stats is one row
+    q = staged(q.distinct(), "query-terms")
+    few = F.broadcast if q.count() <= MOST_TERMS else (lambda df: df)
+    # only tokens of query terms are shuffled, by document, so that scores are summed where they are
+    met = each.join(few(q.select("term").distinct()), "term", "left_semi").repartition("doc")
+    tf = staged(met.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len")), "term-counts")
+    df = few(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))  # no more terms than the queries have
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    hits = met.groupBy("query", "doc").agg(F.round(F.sum(idf * gain), 6).alias("score"))
+    scored = tf.join(df, "term").join(F.broadcast(stats)).select("doc", "term", (idf * gain).alias("s"))  # stats is one row
+    hits = scored.repartition("doc").join(few(q), "term").groupBy("query", "doc").agg(F.round(F.sum("s"), 6).alias("score"))
     return top(hits, ["query"], "score", "doc", k)
 
 
 def sparse(docs: DataFrame, queries: DataFrame, k: int = 10, terms: int = 256) -> DataFrame:
-    """query, doc, score, rank by the dot product of ln(1 + tf) weights; each text keeps its heaviest ``terms`` terms."""
-
-    def weights(df, key):
-        tf = df.select(F.col(key).alias("key"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
-        return top(tf, ["key"], "tf", "term", terms).select("key", "term", F.log1p("tf").alias("w"))
-
-    q = weights(queries, "query").select(F.col("key").alias("query"), "term", F.col("w").alias("wq"))
-    hits = weights(docs, "doc_id").join(q, "term").groupBy("query", F.col("key").alias("doc")).agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
+    """query, doc, score, rank by the dot product of ln(1 + tf) weights; each text keeps its heaviest ``terms`` terms (ties: the
+    smaller), which are found within its row."""
+
+    def weights(t):
+        s = t.select("doc", F.array_sort("t").alias("t")).filter("size(t) > 0")
+        s = s.withColumn("at", F.expr("filter(sequence(0, size(t) - 1), i -> i = 0 or t[i] <> t[i - 1])"))
+        s = s.withColumn("x", F.expr("transform(at, (b, j) -> struct(b - coalesce(get(at, j + 1), size(t)) as neg, t[b] as term))"))
+        best = F.when(F.size("x") > terms, F.slice(F.array_sort("x"), 1, terms)).otherwise(F.col("x"))
+        return s.select("doc", F.explode(best).alias("x")).select("doc", "x.term", F.log1p(-F.col("x.neg")).alias("w"))
+
+    q = weights(queries.select(F.col("query").alias("doc"), tokens(F.col("text")).alias("t"))).select(F.col("doc").alias("query"), "term", F.col("w").alias("wq"))
+    q = staged(q, "query-weights")
+    few = F.broadcast if q.count() <= MOST_TERMS else (lambda df: df)
+    met = weights(_tokens_of(docs)).join(few(q.select("term").distinct()), "term", "left_semi").repartition("doc")
+    hits = met.join(few(q), "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
     return top(hits, ["query"], "score", "doc", k)
 
 

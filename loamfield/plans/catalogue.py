@@ -29,7 +29,7 @@ def tokenize_stats(spark, d):
 def idf_table(spark, d):
     docs = table(spark, d, "documents")
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    df = search.postings(docs).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = search.document_counts(docs)
     return df.join(F.broadcast(n)).select("term", "df", F.round(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), 6).alias("idf"))
 
 
@@ -63,7 +63,7 @@ _RRF = "rrf AS (SELECT query, doc, round(sum(w), 9) AS score FROM (SELECT query,
 
 @query(f"WITH {_POST}, {_Q}, {_BM25}, {_SPARSE}, {_RRF} SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM rrf QUALIFY rank <= 10")
 def hybrid_rrf(spark, d):
-    docs, q = table(spark, d, "documents"), _bench(spark, d)
+    docs, q = search.token_table(table(spark, d, "documents")), _bench(spark, d)
     return search.fuse([(search.bm25(docs, q), 0.5), (search.sparse(docs, q), 0.5)])
 
 

