@@ -2,36 +2,23 @@
 
 from __future__ import annotations
 
-from email import message_from_bytes, policy
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamfield.sources import parsers
+
 SECTIONS = "path string, place int, heading string, level int, text string"
 
 
 def mails(files: DataFrame) -> DataFrame:
-    """path, place, heading, level, text of RFC 822 messages in ``files`` (path, content): headers first, then the text of
-    each part that isn't a container; attachments give their name alone. Null contents have no sections."""
+    """path, place, heading, level, text of RFC 822 messages in ``files`` (path, content), as :func:`parsers.mail` reads them.
+    Null contents have no sections."""
 
     def run(batches):
         for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"], strict=True):
-                if content is None:
-                    continue
-                m = message_from_bytes(bytes(content), policy=policy.default)
-                rows.append((path, 0, "headers", None, "\n".join(f"{h}: {m[h]}" for h in ("From", "To", "Subject", "Date") if m[h])))
-                for part in m.walk():
-                    if part.is_multipart():
-                        continue
-                    name = part.get_filename()
-                    if name:
-                        rows.append((path, len([r for r in rows if r[0] == path]), f"attachment:{name}", None, ""))
-                    elif part.get_content_maintype() == "text":
-                        rows.append((path, len([r for r in rows if r[0] == path]), part.get_content_type(), None, part.get_payload(decode=True).decode(part.get_content_charset() or "utf-8", "replace").strip()))
-            yield pd.DataFrame(rows, columns=["path", "place", "heading", "level", "text"]).astype({"level": "Int32"})
+            rows = [(path, i, s.heading, s.level, s.text) for path, content in zip(b["path"], b["content"], strict=True) if content is not None for i, s in enumerate(parsers.mail(content))]
+            yield pd.DataFrame(rows, columns=["path", "place", "heading", "level", "text"]).astype({"level": "Int32", "place": "int32"})
 
     return files.select("path", "content").mapInPandas(run, SECTIONS)
 

@@ -6,6 +6,7 @@ bytes; :func:`sections` runs the one that the content type names over a table of
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import json
@@ -13,6 +14,7 @@ import posixpath
 import re
 import zipfile
 from dataclasses import dataclass
+from email import message_from_bytes, policy
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -336,14 +338,68 @@ def archive(content: bytes, name: str = "", budget: Budget | None = None) -> lis
     return out
 
 
+#: Attachments and attached messages that are read of one message.
+MOST_PARTS = 50
+
+
+def mail(content: bytes, budget: Budget | None = None) -> list[Section]:
+    """Sections of an RFC 822 message: ``headers``, its text parts (by content type; HTML as visible text), and a section
+    ``attachment:name`` for each section of what is attached, or an empty one if no parser reads it. Attached messages follow
+    with sections of their own, by a stack, up to a depth and a number of parts."""
+    budget, out, parts = budget or Budget(), [], 0
+    todo: list[tuple[object, int]] = [(message_from_bytes(bytes(content), policy=policy.default), 0)]
+    while todo:
+        m, depth = todo.pop()
+        if depth > budget.depth:
+            raise OverBudget("nested too deep")
+        out.append(Section("\n".join(f"{h}: {m[h]}" for h in ("From", "To", "Subject", "Date") if m[h]), "headers"))
+        inner, inside = [], list(reversed(m.get_payload())) if m.is_multipart() else [m]
+        while inside:
+            part = inside.pop()
+            kind, name = part.get_content_type(), part.get_filename()
+            if kind == "message/rfc822":
+                parts += 1
+                inner += [(x, depth + 1) for x in part.get_payload()]
+            elif part.is_multipart():
+                inside += reversed(part.get_payload())
+            elif name:
+                parts += 1
+                data = part.get_payload(decode=True) or b""
+                budget.total -= len(data)
+                if budget.total < 0:
+                    raise OverBudget("too many bytes")
+                try:
+                    found = parse(data, content_type(name), budget)
+                except OverBudget:
+                    raise
+                except Exception:  # noqa: BLE001  (an attachment that can't be read is named)
+                    found = []
+                out += [Section(s.text, f"attachment:{name}", s.level, s.page) for s in found] or [Section("", f"attachment:{name}")]
+            elif part.get_content_maintype() == "text":
+                t = (part.get_payload(decode=True) or b"").decode(_charset(part), "replace").strip()
+                out.append(Section("\n\n".join(s.text for s in html(t)) if kind == "text/html" else t, kind))
+            if parts > MOST_PARTS:
+                raise OverBudget("too many parts")
+        todo += reversed(inner)
+    return out
+
+
+def _charset(part) -> str:
+    try:
+        return codecs.lookup(part.get_content_charset() or "utf-8").name
+    except LookupError:
+        return "utf-8"
+
+
 # Content types by extension; anything else is plain text.
 TYPES = {
+    ".eml": "message/rfc822",
     ".txt": "text/plain", ".md": "text/markdown", ".markdown": "text/markdown", ".csv": "text/csv", ".json": "application/json", ".html": "text/html", ".htm": "text/html",
     ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
     ".pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", ".epub": "application/epub+zip", ".zip": "application/zip",
 }
 PARSERS = {
-    "text/plain": text, "text/markdown": markdown, "text/csv": csv_rows, "application/json": json_sections, "text/html": html,
+    "message/rfc822": mail, "text/plain": text, "text/markdown": markdown, "text/csv": csv_rows, "application/json": json_sections, "text/html": html,
     TYPES[".docx"]: word, TYPES[".xlsx"]: excel, TYPES[".pptx"]: slides, TYPES[".epub"]: epub,
 }
 
@@ -357,7 +413,7 @@ def parse(content: bytes, kind: str, budget: Budget | None = None) -> list[Secti
     parser = PARSERS.get(kind)
     if parser is None:
         raise ValueError(f"no parser for {kind}")
-    return parser(content, budget) if budget and parser in (word, excel, slides, epub) else parser(content)
+    return parser(content, budget) if budget and parser in (word, excel, slides, epub, mail) else parser(content)
 
 
 SECTIONS = "id string, place int, heading string, level int, page int, text string"

@@ -95,6 +95,26 @@ def test_archives(spark):
     assert parsers.sections(files.limit(0)).count() == 0
 
 
+def test_mail():
+    from email.message import EmailMessage
+
+    inner = EmailMessage()
+    inner["Subject"] = "inner"
+    inner.set_content("deep")
+    m = EmailMessage()
+    m["Subject"], m["From"] = "outer", "a@b.c"
+    m.set_content("plain")
+    m.add_alternative("<p>rich <b>text</b></p>", subtype="html")
+    m.add_attachment(b"# H\nx", maintype="text", subtype="markdown", filename="n.md")
+    m.add_attachment(b"\x00", maintype="application", subtype="zip", filename="z.zip")
+    m.add_attachment(inner)
+    got = [(s.heading, s.text) for s in parsers.mail(m.as_bytes())]
+    assert got == [("headers", "From: a@b.c\nSubject: outer"), ("text/plain", "plain"), ("text/html", "rich text"), ("attachment:n.md", "# H\nx"), ("attachment:z.zip", ""), ("headers", "Subject: inner"), ("text/plain", "deep")]
+    with pytest.raises(parsers.OverBudget):
+        parsers.mail(m.as_bytes(), parsers.Budget(depth=0))
+    assert parsers.mail(b"") == [parsers.Section("", "headers"), parsers.Section("", "text/plain")]
+
+
 def test_replies_and_clocks():
     assert parsers.reply_json('x ```json\n{"a": [1, "}"]}\n``` [1, 2, 3, 4, 5]') == {"a": [1, "}"]} and parsers.reply_json("```\nnope\n``` [1] {\"a\": 2}") == {"a": 2}
     assert parsers.reply_json("nothing {here") is None and parsers.reply_json(None) is None and parsers.reply_json('say "{" then [1]') == [1]
