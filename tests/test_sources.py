@@ -6,7 +6,7 @@ import zipfile
 
 import pytest
 
-from loamfield.sources import feeds, parsers, remote, web
+from loamfield.sources import feeds, parsers, remote, tables, web
 
 
 def zipped(**files):
@@ -95,6 +95,15 @@ def test_archives(spark):
     assert parsers.sections(files.limit(0)).count() == 0
 
 
+def test_tables():
+    word = lambda x, y, t: (x, y, x + 6.0 * len(t), y + 10.0, t)
+    grid = [word(x, 100 + 14 * r, f"{c}{r}") for r in range(4) for c, x in (("a", 50), ("b", 150), ("c", 260))]
+    prose = [word(50 + 40 * i, 20 + 14 * r, "words") for r in range(4) for i in range(8)]
+    assert tables.find(grid + prose) == [[[f"{c}{r}" for c in "abc"] for r in range(4)]] and tables.find(prose) == [] and tables.find([]) == []
+    assert tables.find(grid[:6]) == [] and tables.find([w for w in grid if w[4] != "b2"])[0][2] == ["a2", "", "c2"]
+    assert tables.markdown([["a|b", "c"], ["1", "2"]]) == "| a\\|b | c |\n| --- | --- |\n| 1 | 2 |"
+
+
 def test_mail():
     from email.message import EmailMessage
 
