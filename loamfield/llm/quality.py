@@ -7,6 +7,7 @@ failing lines hold too much of its words is rejected; one that fails the base co
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -17,10 +18,14 @@ from loamfield.llm.common import SPACE, WORD, documents
 SYMBOLS = "#*$%&|<>"
 #: A line that ends so ends a sentence, a quotation, a list head or an item.
 ENDS = r"[.!?:;,\"'\)\]…”»。！？][\x20\x09-\x0D]*$"
+#: What sites say beside their texts, in the languages of the corpus, lower-cased.
 PHRASES = (
     "accept cookies", "all rights reserved", "click here", "cookie policy", "enable javascript", "javascript is disabled",
     "log in to", "lorem ipsum", "powered by", "privacy policy", "read more", "share on", "sign up", "skip to content",
     "subscribe to", "terms of service", "terms of use",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "hier klicken", "impressum", "weiterlesen", "zum inhalt springen",
+    "accepter les cookies", "aller au contenu", "cliquez ici", "lire la suite", "mentions légales", "politique de confidentialité", "tous droits réservés",
+    "aceptar cookies", "aviso legal", "haga clic aquí", "leer más", "política de privacidad", "saltar al contenido", "todos los derechos reservados",
 )
 
 
@@ -33,7 +38,7 @@ class Rules:
     """
 
     min_words: int = 50
-    open_words: int = 60
+    open_words: int = 20
     phrase_words: int = 20
     max_separators: int = 3
     max_symbols_per_word: float = 0.5
@@ -69,9 +74,7 @@ def line_fails(x: F.Column, rules: Rules = Rules()) -> F.Column:
     """
     line, n = x["l"], F.size(x["w"])
     seps = F.regexp_count(line, F.lit("[|»›•]"))
-    said = F.lit(False)
-    for p in rules.phrases:
-        said = said | F.contains(F.lower(line), F.lit(p))
+    said = F.rlike(F.lower(line), F.lit("|".join(re.escape(p) for p in rules.phrases)))
     return (
         ((n <= rules.phrase_words) & said)
         | ((n >= rules.distinct_from) & (F.size(F.array_distinct(x["w"])) < n * rules.min_distinct_share))
@@ -137,7 +140,7 @@ _SYM = f"(length({{0}}) - length(translate({{0}}, '{SYMBOLS}', '')))"
 
 
 def _sql_fails(rules: Rules = Rules()) -> str:
-    said = " OR ".join(f"contains(lower(l), '{p}')" for p in rules.phrases)
+    said = " OR ".join(f"contains(lower(l), '{p}')" for p in rules.phrases)  # none holds a quote
     seps = "(length(l) - length(translate(l, '|»›•', '')))"
     return f"""(({seps} >= {rules.max_separators} AND {seps} * 4 >= n) OR {_SYM.format('l')} > n * {rules.max_symbols_per_word}
       OR (n >= {rules.distinct_from} AND len(list_distinct(regexp_extract_all(l, '{WORD}'))) < n * {rules.min_distinct_share})
