@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from loamfield.llm import decontam, langid, linededup, ngramjoin, piecewise, quality, sharding, suffix, tokenpack, toxicity
+from loamfield.llm import decontam, langid, linededup, ngramjoin, periodicity, piecewise, quality, sharding, suffix, tokenpack, topk, toxicity, whitening
 
 QUERIES = {
     "op1_permutation_table_shards": sharding.op1,
@@ -17,11 +17,15 @@ QUERIES = {
     "op8_deletion_line_dedup": linededup.op8,
     "op9_factorization_toxicity": toxicity.op9,
     "op10_template_decontamination": decontam.op10,
+    "op11_limb_covariance_whitening": whitening.op11,
+    "op12_automaton_periodic_runs": periodicity.op12,
+    "op13_length_sorted_search": topk.op13,
 }
 ORACLES = {
     "op1_permutation_table_shards": sharding.OP1_SQL,
     "op2_line_first_quality": quality.OP2_SQL,
     "op8_deletion_line_dedup": linededup.OP8_SQL,
+    "op13_length_sorted_search": topk.OP13_SQL,
 }
 pipeline = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
