@@ -17,7 +17,6 @@ def local_session(cores: str = "8", app: str = "loamfield", shuffle_partitions:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
-        .config("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
         .getOrCreate()
     )
 

@@ -27,8 +27,14 @@ def settle(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     return got if mode == "complete" else got.drop("step")
 
 
+def _timed(events: DataFrame, late: str | None) -> DataFrame:
+    """``events`` with a watermark on ``ts``. Watermarks need an instant, so a time without a zone is read in the session's,
+    in which its windows are written out again."""
+    return events if late is None else events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def _told(windowed, events: DataFrame, late: str | None) -> DataFrame:
-    rows = events if late is None else events.withWatermark("ts", late)
+    rows = _timed(events, late)
     grouped = rows.groupBy(windowed.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
     return grouped.select(F.col("w.start").cast("string").alias("start"), "event_type", "n", "total")
 
@@ -45,7 +51,7 @@ def sliding(events: DataFrame, width: str = "1 hour", step: str = "30 minutes",
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
-    rows = events if late is None else events.withWatermark("ts", late)
+    rows = _timed(events, late)
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").cast("string").alias("start"), "n")
 
 
