@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamfield.llm.common import documents, split_by_partner, staged, text_key
+from loamfield.llm.common import documents, split_by_partner, staged
 
 U = np.uint64
 LENGTH = 400
@@ -320,7 +320,7 @@ class Anchors:
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """``doc_id, tk, ah, sh, w, los``: the segments of each text by anchor hash and hash of the whole, with all places where
     they start (text that goes round has the same segment many times) and how far their last window is from the first."""
-    kind = pa.schema([("doc_id", pa.int64()), ("tk", pa.int32()), ("ah", pa.int64()), ("sh", pa.int64()), ("w", pa.int32()), ("los", pa.list_(pa.int32()))])
+    kind = pa.schema([("doc_id", pa.int64()), ("tk", pa.binary()), ("ah", pa.int64()), ("sh", pa.int64()), ("w", pa.int32()), ("los", pa.list_(pa.int32()))])
 
     def run(batches):
         anchors = Anchors(length, gram)
@@ -345,7 +345,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), b.column("tk").take(row), pa.array(h.view(np.int64)), pa.array(sh.view(np.int64)), pa.array(w.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(lo.astype(np.int32)))], schema=kind)
 
-    return docs.mapInArrow(run, "doc_id long, tk int, ah long, sh long, w int, los array<int>")
+    return docs.mapInArrow(run, "doc_id long, tk binary, ah long, sh long, w int, los array<int>")
 
 
 def _texts_of(docs: DataFrame, carriers: DataFrame, length: int, n: int) -> DataFrame:
@@ -360,12 +360,12 @@ def _texts_of(docs: DataFrame, carriers: DataFrame, length: int, n: int) -> Data
                 d, k, text, parts = (b.column(c)[i].as_py() for c in ("doc_id", "tk", "text", "parts"))
                 e = text.encode("utf-8", "surrogatepass")
                 yield pa.RecordBatch.from_pydict({
-                    "ah": pa.array([p["ah"] for p in parts], pa.int64()), "doc_id": pa.array([d] * len(parts), pa.int64()), "tk": pa.array([k] * len(parts), pa.int32()),
+                    "ah": pa.array([p["ah"] for p in parts], pa.int64()), "doc_id": pa.array([d] * len(parts), pa.int64()), "tk": pa.array([k] * len(parts), pa.binary()),
                     "lo": pa.array([p["lo"] for p in parts], pa.int32()), "once": pa.array([p["once"] for p in parts], pa.bool_()),
                     "body": pa.array([e[p["lo"] : p["hi"] + length] for p in parts], pa.binary()),
                 })
 
-    return met.mapInArrow(run, "ah long, doc_id long, tk int, lo int, once boolean, body binary")
+    return met.mapInArrow(run, "ah long, doc_id long, tk binary, lo int, once boolean, body binary")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
@@ -401,7 +401,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int
                     for a, b in zip(at[np.append(0, cut + 1)].tolist(), at[np.append(cut, len(at) - 1)].tolist(), strict=True):
                         out.append((d, k, lo + a, lo + b + length))
             cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["doc_id", "tk", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["doc_id", "tk", "a", "b"])
 
         for b in batches:
             for ah, d, k, lo, once, body in zip(*(b.column(c).to_pylist() for c in ("ah", "doc_id", "tk", "lo", "once", "body")), strict=True):
@@ -413,17 +413,22 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int
         if held:
             yield flush()
 
-    part = bodies.mapInArrow(run, "doc_id long, tk int, a int, b int")
+    part = bodies.mapInArrow(run, "doc_id long, tk binary, a int, b int")
     return whole.unionByName(part)
 
 
+def _key(text) -> F.Column:
+    """Tells apart the texts of a repeated or null doc_id: 128 bits of a digest, which no two texts share."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` for each row of ``docs`` (doc_id, text).
 
     Null text is empty: 0 bytes, nothing removed. ``spans``: maximal removed byte ranges. Rows that repeat doc_id and
     text are repeats of each other. Texts of less than ``length`` bytes keep all. An empty table gives none.
     """
-    docs = documents(docs).select("doc_id", F.pmod(text_key(), F.lit(2147483647)).cast("int").alias("tk"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = documents(docs).select("doc_id", _key(F.col("text")).alias("tk"), F.coalesce("text", F.lit("")).alias("text"))
     found = repeats(docs, length, gram, shard)
     found = found.groupBy(F.col("doc_id").alias("d_"), F.col("tk").alias("t_")).agg(F.collect_set(F.struct("a", "b")).alias("cover"))
     found = staged(found, "cover")

@@ -316,6 +316,17 @@ def test_remove_repeats(docs_of):
     assert suffix.remove_repeats(docs_of([])).count() == 0
 
 
+def test_remove_repeats_of_texts_without_ids(docs_of):
+    """All texts share a null id, or one id, and only their digests tell them apart."""
+    rng = random.Random(8)
+    shared = [prose(rng, 12) for _ in range(4)]
+    texts = [" ".join(rng.choice(shared) if rng.random() < 0.3 else prose(rng, 5) for _ in range(rng.randrange(8))) for _ in range(80)]
+    for one in (None, 5):
+        rows = [(one, t) for t in [*texts, texts[3], None, ""]]
+        got = suffix.remove_repeats(docs_of(rows), 40, 16, 2000).collect()
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, 40)
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------
 def brute_components(rows, size, percent):
     def shingles(t):
