@@ -27,27 +27,33 @@ def neighbours(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return seen.filter("hop > 0")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """node, score: parallel edges count, loops and unknown ends don't, and nodes without targets share theirs with all."""
-    nodes = staged(nodes.select("node"), "nodes")
-    n = nodes.count()
-    if not n:
-        return nodes.select("node", F.lit(0.0).alias("score"))
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, damping: float = 0.85, least: float = 1e-6) -> DataFrame:
+    """node, score: parallel edges count, loops and unknown ends don't, and nodes without targets share theirs with all. Ends
+    after ``rounds``, or as soon as no score changes by ``least``.
+
+    The links lie by source and each round's scores by node, so a round shuffles sums by target alone. A round is written;
+    what comes to the driver of it is one row.
+    """
+    nodes = nodes.select("node").distinct()
     good = edges.filter("src <> dst").join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
-    out = good.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    moves = staged(good.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c")).join(out, "src").select("src", "dst", (F.col("c") / F.col("out")).alias("share")), "moves")
+    links = good.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c"))
+    out = links.groupBy("src").agg(F.sum("c").alias("out"))
+    moves = staged(links.join(out, "src").select("src", "dst", (F.col("c") / F.col("out")).alias("share")).repartition("src"), "moves")
     ends = moves.select(F.col("src").alias("node")).distinct().withColumn("out_", F.lit(True))
-    nodes = staged(nodes.join(ends, "node", "left").select("node", F.col("out_").isNull().alias("end")), "nodes-out")
-    n_ends = nodes.filter("end").count()
-    score, lost = nodes.select("node", F.lit(1.0 / max(n, 1)).alias("score")), n_ends / max(n, 1)
-    for i in range(rounds):
-        came = score.withColumnRenamed("node", "src").join(moves, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("came"))
-        score = nodes.join(came, "node", "left").select("node", "end", ((1 - damping) / n + damping * (F.coalesce("came", F.lit(0.0)) + F.lit(lost / n))).alias("score"))
-        if i % 5 == 4 or n_ends:  # the plan of a round holds the one before once, and one number of it comes to the driver
-            score = staged(score, "pagerank")
-            lost = (score.filter("end").agg(F.sum("score")).first()[0] or 0.0) if n_ends else 0.0
-        score = score.select("node", "score")
-    return score
+    score = staged(nodes.join(ends, "node", "left").select("node", F.col("out_").isNull().alias("end"), F.lit(1.0).alias("score")), "nodes")
+    n, lost = score.agg(F.count(F.lit(1)), F.sum(F.when(F.col("end"), F.col("score")))).first()
+    if not n:
+        return score.select("node", "score")
+    score, lost = score.withColumn("score", F.lit(1.0 / n)), (lost or 0.0) / n
+    for _ in range(rounds):
+        came = score.select(F.col("node").alias("src"), "score").join(moves, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("came"))
+        now = (1 - damping) / n + damping * (F.coalesce("came", F.lit(0.0)) + F.lit(lost / n))
+        moved = staged(score.join(came, "node", "left").select("node", "end", now.alias("score"), F.abs(now - F.col("score")).alias("change")), "pagerank")
+        lost, change = moved.agg(F.coalesce(F.sum(F.when(F.col("end"), F.col("score"))), F.lit(0.0)), F.max("change")).first()
+        score = moved.drop("change")
+        if change < least:
+            break
+    return score.select("node", "score")
 
 
 def incident(edges: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamfield.functions.text import tokens
+from loamfield.session import spread
 from loamfield.staging import staged
 
 K1, B = 1.5, 0.75
@@ -18,9 +19,9 @@ MOST_TERMS = 200_000
 
 
 def token_table(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, t, len: each text's tokens, written once, so that all that is computed from them reads them instead of the texts."""
-    t = docs.select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("t"))
-    return staged(t.withColumn("len", F.size("t")), "tokens")
+    """doc, t, len: each text's tokens."""
+    t = spread(docs.select(doc, text), doc).select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("t"))
+    return t.withColumn("len", F.size("t"))
 
 
 def _tokens_of(docs: DataFrame) -> DataFrame:
@@ -32,6 +33,19 @@ def document_counts(docs: DataFrame) -> DataFrame:
     return _tokens_of(docs).select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def small(df: DataFrame, most: int):
+    """``df``, and how to join it: rows in hand and broadcast where there are ``most`` at most, else a written table to shuffle."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) <= most:
+        return df.sparkSession.createDataFrame(rows, df.schema), F.broadcast
+    return staged(df, "query-terms"), lambda x: x
+
+
+def bm25_weight(n, df, tf, length, mean, k1: float = K1, b: float = B):
+    """What a term adds to a document's score."""
+    return F.log((n - df + 0.5) / (df + 0.5) + 1) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+
+
 def top(df: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataFrame:
     """The k best rows of each group with ``rank`` from 1; ties go to the smaller ``tie``."""
     w = Window.partitionBy(*by).orderBy(F.desc(score), F.asc(tie))
@@ -50,22 +64,21 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: fl
         q = expanded(queries.select("query", tokens(F.col("text")).alias("t")), groups)
         each = expanded(t.select("doc", "t"), groups)
         lens = each.groupBy("doc").agg(F.count(F.lit(1)).alias("len"))
-        stats = lens.agg(F.sum("len").alias("all_")).join(F.broadcast(t.agg(F.count(F.lit(1)).alias("n")))).select("n", (F.col("all_") / F.col("n")).alias("avg_len"))
+        total = lens.agg(F.sum("len")).first()[0]
+        n = t.count()
         each = each.join(lens, "doc").select("doc", "len", "term")
     else:
         q = queries.select("query", F.explode(tokens(F.col("text"))).alias("term"))
-        stats = t.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+        n, total = t.agg(F.count(F.lit(1)), F.sum("len")).first()
         each = t.select("doc", "len", F.explode("t").alias("term"))
-    q = staged(q.distinct(), "query-terms")
-    few = F.broadcast if q.count() <= MOST_TERMS else (lambda df: df)
-    # only tokens of query terms are shuffled, by document, so that scores are summed where they are
-    met = each.join(few(q.select("term").distinct()), "term", "left_semi").repartition("doc")
+    q, few = small(q.distinct(), MOST_TERMS)
+    # of all tokens only counts of query terms leave a task
+    met = each.join(few(q.select("term").distinct()), "term", "left_semi")
     tf = staged(met.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len")), "term-counts")
     df = few(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))  # no more terms than the queries have
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = tf.join(df, "term").join(F.broadcast(stats)).select("doc", "term", (idf * gain).alias("s"))  # stats is one row
-    hits = scored.repartition("doc").join(few(q), "term").groupBy("query", "doc").agg(F.round(F.sum("s"), 6).alias("score"))
+    gain = bm25_weight(F.lit(n), F.col("df"), F.col("tf"), F.col("len"), F.lit((total or 0) / max(n, 1)), k1, b)
+    scored = tf.join(df, "term").select("doc", "term", gain.alias("s"))
+    hits = scored.repartition("doc").join(few(q), "term").groupBy("query", "doc").agg(F.round(F.sum("s"), 6).alias("score"))  # summed where they are
     return top(hits, ["query"], "score", "doc", k)
 
 
@@ -73,18 +86,20 @@ def sparse(docs: DataFrame, queries: DataFrame, k: int = 10, terms: int = 256) -
     """query, doc, score, rank by the dot product of ln(1 + tf) weights; each text keeps its heaviest ``terms`` terms (ties: the
     smaller), which are found within its row."""
 
-    def weights(t):
-        s = t.select("doc", F.array_sort("t").alias("t")).filter("size(t) > 0")
-        s = s.withColumn("at", F.expr("filter(sequence(0, size(t) - 1), i -> i = 0 or t[i] <> t[i - 1])"))
-        s = s.withColumn("x", F.expr("transform(at, (b, j) -> struct(b - coalesce(get(at, j + 1), size(t)) as neg, t[b] as term))"))
-        best = F.when(F.size("x") > terms, F.slice(F.array_sort("x"), 1, terms)).otherwise(F.col("x"))
-        return s.select("doc", F.explode(best).alias("x")).select("doc", "x.term", F.log1p(-F.col("x.neg")).alias("w"))
+    def weights(t, wanted=None):
+        s = t.filter("size(t) > 0").withColumn("s", F.when(F.size(F.array_distinct("t")) > terms, F.sort_array("t")))
+        s = s.withColumn("at", F.expr("filter(sequence(0, size(s) - 1), i -> i = 0 or s[i] <> s[i - 1])"))
+        s = s.withColumn("x", F.expr("transform(at, (b, j) -> struct(b - coalesce(get(at, j + 1), size(s)) as neg, s[b] as term))"))
+        # few enough terms need no ranking: each of their tokens counts one
+        best = F.coalesce(F.slice(F.array_sort("x"), 1, terms), F.expr("transform(t, v -> struct(-1 as neg, v as term))"))
+        s = s.select("doc", F.explode(best).alias("x")).select("doc", "x.term", "x.neg")
+        s = s if wanted is None else s.join(wanted, "term", "left_semi")
+        return s.groupBy("doc", "term").agg(F.log1p(-F.sum("neg")).alias("w"))
 
     q = weights(queries.select(F.col("query").alias("doc"), tokens(F.col("text")).alias("t"))).select(F.col("doc").alias("query"), "term", F.col("w").alias("wq"))
-    q = staged(q, "query-weights")
-    few = F.broadcast if q.count() <= MOST_TERMS else (lambda df: df)
-    met = weights(_tokens_of(docs)).join(few(q.select("term").distinct()), "term", "left_semi").repartition("doc")
-    hits = met.join(few(q), "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
+    q, few = small(q, MOST_TERMS)
+    met = weights(_tokens_of(docs), few(q.select("term").distinct()))
+    hits = met.repartition("doc").join(few(q), "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
     return top(hits, ["query"], "score", "doc", k)
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", app: str = "loamfield", shuffle_partitions: int = 8) -> SparkSession:
@@ -24,3 +25,9 @@ def local_session(cores: str = "8", app: str = "loamfield", shuffle_partitions:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the input tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over as many tasks as the cluster runs at once, where its scan has fewer (a small table in one file, say)."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, F.xxhash64(key)) if df.rdd.getNumPartitions() < n else df
