@@ -8,6 +8,7 @@ from loamfield.operators import communities, entities
 from loamfield.plans.catalogue import _EDGES, _dense, _dense_sql, _trade
 from loamfield.plans.registry import query
 from loamfield.session import table
+from loamfield.staging import staged
 
 _MENTIONS = "m AS (SELECT o_orderkey AS place, CASE WHEN o_orderkey % 2 = 0 THEN lower(n_name) ELSE n_name END AS name, o_orderpriority AS type, CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey::VARCHAR ELSE '' END AS description, o_custkey::DOUBLE AS rank, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey END AS doc FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
 
@@ -136,6 +137,26 @@ def chunk_id_codec(spark, d):
 
 @query()
 def leiden(spark, d):
-    nodes, edges = _trade(spark, d)
-    whole = nodes.select("node", F.lit(0).cast("long").alias("component"))  # the trade graph is connected
-    return communities.communities(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")), whole)
+    return communities.communities(_trade(spark, d)[1])
+
+
+#: What customers buy: a graph that grows with the data. Parts have negative numbers.
+_BUYS = "b AS (SELECT DISTINCT o_custkey AS src, -l_partkey - 1 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+def _buys(spark, d):
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select(F.col("o_custkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst")).distinct()
+
+
+@query(f"WITH {_BUYS} SELECT count(*) AS n_nodes, true AS connected, true AS gains FROM (SELECT src AS node FROM b UNION SELECT dst FROM b)")
+def leiden_purchases(spark, d):
+    """Every node has a community, every community is connected, and they beat the graph's components by far."""
+    edges = staged(_buys(spark, d), "purchases")
+    of = staged(communities.communities(edges, small=20_000), "communities")
+    ends = lambda c, h: of.select(F.col("node").alias(c), F.col("community").alias(h))
+    inner = edges.join(ends("src", "h1"), "src").join(ends("dst", "h2"), "dst").filter("h1 = h2").select("src", "dst")
+    pieces = communities.components(of.select("node"), inner).select("component").distinct().count()
+    kinds = of.select("community").distinct().count()
+    q = communities.graph_modularity(edges, of)
+    return of.agg(F.count(F.lit(1)).alias("n_nodes")).select("n_nodes", F.lit(pieces == kinds).alias("connected"), F.lit(q > 0.1).alias("gains"))
