@@ -188,3 +188,87 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """n_queries, recall: the share of the exact hits (query, doc) that were found; one row."""
     met = exact.select("query", "doc").join(found.select("query", "doc", F.lit(1).alias("hit")), ["query", "doc"], "left")
     return met.agg(F.countDistinct("query").alias("n_queries"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+
+
+def neighbours(index: Index, vectors: DataFrame, k: int = 15, probes: int = 16) -> DataFrame:
+    """src, dst, rank, score: the ``k`` nearest of each vector (doc, embedding) besides itself, of those indexed under other ids.
+
+    An edge table of ``k`` links a vector. A vector that has ``k`` equals or more with smaller ids still finds ``k`` others.
+    """
+    hits = search(index, vectors.select(F.col("doc").alias("query"), "embedding"), k + 1, probes).filter("query <> doc")
+    return top(hits.drop("rank"), ["query"], "score", "doc", k).select(F.col("query").alias("src"), F.col("doc").alias("dst"), "rank", "score")
+
+
+def fuzzy(near: DataFrame, rounds: int = 40) -> DataFrame:
+    """src, dst (src < dst), weight: neighbourhoods (src, dst, rank, score) as strengths of links.
+
+    A neighbour at distance d = 1 - score counts exp(-(d - nearest) / width), where each row's width makes its strengths add up
+    to the logarithm of their number, to base 2; it is found by ``rounds`` halvings. The two directions of a link join as
+    a + b - a b.
+    """
+    by = F.array_sort(F.collect_list(F.struct((1 - F.col("score")).alias("d"), "dst")))
+    rows = near.groupBy("src").agg(by.alias("near"))
+
+    def work(batches):
+        for b in batches:
+            lists = b.column("near")
+            size = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten()
+            d = flat.field("d").to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), size)
+            first = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(int)
+            gap = np.maximum(d - d[first][row], 0) if len(d) else d
+            aim, lo, hi = np.log2(np.maximum(size, 2)), np.zeros(len(size)), np.full(len(size), np.inf)
+            width = np.ones(len(size))
+            for _ in range(rounds):
+                total = np.bincount(row, np.exp(-gap / width[row]), len(size))
+                hi, lo = np.where(total > aim, width, hi), np.where(total > aim, lo, width)
+                width = np.maximum(np.where(np.isinf(hi), width * 2, (lo + hi) / 2), 1e-12)
+            yield pa.RecordBatch.from_arrays([b.column("src").take(pa.array(row)), flat.field("dst"), pa.array(np.exp(-gap / width[row]))], names=["src", "dst", "w"])
+
+    kind = near.schema["src"].dataType.simpleString()
+    one = rows.mapInArrow(work, f"src {kind}, dst {kind}, w double")
+    pair = one.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    return pair.agg(F.sum("w").alias("s"), F.product("w").alias("p"), F.count(F.lit(1)).alias("n")).select("src", "dst", F.when(F.col("n") > 1, F.col("s") - F.col("p")).otherwise(F.col("s")).alias("weight"))
+
+
+def layout(links: DataFrame, start: DataFrame, rounds: int = 30, against: int = 256, rate: float = 0.5, seed: int = 42) -> DataFrame:
+    """node, position: places where linked nodes (src, dst, weight) come to lie near each other, from those of ``start`` (node,
+    position: array of doubles).
+
+    Each round adds up, for every node, the pull of its links (one join for each end) and the push of ``against`` positions
+    drawn anew from all (a bounded sample, sent to the tasks), and moves it by at most ``rate``, falling to 0. Rounds are
+    written tables.
+    """
+    spark = links.sparkSession
+    both = staged(links.select("src", "dst", "weight").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).repartition("src"), "links-both-ways")
+    at = staged(start.select("node", "position"), "positions")
+    n = at.count()
+    for r in range(rounds):
+        lot = F.pmod(F.xxhash64("node", F.lit(seed + r)), F.lit(1 << 30)) < int(min(1.0, 2 * against / max(n, 1)) * (1 << 30))
+        drawn = spark.sparkContext.broadcast(np.array([x.position for x in at.filter(lot).limit(against).collect()], np.float64))
+        step = rate * (1 - r / rounds)
+        other = at.select(F.col("node").alias("dst"), F.col("position").alias("there"))
+        pull = both.join(at.select(F.col("node").alias("src"), F.col("position").alias("here")), "src").join(other, "dst")
+        way = F.zip_with("there", "here", lambda a, b: a - b)
+        # from the similarity 1 / (1 + d^2) of two places
+        pull = pull.select("src", "weight", way.alias("way")).withColumn("q", F.aggregate("way", F.lit(0.0), lambda s, v: s + v * v))
+        pull = pull.select("src", F.posexplode(F.transform("way", lambda v: 2 * F.col("weight") * v / (1 + F.col("q")))).alias("i", "pull"))
+        pull = pull.groupBy("src", "i").agg(F.sum("pull").alias("pull")).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("i", "pull"))).alias("pull"))
+        rows = at.join(pull.select(F.col("src").alias("node"), F.col("pull.pull").alias("pull")), "node", "left")
+
+        def move(batches, step=step, drawn=drawn):
+            far = drawn.value
+            for b in batches:
+                p = np.array(b.column("position").to_pylist(), np.float64)
+                g = np.array([x if x is not None else [0.0] * p.shape[1] for x in b.column("pull").to_pylist()], np.float64)
+                if len(far):
+                    gap = p[:, None] - far[None]
+                    q = (gap**2).sum(axis=2)
+                    g = g + (2 * gap / ((0.01 + q) * (1 + q))[:, :, None] * (q > 0)[:, :, None]).sum(axis=1) * 5 / len(far)
+                size = np.linalg.norm(g, axis=1)[:, None]
+                p = p + g * np.minimum(1, step / np.maximum(size, 1e-12))
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(p.tolist(), pa.list_(pa.float64()))], names=["node", "position"])
+
+        at = staged(rows.mapInArrow(move, f"node {start.schema['node'].dataType.simpleString()}, position array<double>"), "positions")
+    return at

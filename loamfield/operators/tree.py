@@ -22,16 +22,17 @@ def cluster_count(n: int, bic: dict[int, float] | None = None, most: int | None
     return max(0, min(k, n - 1))
 
 
-def mixture(x: np.ndarray, k: int, seed: int = 42, rounds: int = 100, tol: float = 1e-6, least: float = 1e-6) -> tuple[np.ndarray, float] | None:
+def mixture(x: np.ndarray, k: int, seed: int = 42, rounds: int = 100, tol: float = 1e-6, least: float = 1e-6, start: np.ndarray | None = None) -> tuple[np.ndarray, float] | None:
     """(responsibilities, criterion) of a mixture of k normal distributions without covariances, fitted by expectation and
-    maximisation from spread centres; None if a component dies. For a bounded set of nodes, in one task."""
+    maximisation from spread centres, or those of ``start``; None if a component dies. For a bounded set of nodes, in one task;
+    :mod:`loamfield.operators.mixtures` fits tables."""
     n, d = x.shape
     rng = np.random.default_rng(seed)
     centres = [x[rng.integers(n)]]
     for _ in range(k - 1):
         far = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
         centres.append(x[rng.choice(n, p=far / far.sum()) if far.sum() > 0 else rng.integers(n)])
-    mean, var, share, before = np.array(centres), np.tile(np.maximum(x.var(axis=0), least), (k, 1)), np.full(k, 1 / k), -math.inf
+    mean, var, share, before = np.array(centres if start is None else start, np.float64), np.tile(np.maximum(x.var(axis=0), least), (k, 1)), np.full(k, 1 / k), -math.inf
     r = np.zeros((n, k))
     for _ in range(rounds):
         logp = np.log(share) - 0.5 * (np.log(2 * math.pi * var).sum(axis=1) + ((x[:, None] - mean) ** 2 / var).sum(axis=2))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loamfield.operators import cells, postings
+from loamfield.operators import cells, forest, mixtures, postings
 from loamfield.plans.catalogue import _BM25, _Q, TOK, _bench, _dense, _dense_sql
 from loamfield.plans.registry import query
 from loamfield.session import table
@@ -83,3 +83,33 @@ def cell_changes(spark, d):
     cells.remove(index, v.filter("doc % 7 = 3 or doc % 6 = 1").select("doc"), 2)
     cells.add(index, v.filter("doc % 6 = 1 and doc % 7 <> 3"), 3)
     return cells.search(index, _asked(spark, d), probes=len(index.centroids))
+
+
+@query(f"WITH {_dense_sql('AND a.vec_id <> b.vec_id', 5).replace('a.vec_id % 100 = 0', 'true')} SELECT query AS src, doc AS dst, rank, score FROM dense")
+def neighbour_graph(spark, d):
+    v = _vectors(spark, d)
+    index = cells.build(v)
+    return cells.neighbours(index, v, 5, probes=len(index.centroids))
+
+
+@query("SELECT vec_id AS id, 0 AS level, 1 AS n_parents FROM embeddings")
+def tree_leaves(spark, d):
+    """Every leaf of a tree of summaries over all vectors has one parent, on the level above."""
+    leaf = table(spark, d, "embeddings").select(F.lit("all").alias("scope"), F.col("label").alias("doc"), F.col("vec_id").alias("id"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("text"), "embedding")
+    store = forest.create(spark)
+    forest.put_leaves(spark, store, leaf)
+    told = lambda t: t.select("cluster", F.substring("text", 1, 80).alias("text"))
+    digits = F.transform(F.sequence(F.lit(1), F.lit(15), F.lit(2)), lambda i: F.conv(F.substr(F.md5(F.col("text").cast("binary")), i, F.lit(2)), 16, 10).cast("double"))
+    forest.rebuild(spark, store, "all", told, lambda t: t.select("id", digits.alias("embedding")), rounds=8)
+    nodes = forest.nodes(spark, store, "all")
+    up = nodes.select(F.col("id").alias("parent"), F.col("level").alias("above"))
+    met = nodes.filter("level = 0").join(up, "parent", "left").filter("above = level + 1")
+    return met.groupBy("id", "level").agg(F.count(F.lit(1)).cast("int").alias("n_parents"))
+
+
+@query("SELECT count(*) AS n_rows, true AS rises FROM embeddings")
+def mixture_fit(spark, d):
+    """All rows weigh one in the fit, and its likelihood is above that of one component."""
+    v = mixtures.usable(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 64)
+    one, four = mixtures.fit(v, 64, [mixtures.spread_centres(v, 64, k) for k in (1, 4)], rounds=8)
+    return mixtures.assign(v, 64, four).agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.lit(four.likelihood > one.likelihood).alias("rises"))

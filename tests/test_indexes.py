@@ -82,3 +82,27 @@ def test_cells_in_pieces_and_blocks(spark, monkeypatch):
 def test_cells_need_vectors(spark):
     with pytest.raises(ValueError):
         cells.build(spark.createDataFrame([(1, None)], "doc long, embedding array<double>"))
+
+
+def test_neighbour_graph_and_layout(spark):
+    rng = np.random.default_rng(4)
+    v = np.eye(8)[np.arange(90) % 3] + 0.1 * rng.normal(size=(90, 8))
+    docs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "doc long, embedding array<double>")
+    near = cells.neighbours(cells.build(docs, cells=6), docs, 6, probes=6)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    s = np.round(u @ u.T, 6)
+    np.fill_diagonal(s, -9)
+    want = {(i, j, r + 1) for i in range(90) for r, j in enumerate(np.lexsort((np.arange(90), -s[i]))[:6].tolist())}
+    rows = near.collect()
+    assert {(r.src, r.dst, r["rank"]) for r in rows} == want
+    links = cells.fuzzy(near)
+    got = {(r.src, r.dst): r.weight for r in links.collect()}
+    assert set(got) == {(min(i, j), max(i, j)) for i, j, _ in want} and all(0 < w <= 1 + 1e-12 for w in got.values())
+    assert all(max(got[min(i, j), max(i, j)] for j in range(90) if (i, j, 1) in want) > 1 - 1e-9 for i in range(90))  # the nearest
+    start = spark.createDataFrame([(i, rng.normal(size=2).tolist()) for i in range(90)], "node long, position array<double>")
+    at = {r.node: np.array(r.position) for r in cells.layout(links, start, rounds=25, rate=1.0).collect()}
+    p = np.array([at[i] for i in range(90)])
+    far = ((p[:, None] - p[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(far, np.inf)
+    kept = np.mean([j % 3 == i % 3 for i in range(90) for j in np.argsort(far[i])[:6]])
+    assert kept > 0.9
