@@ -44,23 +44,23 @@ LITERAL, NUM, UNIT, NAME = range(4)
 CACHE = 300_000
 #: Bits of the map of the benchmark's windows: 64 for each, up to 16 MB.
 MAP_BITS = (16, 27)
-#: Items whose windows a worker remembers.
-CACHE_ITEMS = 2_000
+#: Characters of items whose windows a worker remembers.
+CACHE_CHARS = 4 << 20
 
 
 @dataclass(frozen=True)
 class Params:
     """``window`` tokens are hashed; a run needs ``run`` tokens (or ``share`` of a shorter item, a window at least) and
-    ``literals`` different literal words. Items of less than ``window`` and at least ``least`` tokens are one window.
-    Verbatim copies need the same tokens, without ``literals`` and ``least``. The windows of up to ``block_items`` items
-    are broadcast for the join; those of more are shuffled."""
+    ``literals`` different literal words, or ``share`` of an item's where it has few, two at least. Items of less than ``window`` and at least ``least`` tokens are one window.
+    Verbatim copies need the same tokens, without ``literals`` and ``least``. Windows, and texts of items, are broadcast
+    where they have ``block_bytes`` in all at most; else they are shuffled."""
 
     window: int = 8
     run: int = 13
     share: float = 0.6
     literals: int = 5
     least: int = 5
-    block_items: int = 50_000
+    block_bytes: int = 32 << 20
 
 
 class Canon:
@@ -164,6 +164,10 @@ class Index:
     def need(self, length: int) -> int:
         return min(self.p.run, max(min(self.p.window, length), int(np.ceil(self.p.share * length))))
 
+    def literals(self, kind: np.ndarray, lit: np.ndarray) -> int:
+        """Different literal words that a stretch of an item needs."""
+        return min(self.p.literals, max(2, int(np.ceil(self.p.share * len(np.unique(lit[kind == LITERAL]))))))
+
     def matches(self, forms: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[int, int, float, int]]:
         """(item_id, tokens of the longest run, its share of the item, slots with another value) for each item found."""
         best: dict[int, tuple] = {}
@@ -201,6 +205,7 @@ class Index:
         _, item_id, t, kind, lit = self.items[n]
         if size < self.need(len(t)) or not (t[i : i + size] == tokens[j : j + size]).all():
             return None
+        few = self.literals(kind, lit)
         kind, lit, mine = kind[i : i + size], lit[i : i + size], lits[j : j + size]
         slot = kind != LITERAL
         where = np.flatnonzero(slot).tolist()
@@ -209,7 +214,7 @@ class Index:
         for a, b in self._consistent(where, pairs, size):
             if b - a < self.need(len(t)) or (best and b - a <= best[1]):
                 continue
-            if len(np.unique(lit[a:b][~slot[a:b]])) >= min(self.p.literals, b - a):
+            if len(np.unique(lit[a:b][~slot[a:b]])) >= few:
                 best = item_id, b - a, (b - a) / len(t), sum(x != y for _, x, y in {q for w, q in zip(where, pairs, strict=True) if a <= w < b})
         return best
 
@@ -234,7 +239,6 @@ class Index:
 SCHEMA = "doc_id long, item_id long, n_tokens long, coverage double, n_changed long"
 #: Windows of equal tokens meet only if they have the same size and both are templates or both are words.
 _WINDOW = "h long, kind int"
-_FOUND = "array<struct<item_id: long, n_tokens: long, coverage: double, n_changed: long>>"
 
 
 def _kind(exact: bool, k: int) -> int:
@@ -251,7 +255,7 @@ def _item_windows(items: DataFrame, p: Params) -> DataFrame:
                     u = np.unique(h).view(np.int64)
                     yield pa.RecordBatch.from_pydict({"ik": pa.array(np.full(len(u), ik)), "h": pa.array(u), "kind": pa.array(np.full(len(u), _kind(exact, k), np.int32))})
 
-    return items.select("ik", "text").dropDuplicates(["ik"]).mapInArrow(run, f"ik long, {_WINDOW}")
+    return items.select("ik", F.col("item").alias("text")).dropDuplicates(["ik"]).mapInArrow(run, f"ik long, {_WINDOW}")
 
 
 def _mapped(windows: DataFrame, n: int) -> np.ndarray:
@@ -308,49 +312,50 @@ def _doc_windows(docs: DataFrame, known: np.ndarray, kinds: list[int], p: Params
     return docs.mapInArrow(run, f"doc_id long, tk long, {_WINDOW}")
 
 
-def _found(docs: DataFrame, p: Params) -> DataFrame:
-    """``docs`` (with ``items``: ids and texts of those that share a window) with what :meth:`Index.matches` finds."""
-    names = [f.name for f in docs.schema if f.name not in ("items", "text")]
+def _found(pairs: DataFrame, p: Params) -> DataFrame:
+    """``doc_id, tk`` and ``found``: what :meth:`Index.matches` finds in pairs (doc_id, tk, text, item_id, item) of a document and
+    an item that share a window. Pairs of a document follow each other, so its text is read once."""
+    kind = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("item_id", pa.int64()), ("n_tokens", pa.int64()), ("coverage", pa.float64()), ("n_changed", pa.int64())])
 
     def run(batches):
-        canon, indexes = Canon(), {}
+        canon, indexes, held, last, forms = Canon(), {}, 0, None, []
         for b in batches:
+            rows = []
+            cols = [b.column(c) for c in ("doc_id", "tk", "item_id")]
             for at in range(b.num_rows):
-                forms, best = canon.forms(b.column("text")[at].as_py()), {}
-                for item in b.column("items")[at].as_py():
-                    text = item["text"]
-                    if text not in indexes:
-                        if len(indexes) >= CACHE_ITEMS:
-                            indexes.clear()
-                        indexes[text] = Index([(0, text)], p)
-                    for got in indexes[text].matches(forms):
-                        best[item["item_id"]] = max(best.get(item["item_id"], (0,)), got[1:])
-                rows = [{"item_id": i, "n_tokens": n, "coverage": c, "n_changed": x} for i, (n, c, x) in best.items()]
-                kept = b.slice(at, 1)
-                kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_tokens", pa.int64()), ("coverage", pa.float64()), ("n_changed", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), pa.array([rows], kind)], names=[*names, "found"])
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    return docs.mapInArrow(run, f"{fields}, found {_FOUND}").filter("size(found) > 0")
+                d, tk, item_id = (c[at].as_py() for c in cols)
+                if last != (d, tk):
+                    last, forms = (d, tk), canon.forms(b.column("text")[at].as_py())
+                item = b.column("item")[at].as_py()
+                if item not in indexes:
+                    if held > CACHE_CHARS:
+                        indexes, held = {}, 0
+                    indexes[item] = Index([(0, item)], p)
+                    held += len(item)
+                rows += [(d, tk, item_id, *got[1:]) for got in indexes[item].matches(forms)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 6, kind, strict=True)], schema=kind)
+
+    got = pairs.mapInArrow(run, f"doc_id long, tk long, {SCHEMA.removeprefix('doc_id long, ')}")
+    best = got.groupBy("doc_id", "tk", "item_id").agg(F.max(F.struct("n_tokens", "coverage", "n_changed")).alias("x"))
+    return best.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("item_id", "x.n_tokens", "x.coverage", "x.n_changed")).alias("found"))
 
 
 def _contaminated(docs: DataFrame, benchmark: DataFrame, p: Params) -> DataFrame:
     """``doc_id, tk`` (tells apart the texts of a repeated doc_id) and ``found`` of each distinct document with an item."""
     docs = documents(docs).filter("text is not null").withColumn("tk", text_key())
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
-    items = staged(items.withColumn("ik", F.xxhash64("text")), "items")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item")).filter("item is not null").distinct()
+    items = staged(items.withColumn("ik", F.xxhash64("item")), "items")
     windows = staged(_item_windows(items, p), "item-windows")
-    n = windows.count()
+    n, size = windows.count(), items.agg(F.sum(F.octet_length("item") + 16)).first()[0] or 0
     kinds = sorted(r["kind"] for r in windows.select("kind").distinct().collect())  # two for each size up to a window
     met = _doc_windows(docs, _mapped(windows, n), kinds, p)
-    small = items.count() <= p.block_items
-    pairs = met.join(F.broadcast(windows) if small else windows, ["h", "kind"]).select("doc_id", "tk", "ik").distinct()
-    pairs = pairs.join(F.broadcast(items) if small else items, "ik")
-    wanted = pairs.groupBy(F.col("doc_id").alias("d_"), F.col("tk").alias("t_")).agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
-    wanted = staged(wanted, "suspects")
-    some, _ = split_by_partner(docs, F.col("tk"), wanted.select("t_"), F.col("t_"))
-    some = some.dropDuplicates(["doc_id", "tk"]).join(wanted, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("tk") == F.col("t_")))
-    return _found(some.select("doc_id", "tk", "text", "items"), p)
+    small = lambda df, bytes_: F.broadcast(df) if bytes_ <= p.block_bytes else df
+    pairs = met.join(small(windows, 20 * n), ["h", "kind"]).select(F.col("doc_id").alias("d_"), F.col("tk").alias("t_"), "ik").distinct()
+    pairs = staged(pairs, "suspects")
+    some, _ = split_by_partner(docs, F.col("tk"), pairs.select("t_").distinct(), F.col("t_"))
+    some = some.dropDuplicates(["doc_id", "tk"]).join(pairs, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("tk") == F.col("t_")))
+    some = some.select("doc_id", "tk", "text", "ik").join(small(items, size), "ik")
+    return _found(some.select("doc_id", "tk", "text", "item_id", "item").sortWithinPartitions("doc_id", "tk"), p)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
@@ -373,12 +378,15 @@ def op10(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item; the columns of ``docs``.
+    """Documents that contain no benchmark item; the columns of ``docs``. Items of less than ``least`` words, which any text may
+    hold, are reported by :func:`contaminated` but decide nothing here.
 
     A document goes by its doc_id and text together, so another text of the same doc_id, or of none, stays. Rows with a
     null text stay. Rows that repeat both stay or go together; whatever other columns there are, they are kept.
     """
-    found = staged(_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Params()).select(F.col("doc_id").alias("g_"), F.col("tk").alias("k_")), "contaminated")
+    p = Params()
+    found = _contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), p).filter(F.exists("found", lambda x: x["n_tokens"] >= p.least))
+    found = staged(found.select(F.col("doc_id").alias("g_"), F.col("tk").alias("k_")), "contaminated")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col("doc_id").cast("long").alias("d_"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("tk_"))
     some, rest = split_by_partner(rows, F.col("tk_"), found, F.col("k_"))
     kept = some.join(found, F.col("d_").eqNullSafe(F.col("g_")) & (F.col("tk_") == F.col("k_")), "left_anti")

@@ -493,7 +493,7 @@ def test_decontamination(spark, docs_of):
     got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs_of(rows + ODD), bench).collect()}
     assert set(got) == {(10, 1), (11, 1), (13, 2), (14, 2)} and got[11, 1].n_changed == 5 and got[10, 1].n_changed == 0
     assert got[14, 2].n_tokens == 22  # the stretch before (or after) the number that is out of line
-    small = decontam.contaminated(docs_of(rows), bench, decontam.Params(block_items=1)).collect()
+    small = decontam.contaminated(docs_of(rows), bench, decontam.Params(block_bytes=1)).collect()
     assert {(r.doc_id, r.item_id) for r in small} == set(got)
     assert decontam.contaminated(docs_of([]), bench).count() == 0 and decontam.contaminated(docs_of(rows), bench.limit(0)).count() == 0
 
@@ -536,6 +536,7 @@ def brute_contaminated(rows, items, p):
                 continue
             for n, (t, kind, lit) in enumerate(canon.forms(item)):
                 need = min(p.run, max(min(p.window, len(t)), int(np.ceil(p.share * len(t)))))
+                few = min(p.literals, max(2, int(np.ceil(p.share * len({x for x, y in zip(lit, kind) if y == decontam.LITERAL})))))
                 for other, other_kind, other_lit in canon.forms(text):
                     for i in range(len(t)):
                         for j in range(len(other)):
@@ -548,7 +549,7 @@ def brute_contaminated(rows, items, p):
                                     if there.setdefault(ours, theirs) != theirs or back.setdefault(theirs, ours) != ours:
                                         break
                                 k += 1
-                            if k >= need and len(words) >= min(p.literals, k):
+                            if k >= need and len(words) >= few:
                                 out[d, item_id] = max(out[d, item_id], k)
                             k = 0
                             while i + k < len(t) and j + k < len(other) and lit[i + k] == other_lit[j + k]:
@@ -558,7 +559,7 @@ def brute_contaminated(rows, items, p):
     return dict(out)
 
 
-@pytest.mark.parametrize("few", [1, 50])
+@pytest.mark.parametrize("few", [1, 1 << 20])
 def test_decontamination_by_brute_force(spark, docs_of, few):
     rng = random.Random(16)
     words = ["the", "of", "box", "has", "coins", "then", "Ann", "Bob", "3", "7", "12", "km", "-", "river.", "Old", "sold", "to:", "apples", "many", "so"]
@@ -576,7 +577,7 @@ def test_decontamination_by_brute_force(spark, docs_of, few):
         rows.append((d % 50, " ".join(parts)))
     rows += [(None, items[20][1]), (None, None), (5, ""), (7, items[20][1]), (7, items[20][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    p = decontam.Params(block_items=few)
+    p = decontam.Params(block_bytes=few)
     got = Counter()
     for r in decontam.contaminated(docs_of(rows), bench, p).collect():
         got[r.doc_id, r.item_id] = max(got[r.doc_id, r.item_id], r.n_tokens)
@@ -584,6 +585,21 @@ def test_decontamination_by_brute_force(spark, docs_of, few):
     assert len(want) > 40 and dict(got) == want
 
 
+def test_decontamination_of_short_and_huge_items(spark, docs_of):
+    rng = random.Random(18)
+    huge = prose(rng, 500_000)  # some megabytes
+    rows = [(1, "Question: What is 14 plus 35?"), (2, "What is 14 minus 35?"), (3, "yes it is"), (4, "so " + huge[1000:1300] + " end"), (5, "see " + huge)]
+    bench = spark.createDataFrame([(1, "What is 12 plus 30?"), (2, "yes"), (3, huge)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs_of(rows), bench).collect()}
+    assert got == {(1, 1), (3, 2), (4, 3), (5, 3)}
+
+
+def test_decontamination_stage_leaves_short_items(spark, docs_of, tmp_path):
+    spark.createDataFrame([(1, "yes"), (2, "the capital of"), (3, "What is 12 plus 30?")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "yes it is the capital of all"), (2, "Now: what is 14 plus 35?"), (3, "no")]
+    assert sorted(r.doc_id for r in decontam.stage(spark, docs_of(rows), str(tmp_path)).collect()) == [1, 3]
+
+
 def test_decontamination_stage(spark, docs_of, tmp_path):
     q = "Yesterday the trader sold many crates of ripe apples and later bought some more crates near the old river market"
     clean = ["a clean text", None, "", "another clean text"]
