@@ -18,8 +18,6 @@ from loamfield.llm.common import documents
 PROFILE = 400
 #: Training documents of a language, as expected from a hash of doc_id: the documented bound of what is learned from.
 TRAIN_PER_LANG = 4000
-#: So many languages, those with the most documents, have a profile: the bound of what reaches the driver.
-MOST_LANGS = 500
 #: Texts are counted in pieces of so many characters, so that memory stays bounded.
 PIECE = 1 << 18
 _FOLD: list[np.ndarray] = []
@@ -110,12 +108,13 @@ def learn(docs: DataFrame, size: int = PROFILE, per_lang: int = TRAIN_PER_LANG)
     """Profiles from about ``per_lang`` documents of each language (all, where there are fewer), chosen by a hash of
     their ids. ``docs``: doc_id, text, lang; rows with null text or lang teach nothing.
 
-    What reaches the driver is ``size`` n-grams of at most :data:`MOST_LANGS` languages.
+    Every language that a row is labelled with has a profile. What reaches the driver, and the tasks, is ``size`` n-grams of
+    each, some 6 KB a language.
     """
     docs = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
-    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang")).orderBy(F.desc("of_lang"), "lang").limit(MOST_LANGS)
+    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang"))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) * F.col("of_lang") < F.lit(per_lang << 20)
-    chosen = docs.join(F.broadcast(counts), "lang").filter(drawn)  # MOST_LANGS rows at most
+    chosen = docs.join(F.broadcast(counts), "lang").filter(drawn)  # a row for each language
 
     def tally(batches):
         total: dict[str, list] = {}

@@ -245,3 +245,12 @@ def test_search_agrees_with_sql(spark, tmp_path, monkeypatch):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     want = con.execute(f"SELECT query_id, rank, vec_id, score FROM ({topk.OP13_SQL})").fetchall()
     assert Counter(tuple(r) for r in topk.op13(spark, str(tmp_path)).collect()) == Counter(want)
+
+
+def test_every_language_has_a_profile(spark):
+    from loamfield.llm import langid
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, " ".join([letters[i % 26] * 3 + letters[i // 26] * 3] * 9), f"l{i}", "s", 1) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(langid.learn(docs, size=12).langs) == 600
