@@ -200,15 +200,15 @@ def synonyms(toks: DataFrame, groups: DataFrame) -> DataFrame:
     return toks.unionByName(toks.join(pairs, "term").select(*[F.col("more").alias("term") if c == "term" else c for c in toks.columns]))
 
 
-def expanded(texts: DataFrame, groups: DataFrame, longest: int = 8) -> DataFrame:
+def expanded(texts: DataFrame, groups: DataFrame) -> DataFrame:
     """``key, term`` of texts (key, t: array of tokens): the tokens, and the tokens of every other member of the groups
-    (group_id, term) that a token or a phrase of neighbouring tokens belongs to. Phrases have up to ``longest`` words."""
+    (group_id, term) that a token or a phrase of neighbouring tokens belongs to, however long the phrase."""
     key = texts.columns[0]
     g = groups.select("group_id", F.lower("term").alias("term"))
     pairs = g.alias("a").join(g.alias("b"), "group_id").filter("a.term <> b.term").select(F.col("a.term").alias("term"), F.col("b.term").alias("other")).distinct()
     pairs = pairs.select("term", F.explode(tokens(F.col("other"))).alias("more"))
     held = groups.agg(F.max(F.size(F.split("term", " "))).alias("n"))  # one row
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least("n", F.size("t") - i, F.lit(longest))), lambda n: F.array_join(F.slice("t", i + 1, n), " "))))
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least("n", F.size("t") - i)), lambda n: F.array_join(F.slice("t", i + 1, n), " "))))
     met = texts.join(F.broadcast(held)).filter("size(t) > 0").select(key, F.explode(spans).alias("term")).join(pairs, "term").select(key, F.col("more").alias("term"))
     return texts.select(key, F.explode("t").alias("term")).unionByName(met)
 
