@@ -20,11 +20,15 @@ RANK = 6
 #: Labelled rows that are learned from, as expected from a hash of doc_id, for each label: the documented bound.
 TRAIN_PER_LABEL = 6000
 EPOCHS = 12
-#: A term counts only if so many training documents have it, and its presence goes with the label beyond chance: the
+#: A term counts only if so many training documents have it, and its presence goes with the label beyond chance, alone or in a pair: the
 #: chi-square of the two (10.8 is passed by one term in a thousand without any tie). Else the small weights of a long text's
 #: ordinary words would add up to more than what marks it.
 LEAST_DOCS = 4
 LEAST_CHI2 = 10.8
+#: Pairs of the so many most frequent terms, of those that at most half of the training documents have, are tested too: two
+#: terms stay, if their presence together goes with the label by so much more (chi-square) than that of each.
+PAIR_TERMS = 3000
+LEAST_PAIR = 80.0
 _STRIP = b".,;:!?\"'()[]{}<>*#$%&|-_"
 
 
@@ -64,6 +68,32 @@ def _tie(rows: list[np.ndarray], labels: np.ndarray, seen: np.ndarray) -> np.nda
     return np.divide(n * np.maximum(far, 0) ** 2, below, out=np.zeros(len(seen)), where=below > 0)
 
 
+def _paired(rows: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Terms that tell something only beside another: an insult is one beside a group's name, and neither is alone."""
+    n, n1 = len(rows), float(labels.sum())
+    some = np.flatnonzero((seen >= LEAST_DOCS) & (seen <= n / 2))
+    some = np.sort(some[np.argsort(-seen[some], kind="stable")[:PAIR_TERMS]])
+    if len(some) < 2 or not 0 < n1 < n:
+        return some[:0]
+    at = np.full(len(seen), -1)
+    at[some] = np.arange(len(some))
+    both, pos = np.zeros((len(some),) * 2, np.float32), np.zeros((len(some),) * 2, np.float32)
+    for a in range(0, n, 1024):  # counts below 2^24 are exact
+        x = np.zeros((min(1024, n - a), len(some)), np.float32)
+        for i, r in enumerate(rows[a : a + 1024]):
+            mine = at[r]
+            x[i, mine[mine >= 0]] = 1
+        both += x.T @ x
+        y = x[labels[a : a + 1024] == 1]
+        pos += y.T @ y
+    far = np.maximum(np.abs(pos * n - both * n1) - n / 2, 0)
+    below = both * (n - both) * (n1 * (n - n1))
+    chi = np.divide(n * far * far, below, out=np.zeros_like(far), where=(below > 0) & (both >= LEAST_DOCS))
+    own = tie[some]
+    np.fill_diagonal(chi, 0)
+    return some[(chi >= LEAST_PAIR + own[:, None] + own[None, :]).any(axis=1)]
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     """Adaptive gradient steps over small batches, the same for equal input; classes weigh alike up to a factor of 3."""
     size = 1 << BITS
@@ -71,9 +101,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     seen = np.zeros(size, np.int32)
     for r in rows:
         seen[r] += 1
-    used = (seen >= LEAST_DOCS) & (_tie(rows, labels, seen) >= LEAST_CHI2)
+    tie = _tie(rows, labels, seen)
+    used = (seen >= LEAST_DOCS) & (tie >= LEAST_CHI2)
+    paired = _paired(rows, labels, seen, tie)
+    used[paired] = True
     rows = [r[used[r]] for r in rows]
     w, v = np.zeros(size, np.float32), np.where(used[:, None], rng.normal(0, 0.01, (size, RANK)), 0).astype(np.float32)
+    v[paired] *= 30  # what tells by its pairs begins with some
     w[used] = 1e-9  # trained at all
     gw, gv, g0 = np.full(size, 1e-6, np.float32), np.full((size, RANK), 1e-6, np.float32), 1e-6
     w0, n = 0.0, len(rows)

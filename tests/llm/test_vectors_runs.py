@@ -254,3 +254,27 @@ def test_every_language_has_a_profile(spark):
     rows = [(i, " ".join([letters[i % 26] * 3 + letters[i // 26] * 3] * 9), f"l{i}", "s", 1) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert len(langid.learn(docs, size=12).langs) == 600
+
+
+def test_toxicity_learns_what_only_pairs_tell():
+    """A and B, and C and D, mark a document together; each of them alone is as common in clean documents."""
+    from loamfield.llm import toxicity
+
+    rng = random.Random(19)
+
+    def doc(y):
+        first, second = ("A", "B") if rng.random() < 0.5 else ("C", "D")
+        cross = {"A": "D", "C": "B"}[first]
+        marks = [first, second] if y else [first, cross]
+        return toxicity.terms(" ".join([*marks, *(f"w{rng.randrange(60)}" for _ in range(12))]))
+
+    labels = np.array([rng.random() < 0.4 for _ in range(3000)], float)
+    rows = [doc(y) for y in labels]
+    m = toxicity.fit(rows[:2000], labels[:2000])
+    flat = toxicity.Machine(m.w0, m.w, np.zeros_like(m.v))
+
+    def auc(machine):
+        s, y = np.array([machine.score(r) for r in rows[2000:]]), labels[2000:] == 1
+        return (s[y][:, None] > s[~y][None]).mean() + 0.5 * (s[y][:, None] == s[~y][None]).mean()
+
+    assert auc(m) > 0.95 and auc(flat) < 0.7
