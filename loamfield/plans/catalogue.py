@@ -9,6 +9,7 @@ from loamfield.operators import chunking, graph, ingest, metrics, retrieval, sea
 from loamfield.plans.registry import ORACLES, QUERIES, query
 from loamfield.session import table
 from loamfield.sources import web
+from loamfield.streaming import deliveries
 from loamfield.streaming import events as st
 
 
@@ -617,4 +618,20 @@ def stream_session(spark, d):
     return got.withColumn("start", F.regexp_replace(F.concat("start", F.when(F.contains("start", F.lit(".")), F.lit("")).otherwise(F.lit(".0"))), r"\.?0+$", ""))
 
 
+@query("""WITH a AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS message, event_type, ts, row_number() OVER w AS i, min(ts) OVER w AS first FROM events WINDOW w AS (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id)),
+f AS (SELECT message, min(first) AS first, min(i) FILTER (ts <= first + INTERVAL 6 HOUR AND (event_type IN ('purchase', 'error') OR i = 3)) AS e, count(*) FILTER (ts <= first + INTERVAL 6 HOUR) AS n, max(ts) AS last FROM a GROUP BY message)
+SELECT message, CASE WHEN e IS NULL THEN 'abandoned' WHEN event_type = 'purchase' THEN 'done' ELSE 'dead' END AS status, coalesce(e, n)::INTEGER AS attempts,
+CASE WHEN e IS NULL THEN 'deadline' WHEN event_type = 'purchase' THEN NULL WHEN event_type = 'error' THEN 'fatal' ELSE 'attempts' END AS cause
+FROM f LEFT JOIN a USING (message) WHERE i = coalesce(e, 1) AND (e IS NOT NULL OR last > f.first + INTERVAL 6 HOUR OR f.first + INTERVAL 7 HOUR < (SELECT max(ts) FROM events))""")
+def stream_deliveries(spark, d):
+    """Events as attempts to deliver a message of a user and a day, some of them delivered twice."""
+    e = st.file_stream(spark, d, "events")
+    outcome = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "fatal").otherwise("retry")
+    twice = F.explode(F.when(F.col("event_id") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    message = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    a = e.select(message.alias("message"), F.col("event_id").alias("attempt"), "ts", outcome.alias("outcome"), twice.alias("copy")).drop("copy")
+    with deliveries.state_store(spark):
+        return st.settle(deliveries.settled(a), "deliveries", "append")
+
+
 from loamfield.plans import evaluating, graphs, indexes, reading, writing  # noqa: E402, F401  (they register their queries)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loamfield.functions import text as tx
@@ -9,7 +10,8 @@ from loamfield.operators import chunking, governance, ingest, semantic
 from loamfield.plans.catalogue import _SECTIONS, _sections
 from loamfield.plans.registry import query
 from loamfield.session import table
-from loamfield.sources import feeds, parsers, remote, web
+from loamfield.sources import delta, feeds, parsers, remote, web
+from loamfield.staging import fresh_dir
 
 _TRIM = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 _md5 = lambda c: F.md5(F.col(c).cast("binary"))
@@ -127,6 +129,28 @@ def remote_listing(spark, d):
     return remote.since(remote.listing(pages, "zendesk_tickets"), "1995-06-01").select("id", "etag", "name", "removed")
 
 
+@query("SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 5 = 0 AND doc_id % 7 <> 0 THEN 'v2' ELSE 'v1' END AS etag, lang AS name, doc_id % 7 = 0 AS gone FROM documents")
+def delta_polls(spark, d):
+    """Two polls of a service whose answers Spark lays out from ``documents``: all of them, then what changed or went."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("name"), F.expr("doc_id div 500").alias("p"), (F.col("doc_id") % 5 == 0).alias("newer"), (F.col("doc_id") % 7 == 0).alias("lost"))
+
+    def answers(items, since, token):
+        page = items.groupBy("p").agg(F.to_json(F.collect_list("item")).alias("value")).withColumn("after", F.lead("p").over(Window.orderBy("p")))  # a row a page
+        follows = F.when(F.col("after").isNull(), F.lit(f'"@odata.deltaLink":"{token}"')).otherwise(F.concat(F.lit('"@odata.nextLink":"p'), F.col("after").cast("string"), F.lit('"')))
+        first = F.row_number().over(Window.orderBy("p")) == 1
+        return page.select(F.lit(since).alias("since"), F.when(first, "").otherwise(F.concat(F.lit("p"), F.col("p").cast("string"))).alias("page"), F.concat(F.lit('{"value":'), "value", F.lit(","), follows, F.lit("}")).alias("body"))
+
+    at, where = fresh_dir(spark, "polls"), fresh_dir(spark, "answers")
+    item = lambda tag: F.struct("id", F.lit(tag).alias("eTag"), "name")
+    delta.put_answers(answers(docs.withColumn("item", item("v1")), "", "t1"), where)
+    delta.poll(spark, at, "onedrive", answers=where)
+    lost = F.struct("id", F.struct(F.lit("deleted").alias("state")).alias("deleted"))
+    told = docs.filter("newer or lost").withColumn("item", F.when(F.col("lost"), F.to_json(lost)).otherwise(F.to_json(item("v2"))))
+    delta.put_answers(answers(told.withColumn("item", F.from_json("item", "id string, eTag string, name string, deleted struct<state: string>")), "t1", "t2"), where)
+    delta.poll(spark, at, "onedrive", answers=where)
+    return delta.polled_items(spark, at).select("id", "etag", "name", "gone")
+
+
 @query("SELECT event_type || '/' || strftime(ts, '%Y-%m-%d') AS id, count(*) AS n FROM events GROUP BY ALL")
 def channel_days(spark, d):
     e = table(spark, d, "events").select(F.col("event_type").alias("channel"), "ts", F.col("props").alias("text"))
