@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loamfield.operators import answers, governance, metrics
+from loamfield.operators import answers, governance, metrics, quantiles
 from loamfield.plans.catalogue import _BM25, _POST, _Q, _bench
 from loamfield.plans.registry import query
 from loamfield.session import table
 from loamfield.sources import feeds
+from loamfield.staging import staged
 from loamfield.streaming import events as st
 
 # ---- scores --------------------------------------------------------------------------------------------------------
@@ -105,6 +106,15 @@ def multihop_judgements(spark, d):
     return feeds.multihop(q)[1].groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH o AS (SELECT l_returnflag AS flag, l_extendedprice::DOUBLE AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem),
+p AS (SELECT unnest([0.5, 0.9, 0.99]) AS p) SELECT flag, p::DOUBLE AS p, n, v AS value FROM o, p WHERE r = greatest(ceil(p * n), 1)""")
+def exact_quantiles(spark, d):
+    """Nearest ranks of prices; the first look is at sketches that were kept by month."""
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.col("l_extendedprice").alias("price"))
+    kept = staged(quantiles.sketches(rows, ["flag", "month"], "price"), "sketches")
+    return quantiles.nearest_rank(rows, "flag", "price", [0.5, 0.9, 0.99], quantiles.merged(kept, ["flag"]))
+
+
 # ---- costs and traces ----------------------------------------------------------------------------------------------
 _PRICED = "SELECT ts, event_type AS kind, CASE user_id % 3 WHEN 0 THEN (event_id * 2.5::DOUBLE + user_id * 10.0::DOUBLE) / 1e6 WHEN 1 THEN (event_id * 0.5::DOUBLE + user_id * 1.5::DOUBLE) / 1e6 ELSE 0.0 END AS cost FROM events"
 
