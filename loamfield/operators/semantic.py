@@ -82,6 +82,114 @@ def groups(parts: list[str], vectors: list, percentile: float = 0.25, least: int
     return split
 
 
+# ---- groups of sentences by expressions -------------------------------------------------------------------------------
+_SPAN = "struct<a: int, b: int, size: int>"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    return F.transform(F.array(value), use)[0]
+
+
+def _joined(x: Column, y: Column) -> Column:
+    return F.struct(x["a"].alias("a"), y["b"].alias("b"), (x["size"] + y["size"] + 1).alias("size"))
+
+
+def _ends(starts: Column, end: Column) -> Column:
+    return F.transform(starts, lambda a, i: F.struct(a.alias("a"), F.coalesce(F.get(starts, i + 1), end).alias("b")))
+
+
+def _parted(vectors: Column, percentile: float) -> Column:
+    """The numbers of the sentences that begin a group: the first, and those less like the one before than the percentile."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, z: s + z)
+    like = lambda x, y: _let(F.sqrt(dot(x, x) * dot(y, y)), lambda n: F.when((F.size(x) == F.size(y)) & (n > 0), dot(x, y) / n).otherwise(0.0))
+    near, p = F.transform(F.sequence(F.lit(0), F.size(vectors) - 2), lambda i: like(F.get(vectors, i), F.get(vectors, i + 1))), min(max(percentile, 0.01), 0.99)
+    bound = lambda n: F.get(F.array_sort(n), F.least(F.floor(F.size(n) * F.lit(p)), F.size(n) - 1).cast("int"))
+    below = lambda n, b: F.filter(F.transform(n, lambda s, i: F.when(s < b, i + 1)), lambda i: i.isNotNull())
+    return F.concat(F.array(F.lit(0)), _let(near, lambda n: _let(bound(n), lambda b: below(n, b))))
+
+
+def _long_enough(sized: Column, least: int) -> Column:
+    """Groups that are too short join their shorter neighbour, the left one of equals: one walk from left to right, in which all
+    that is passed is long enough, ``last`` is the one passed last and ``wait`` what must go on to the right."""
+    none = F.lit(None).cast(_SPAN)
+    state = lambda done, last, wait: F.struct(done.alias("done"), last.alias("last"), wait.alias("wait"))
+
+    def step(s, i):
+        def place(cur):
+            after, last = F.get(sized, i + 1), s["last"]
+            pushed = F.when(last.isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(last)))
+            left = last.isNotNull() & (after.isNull() | (last["size"] <= after["size"]))
+            return (
+                F.when(cur["size"] >= least, state(pushed, cur, none))
+                .when(left, state(s["done"], _joined(last, cur), none))
+                .when(after.isNull(), state(s["done"], cur, none))
+                .otherwise(state(s["done"], last, cur))
+            ).cast(f"struct<done: array<{_SPAN}>, last: {_SPAN}, wait: {_SPAN}>")
+
+        x = F.get(sized, i)
+        return _let(F.when(s["wait"].isNull(), x).otherwise(_joined(s["wait"], x)), place)
+
+    start = state(F.array().cast(f"array<{_SPAN}>"), none, none).cast(f"struct<done: array<{_SPAN}>, last: {_SPAN}, wait: {_SPAN}>")
+    return F.aggregate(F.sequence(F.lit(0), F.size(sized) - 1), start, step, lambda s: F.concat(s["done"], F.array(s["last"])))
+
+
+def _short_enough(group: Column, lens: Column, most: int) -> Column:
+    """A group of more than ``most`` characters as groups that are filled one after the other."""
+    typed = "struct<starts: array<int>, held: int>"
+    state = lambda starts, held: F.struct(starts.alias("starts"), held.alias("held")).cast(typed)
+
+    def step(s, j):
+        more = s["held"] + 1 + F.get(lens, j)
+        return F.when(more > most, state(F.concat(s["starts"], F.array(j)), F.get(lens, j))).otherwise(state(s["starts"], more))
+
+    rest = F.filter(F.sequence(group["a"], group["b"] - 1), lambda j: j > group["a"])
+    starts = F.aggregate(rest, state(F.array(group["a"]), F.get(lens, group["a"])), step, lambda s: s["starts"])
+    whole = F.array(F.struct(group["a"].alias("a"), group["b"].alias("b")))
+    return F.when(group["size"] > most, _let(starts, lambda x: _ends(x, group["b"]))).otherwise(whole)
+
+
+def spans_by_meaning(docs: DataFrame, parts: str, vectors: str, percentile: float = 0.25, least: int = 100, most: int = 1500) -> DataFrame:
+    """``docs`` with ``spans``: the groups of :func:`groups` as structs of the first sentence and the one after the last, from
+    0, for arrays of sentences and of their vectors. Expressions alone, a row a document: nothing is shuffled. Without
+    sentences there are no spans. Vectors of a single sentence aren't looked at."""
+    chars = lambda lens, g: (F.aggregate(F.slice(lens, g["a"] + 1, g["b"] - g["a"]), F.lit(0), lambda s, x: s + x) + g["b"] - g["a"] - 1).cast("int")
+    sized = lambda lens, starts: F.transform(_ends(starts, F.size(lens)), lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"), chars(lens, g).alias("size")))
+    cut = lambda lens, groups: F.flatten(F.transform(groups, lambda g: _short_enough(g, lens, most)))
+    # bound one by one, so that nothing is computed again for each sentence
+    spans = _let(F.transform(parts, lambda x: F.length(x)), lambda lens: _let(
+        F.when(F.size(lens) > 1, _let(F.col(vectors), lambda v: _parted(v, percentile))).otherwise(F.array(F.lit(0))), lambda starts: _let(
+            sized(lens, starts), lambda groups: _let(_long_enough(groups, least), lambda merged: cut(lens, merged)))))
+    return docs.withColumn("spans", F.when(F.size(parts) > 0, spans).otherwise(F.array().cast("array<struct<a: int, b: int>>")))
+
+
+def embedded(embed: Embed):
+    """A column function: arrays of sentences -> arrays of their vectors, all sentences of a batch of rows in one call."""
+
+    @F.pandas_udf("array<array<double>>")
+    def run(parts: pd.Series) -> pd.Series:
+        texts = [[] if p is None else list(p) for p in parts]
+        flat = [x for t in texts for x in t]
+        got, out, at = embed(flat) if flat else [], [], 0
+        for t in texts:
+            out.append([[float(c) for c in v] for v in got[at : at + len(t)]])
+            at += len(t)
+        return pd.Series(out)
+
+    return run
+
+
+def meaning_chunks(docs: DataFrame, embed: Embed | None = None, percentile: float = 0.25, least: int = 100, most: int = 1500) -> DataFrame:
+    """``doc_id, chunk_index, first, n_sentences, text``: chunks of neighbouring sentences that are alike, by expressions but
+    for the model. Without ``embed`` the vectors are read from ``vectors``, an array beside the text that has one for each of
+    its :func:`sentences`. Null and blank texts have no chunks."""
+    some = docs.withColumn("parts_", sentences(F.col("text")))
+    some = some.withColumn("vectors_", F.col("vectors") if embed is None else embedded(embed)("parts_"))
+    spans = spans_by_meaning(some, "parts_", "vectors_", percentile, least, most)
+    c = spans.select("doc_id", F.posexplode("spans").alias("chunk_index", "s"), "parts_")
+    n = F.col("s.b") - F.col("s.a")
+    return c.select("doc_id", "chunk_index", F.col("s.a").alias("first"), n.alias("n_sentences"), F.array_join(F.slice("parts_", F.col("s.a") + 1, n), " ").alias("text"))
+
+
 CHUNKS = "doc_id long, chunk_index int, start_pos int, end_pos int, text string"
 
 

@@ -186,6 +186,35 @@ def semantic_chunks(spark, d):
     return semantic.semantic_chunks(table(spark, d, "documents"), _embed)
 
 
+_LETTERS = "aeiounrst"
+_PARTS = "list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\.\\s+|[!?]\\s+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+_GROUP = "STRUCT(a BIGINT, b BIGINT, size BIGINT)"
+_VECTOR = "[" + ", ".join(f"length(t) - length(translate(t, '{c}{c.upper()}', ''))" for c in _LETTERS) + "]::DOUBLE[]"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, {_PARTS} AS p FROM documents), v AS (SELECT *, {_VECTOR} AS v FROM (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS t FROM d)),
+k AS (SELECT doc_id, i, length(t) AS l, v, lag(v) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM v),
+n AS (SELECT doc_id, i, l, u IS NULL AS lead, CASE WHEN u IS NULL THEN NULL WHEN list_dot_product(u, u) * list_dot_product(v, v) > 0 THEN list_dot_product(u, v) / sqrt(list_dot_product(u, u) * list_dot_product(v, v)) ELSE 0 END AS near FROM k),
+b AS (SELECT doc_id, list_sort(list(near) FILTER (WHERE NOT lead))[(least(floor(0.25 * (count(*) - 1)), count(*) - 2) + 1)::BIGINT] AS bound FROM n GROUP BY doc_id),
+g AS (SELECT doc_id, i, l, sum((lead OR near < bound)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS gid FROM n JOIN b USING (doc_id)),
+s AS (SELECT doc_id, gid, min(i) - 1 AS a, max(i) AS b, sum(l) + count(*) - 1 AS size FROM g GROUP BY doc_id, gid),
+m AS (SELECT doc_id, list({{a: a, b: b, size: size}}::{_GROUP} ORDER BY gid) AS gs, 1 AS i, []::{_GROUP}[] AS done, NULL::{_GROUP} AS wait FROM s GROUP BY doc_id
+UNION ALL SELECT doc_id, gs, i + 1, CASE WHEN cur.size < 100 AND back THEN list_append(done[1:len(done) - 1], {{a: done[-1].a, b: cur.b, size: done[-1].size + cur.size + 1}}::{_GROUP}) WHEN cur.size >= 100 OR nxt IS NULL THEN list_append(done, cur) ELSE done END,
+CASE WHEN cur.size >= 100 OR back OR nxt IS NULL THEN NULL ELSE cur END
+FROM (SELECT *, len(done) > 0 AND (nxt IS NULL OR done[-1].size <= nxt.size) AS back FROM (SELECT *, gs[i + 1] AS nxt, CASE WHEN wait IS NULL THEN gs[i] ELSE {{a: wait.a, b: gs[i].b, size: wait.size + gs[i].size + 1}}::{_GROUP} END AS cur FROM m WHERE i <= len(gs)))),
+z AS (SELECT doc_id, unnest(done) AS g FROM m WHERE i = len(gs) + 1), ls AS (SELECT doc_id, list(l ORDER BY i) AS ls FROM n GROUP BY doc_id),
+q AS (SELECT doc_id, g.a AS a, g.b AS b, ls, g.a + 1 AS j, [g.a] AS starts, ls[g.a + 1] AS held FROM z JOIN ls USING (doc_id) WHERE g.size > 1500
+UNION ALL SELECT doc_id, a, b, ls, j + 1, CASE WHEN held + 1 + ls[j + 1] > 1500 THEN list_append(starts, j) ELSE starts END, CASE WHEN held + 1 + ls[j + 1] > 1500 THEN ls[j + 1] ELSE held + 1 + ls[j + 1] END FROM q WHERE j < b),
+c AS (SELECT doc_id, unnest(starts) AS first FROM q WHERE j = b UNION ALL SELECT doc_id, g.a FROM z WHERE g.size <= 1500),
+e AS (SELECT doc_id, first, lead(first) OVER w AS nxt, row_number() OVER w - 1 AS k FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY first))
+SELECT doc_id, k::INTEGER AS chunk_index, first::INTEGER AS first, (coalesce(nxt, len(p)) - first)::INTEGER AS n_sentences, md5(array_to_string(p[first + 1:coalesce(nxt, len(p))], ' ')) AS h FROM e JOIN d USING (doc_id)""")
+def meaning_chunks(spark, d):
+    """Sentences grouped by counts of letters, which stand in for a model here and are had by expressions, too."""
+    count = lambda t: F.array(*[(F.length(t) - F.length(F.translate(t, c + c.upper(), ""))).cast("double") for c in _LETTERS])
+    docs = table(spark, d, "documents").withColumn("vectors", F.transform(semantic.sentences(F.col("text")), count))
+    return semantic.meaning_chunks(docs).select("doc_id", "chunk_index", "first", "n_sentences", F.md5(F.col("text").cast("binary")).alias("h"))
+
+
 @query()
 def token_chunks(spark, d):
     import public_tokenizers
