@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ K1, B = 1.5, 0.75
 
 #: Distinct query terms, and (query, term) rows, that are broadcast; more of them are joined by shuffle.
 MOST_TERMS = 200_000
+#: Pairs of vectors that a task of :func:`dense` scores at a time.
+SCORES = 1 << 19
 
 
 def token_table(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -107,46 +109,57 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096
     """query, doc, score, rank: exact cosine neighbours (0 where a norm is 0 or dimensions differ).
 
     ``vectors``: doc, embedding and ``match``; ``queries``: query, embedding and ``match`` (rows must agree on it).
-    Queries go out in blocks of ``block``, so what is sent is bounded; each batch of vectors answers with its own
-    k best, so the shuffle holds k rows for each query and batch.
+    Queries go out in blocks of ``block``, so what is sent is bounded; a task scores ``SCORES`` pairs at a time and keeps its own
+    k best of each query, so the shuffle holds k rows for each query and task.
     """
     spark = vectors.sparkSession
-    cols = ["doc", "embedding"] + ([match] if match else [])
+    cols = [F.col("doc").cast("long").alias("doc"), "embedding"] + ([match] if match else [])
     n = queries.count()
     numbered = queries.withColumn("part_", F.pmod(F.xxhash64("query"), F.lit(max(1, -(-n // block)))))
     out = None
     for i in range(max(1, -(-n // block))):
         rows = numbered.filter(F.col("part_") == i).collect()
-        names = [r["query"] for r in rows]
-        held = spark.sparkContext.broadcast((names, [r["embedding"] for r in rows], [r[match] if match else None for r in rows]))
+        held = spark.sparkContext.broadcast(([r["query"] for r in rows], [r["embedding"] for r in rows], [r[match] if match else None for r in rows]))
 
         def run(batches, held=held):
             ids, vecs, tags = held.value
             by: dict[int, list[int]] = {}
             for j, v in enumerate(vecs):
                 by.setdefault(len(v) if v is not None else 0, []).append(j)
+            asked = {d: np.array([vecs[j] for j in js], np.float64) for d, js in by.items() if d}
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # k docs and scores of each query
             for b in batches:
-                got = []
-                dims = b["embedding"].map(lambda v: len(v) if v is not None else 0).to_numpy()
-                for d, js in by.items():
+                lists, docs = b.column("embedding"), b.column("doc").to_numpy(zero_copy_only=False)
+                dims = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                tag = np.array([*b.column(match).to_pylist(), None], object)[:-1] if match else None
+                for d, q in asked.items():
                     at = np.flatnonzero(dims == d)
-                    if not d or not len(at):
+                    if not len(at):
                         continue
-                    m = np.stack(b["embedding"].iloc[at].to_list()).astype(np.float64)
-                    q = np.array([vecs[j] for j in js], np.float64)
-                    norm = np.linalg.norm(m, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None]
-                    s = np.round(np.divide(m @ q.T, norm, out=np.zeros((len(at), len(js))), where=norm > 0), 6)
-                    doc = b["doc"].iloc[at].to_numpy()
-                    tag = b[match].iloc[at].to_numpy() if match else None
-                    for c, j in enumerate(js):
-                        ok = np.flatnonzero(tag == tags[j]) if match else np.arange(len(at))
-                        if least is not None:
-                            ok = ok[s[ok, c] >= least]
-                        best = ok[np.lexsort((doc[ok], -s[ok, c]))[:k]]
-                        got.append(pd.DataFrame({"query": ids[j], "doc": doc[best], "score": s[best, c]}))
-                yield pd.concat(got) if got else pd.DataFrame({"query": [], "doc": [], "score": []})
-
-        found = vectors.select(*cols).mapInPandas(run, "query long, doc long, score double")
+                    m = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), d)
+                    long, doc = np.linalg.norm(m, axis=1), docs[at]
+                    agree = {t: np.flatnonzero(tag[at] == t) for t in {tags[j] for j in by[d]} if t is not None} if match else {}
+                    step = max(1, SCORES // len(at))
+                    for a in range(0, len(q), step):
+                        x = q[a : a + step]
+                        norm = np.linalg.norm(x, axis=1)[:, None] * long[None]
+                        score = np.round(np.divide(x @ m.T, norm, out=np.zeros(norm.shape), where=norm > 0), 6)
+                        for row, j in zip(score, by[d][a : a + step], strict=True):
+                            ok = agree.get(tags[j], at[:0]) if match else np.arange(len(row))
+                            ok = ok if least is None else ok[row[ok] >= least]
+                            if len(ok) > k:  # ties of the k-th stay until they are ordered
+                                ok = ok[~(-row[ok] > np.partition(-row[ok], k - 1)[k - 1])]
+                            old = best.get(j, (docs[:0], row[:0]))
+                            some, s = np.concatenate([old[0], doc[ok]]), np.concatenate([old[1], row[ok]])
+                            first = np.lexsort((some, -s))[:k]
+                            best[j] = some[first], s[first]
+            for a in range(0, len(ids), 1024):
+                got = [(ids[j], *best[j]) for j in range(a, min(a + 1024, len(ids))) if j in best]
+                if got:
+                    who = np.repeat(np.array([g[0] for g in got], np.int64), [len(g[1]) for g in got])
+                    yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate([g[1] for g in got]), pa.int64()), pa.array(np.concatenate([g[2] for g in got]))], names=["query", "doc", "score"])
+
+        found = vectors.select(*cols).mapInArrow(run, "query long, doc long, score double")
         out = found if out is None else out.unionByName(found)
     return top(out, ["query"], "score", "doc", k)
 

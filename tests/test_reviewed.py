@@ -1,7 +1,9 @@
 """What the review of round 3 found, each on a small table that the code before failed on."""
 
 import duckdb
+import numpy as np
 
+from loamfield.operators import search
 from loamfield.plans import catalogue
 
 
@@ -14,3 +16,23 @@ def test_multihop_judgements_beyond_four_digits(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     assert _rows(catalogue.QUERIES["multihop_judgements"](spark, str(tmp_path))) == sorted(con.execute(catalogue.ORACLES["multihop_judgements"]).fetchall())
+
+
+def test_dense_scores_few_pairs_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    m = rng.integers(-2, 3, (60, 3)).astype(float)  # many ties
+    v = spark.createDataFrame([(i, x.tolist(), i % 3) for i, x in enumerate(m)] + [(60, None, 1), (61, [1.0], 1)], "doc long, embedding array<double>, label int").coalesce(1)
+    q = v.filter("doc < 20 or doc > 59").withColumnRenamed("doc", "query")
+    monkeypatch.setattr(search, "SCORES", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "25")
+    try:
+        got, tagged = (_rows(search.dense(v, q, 4, match=x).drop("rank")) for x in (None, "label"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    norm = np.linalg.norm(m, axis=1)
+    s = np.round(np.divide(m[:20] @ m.T, norm[:20, None] * norm, out=np.zeros((20, 60)), where=norm[:20, None] * norm > 0), 6)
+    want = lambda pool: sorted((i, int(j), float(s[i, j])) for i in range(20) for j in sorted(pool(i), key=lambda j: (-s[i, j], j))[:4])
+    near = lambda rows: [(a, b, round(c, 6)) for a, b, c in rows if a < 60]
+    assert near(got) == want(lambda i: range(60))
+    assert near(tagged) == want(lambda i: range(i % 3, 60, 3))
+    assert [x for x in got if x[0] == 61] == [(61, 61, 1.0)]
