@@ -23,6 +23,10 @@ SAMPLE = 65_536
 MOST_NUMBERS = 1 << 24
 #: Vectors in a piece of a cell, and queries that visit it at a time, as numbers.
 PIECE = 1 << 21
+#: Numbers that a task makes at a time beside them.
+NUMBERS = 1 << 20
+#: Rows of a shelf, and queries of a block, that aren't parted further.
+LEAST_ROWS = 1024
 
 
 def _stack(lists, width: int) -> np.ndarray:
@@ -88,18 +92,24 @@ def _usable(vectors: DataFrame, width: int | None = None) -> DataFrame:
 
 
 def _celled(vectors: DataFrame, centres: np.ndarray, probes: int, name: str) -> DataFrame:
-    """``name``, embedding, cell: each vector with its ``probes`` nearest cells (ties: the first)."""
+    """``name``, embedding, cells: each vector with its ``probes`` nearest cells (ties: the first); null where that is all."""
     held = vectors.sparkSession.sparkContext.broadcast(centres)
     width, kind = centres.shape[1], vectors.schema[name].dataType.simpleString()
+    step = max(1, NUMBERS // max(len(centres), width))
 
     def work(batches):
-        for b in batches:
-            score = np.round(_stack(b.column("embedding"), width) @ held.value.T, 12)
-            cell = np.argsort(-score, axis=1, kind="stable")[:, :probes].astype(np.int32)
-            row = pa.array(np.repeat(np.arange(b.num_rows), cell.shape[1]))
-            yield pa.RecordBatch.from_arrays([b.column(name).take(row), b.column("embedding").take(row), pa.array(cell.ravel())], names=[name, "embedding", "cell"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, step):
+                b = whole.slice(a, step)
+                if probes < len(held.value):
+                    score = np.round(_stack(b.column("embedding"), width) @ held.value.T, 12)
+                    cell = np.argsort(-score, axis=1, kind="stable")[:, :probes].astype(np.int32)
+                    cells = pa.ListArray.from_arrays(pa.array(np.arange(0, cell.size + 1, cell.shape[1], dtype=np.int32)), pa.array(cell.ravel()))
+                else:
+                    cells = pa.nulls(b.num_rows, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(name), b.column("embedding"), cells], names=[name, "embedding", "cells"])
 
-    return vectors.select(name, "embedding").mapInArrow(work, f"{name} {kind}, embedding array<double>, cell int")
+    return vectors.select(name, "embedding").mapInArrow(work, f"{name} {kind}, embedding array<double>, cells array<int>")
 
 
 def build(vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE, path: str | None = None) -> Index:
@@ -127,6 +137,7 @@ def add(index: Index, vectors: DataFrame, batch: int) -> None:
     """Lay further vectors into their cells. ``batch`` is a number above those of all changes before; an attempt that is made
     again takes the place of the first."""
     rows = _celled(_usable(vectors, index.width), index.centroids, 1, "doc")
+    rows = rows.select("doc", "embedding", F.coalesce(F.col("cells")[0], F.lit(0)).alias("cell"))
     per = max(1, PIECE // index.width)
     piece = F.pmod(F.xxhash64("doc"), F.greatest(F.lit(1), F.ceil(F.col("n") / per))).cast("int")
     rows = staged(rows, "celled")
@@ -148,20 +159,56 @@ def search(index: Index, queries: DataFrame, k: int = 10, probes: int = 16) -> D
     """query, doc, score, rank: the best of the ``probes`` nearest cells by cosine (rounded to 6 places, ties: the smaller doc).
 
     Queries (query, embedding) of other dimensions, or without a vector, find nothing. Only the cells that are visited are
-    read. A cell that many queries visit is searched in blocks of them.
+    read. Cells lie together on shelves; a task has one shelf and one block of the queries that visit it, so a vector is sent
+    once for each shelf or block, not for each cell.
     """
     spark = queries.sparkSession
-    per = max(1, PIECE // index.width)
+    most = max(1, PIECE // index.width)
     asked = _usable(queries.withColumnRenamed("query", "doc"), index.width).withColumnRenamed("doc", "query")
     routed = staged(_celled(asked, index.centroids, max(1, probes), "query"), "routed")
-    visits = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.ceil(F.col("n") / per).cast("int").alias("blocks"))
-    rows = index.rows(spark).join(F.broadcast(visits), "cell")  # a row for each cell: other cells' folders aren't read
-    rows = rows.select("cell", "piece", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc", "embedding")
-    pieces = index.rows(spark).join(F.broadcast(visits), "cell").groupBy("cell").agg(F.max("piece").alias("last"), F.max("blocks").alias("blocks"))
-    asked = routed.join(pieces, "cell").withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int"))
-    asked = asked.select("cell", "block", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("piece"), "query", "embedding")
-    width = index.width
-    kinds = [t.schema[c].dataType.simpleString() for t, c in ((asked, "query"), (rows, "doc"))]
+    everywhere = probes >= len(index.centroids)
+    held = index.rows(spark)
+    if not everywhere:
+        held = held.join(F.broadcast(routed.select(F.explode("cells").alias("cell")).distinct()), "cell")  # other cells' folders aren't read
+    sizes = held.groupBy("cell", "piece").agg(F.count(F.lit(1)).alias("n")).orderBy("cell", "piece").collect()  # a row for each piece
+    n, asking = sum(r.n for r in sizes), routed.count()
+    per, each = (min(most, max(LEAST_ROWS, -(-x // 16))) for x in (n, asking))  # rows of a shelf, queries of a block
+    shelves, shelf, room = [], 0, per
+    for r in sizes:
+        if r.n > room and room < per:
+            shelf, room = shelf + 1, per
+        shelves.append((r.cell, r.piece, shelf))
+        room -= r.n
+    blocks = max(1, -(-asking // each))
+    placed = spark.createDataFrame(shelves, "cell int, piece int, shelf int")
+    rows = held.join(F.broadcast(placed), ["cell", "piece"]).select("shelf", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "cell", "doc", "embedding")
+    on: dict[int, set[int]] = {}
+    for cell, _, at in shelves:
+        on.setdefault(cell, set()).add(at)
+    sent = spark.sparkContext.broadcast((on, shelf + 1))
+    width, step = index.width, max(1, NUMBERS // (index.width * (shelf + 1)))
+    kinds = [t.schema[c].dataType.simpleString() for t, c in ((routed, "query"), (rows, "doc"))]
+
+    def visit(batches):
+        """A row for each shelf that a query visits, with its cells there."""
+        at, every = sent.value
+        for whole in batches:
+            for a in range(0, whole.num_rows, step):
+                b = whole.slice(a, step)
+                who, where, what = [], [], []
+                for i, some in enumerate(b.column("cells").to_pylist()):
+                    mine: dict[int, list[int] | None] = dict.fromkeys(range(every)) if some is None else {}
+                    for c in some or ():
+                        for x in at.get(c, ()):
+                            mine.setdefault(x, []).append(c)
+                    who += [i] * len(mine)
+                    where += mine.keys()
+                    what += mine.values()
+                row = pa.array(who, pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column("query").take(row), b.column("embedding").take(row), pa.array(where, pa.int32()), pa.array(what, pa.list_(pa.int32()))], names=["query", "embedding", "shelf", "cells"])
+
+    visits = routed.mapInArrow(visit, f"query {kinds[0]}, embedding array<double>, shelf int, cells array<int>")
+    visits = visits.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
 
     def work(held: pa.Table, q: pa.Table) -> pa.Table:
         ids, docs = q.column("query").combine_chunks(), held.column("doc").combine_chunks()
@@ -170,17 +217,25 @@ def search(index: Index, queries: DataFrame, k: int = 10, probes: int = 16) -> D
             order = docs.dictionary_encode()
             place = np.argsort(np.argsort(order.dictionary.to_numpy(zero_copy_only=False)))[order.indices.to_numpy(zero_copy_only=False)]
             m, x = _stack(held.column("embedding").combine_chunks(), width), _stack(q.column("embedding").combine_chunks(), width)
-            for a in range(0, len(x), 256):
-                s = np.round(x[a : a + 256] @ m.T, 6)
-                for i, row in enumerate(s):
-                    least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-                    some = np.flatnonzero(row >= least)
-                    some = some[np.lexsort((place[some], -row[some]))[:k]]
-                    got.append((np.full(len(some), a + i), some, row[some]))
+            if everywhere:
+                parts = [(np.arange(len(x)), np.arange(len(m)))]
+            else:
+                cells, cell = q.column("cells").combine_chunks(), held.column("cell").to_numpy()
+                asker, visited = np.repeat(np.arange(len(x)), cells.value_lengths().to_numpy(zero_copy_only=False)), cells.flatten().to_numpy()
+                parts = [(asker[visited == c], np.flatnonzero(cell == c)) for c in np.unique(cell)]
+            for mine, there in parts:
+                size = max(1, NUMBERS // max(1, len(there)))
+                for a in range(0, len(mine), size):
+                    s = np.round(x[mine[a : a + size]] @ m[there].T, 6)
+                    for i, row in zip(mine[a : a + size], s, strict=True):
+                        least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                        some = np.flatnonzero(row >= least)
+                        some = some[np.lexsort((place[there[some]], -row[some]))[:k]]
+                        got.append((np.full(len(some), i), there[some], row[some]))
         who, what, score = (np.concatenate(c) for c in zip(*got, strict=True))
         return pa.table({"query": ids.take(pa.array(who)), "doc": docs.take(pa.array(what)), "score": pa.array(score)})
 
-    found = rows.groupBy("cell", "piece", "block").cogroup(asked.groupBy("cell", "piece", "block")).applyInArrow(work, f"query {kinds[0]}, doc {kinds[1]}, score double")
+    found = rows.groupBy("shelf", "block").cogroup(visits.groupBy("shelf", "block")).applyInArrow(work, f"query {kinds[0]}, doc {kinds[1]}, score double")
     return top(found, ["query"], "score", "doc", k)
 
 

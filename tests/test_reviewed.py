@@ -3,7 +3,8 @@
 import duckdb
 import numpy as np
 
-from loamfield.operators import search
+from loamfield import staging
+from loamfield.operators import cells, search
 from loamfield.plans import catalogue
 
 
@@ -36,3 +37,28 @@ def test_dense_scores_few_pairs_at_a_time(spark, monkeypatch):
     assert near(got) == want(lambda i: range(60))
     assert near(tagged) == want(lambda i: range(i % 3, 60, 3))
     assert [x for x in got if x[0] == 61] == [(61, 61, 1.0)]
+
+
+def test_cell_search_sends_a_query_by_shelf(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    m = rng.standard_normal((300, 4))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "doc long, embedding array<double>")
+    kept = []
+
+    def staged(df, name, at=None):
+        out = staging.staged(df, name, at)
+        kept.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(cells, "staged", staged)
+    unit = m / np.linalg.norm(m, axis=1)[:, None]
+    s = np.round(unit @ unit.T, 6)
+    want = sorted((i, int(j)) for i in range(300) for j in np.lexsort((np.arange(300), -s[i]))[:3])
+    for least in (1024, 40):  # one shelf and block; eight of each and more
+        monkeypatch.setattr(cells, "LEAST_ROWS", least, raising=False)
+        index = cells.build(v, cells=20)
+        got = cells.search(index, v.withColumnRenamed("doc", "query"), 3, probes=20)
+        assert _rows(got.select("query", "doc")) == want
+        some = _rows(cells.search(index, v.withColumnRenamed("doc", "query"), 3, probes=6).select("query", "doc"))
+        assert len(set(some) & set(want)) > 0.7 * len(want)
+    assert [n for name, n in kept if name == "routed"] == [300] * 4
