@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNKS = "doc_id long, chunk_index int, start_pos int, end_pos int, text string"
 # Separators in the order in which they are tried.
 SEPARATORS = ("\n\n", "\n", ". ", " ")
+#: Chunks that a task holds at a time.
+HELD = 8192
 
 
 def _check(size: int, overlap: int) -> None:
@@ -170,26 +172,40 @@ def chunk(docs: DataFrame, how: str = "fixed", size: int = 512, overlap: int = 5
     """Chunks of ``docs`` (doc_id, text); null and blank texts have none."""
     _check(size, overlap)
 
+    def parts(d, t):
+        if how == "fixed":
+            yield from ((d, i, *c) for i, c in enumerate(fixed(t, size, overlap)))
+        elif how == "code":
+            at = 0
+            for i, p in enumerate(code(t, size)):
+                at = t.index(p, at)
+                yield d, i, at, at + len(p), p
+                at += len(p)
+        else:
+            some, at = recursive(t, size), 0
+            for i, p in enumerate(some):
+                at = max(t.find(p, at), 0)
+                lead = some[i - 1][-overlap:] if i and overlap else ""
+                yield d, i, at, at + len(p), lead + p
+                at += len(p)
+
     def run(batches):
-        for b in batches:
+        for whole in batches:
             rows = []
-            for d, t in zip(b["doc_id"].astype("Int64"), b["text"], strict=True):
-                t = t if isinstance(t, str) else ""
-                if how == "fixed":
-                    rows += [(d, i, *c) for i, c in enumerate(fixed(t, size, overlap))]
-                elif how == "code":
-                    at = 0
-                    for i, p in enumerate(code(t, size)):
-                        at = t.index(p, at)
-                        rows.append((d, i, at, at + len(p), p))
-                        at += len(p)
-                else:
-                    parts, at = recursive(t, size), 0
-                    for i, p in enumerate(parts):
-                        at = max(t.find(p, at), 0)
-                        lead = parts[i - 1][-overlap:] if i and overlap else ""
-                        rows.append((d, i, at, at + len(p), lead + p))
-                        at += len(p)
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "start_pos", "end_pos", "text"]).astype({"doc_id": "Int64"})
-
-    return docs.select("doc_id", "text").mapInPandas(run, CHUNKS)
+            for a in range(0, whole.num_rows, 64):  # texts as objects by the 64, chunks by some ``HELD``
+                b = whole.slice(a, 64)
+                for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                    for row in parts(d, t or ""):
+                        rows.append(row)
+                        if len(rows) >= HELD:
+                            yield _batch(rows)
+                            rows = []
+            if rows:
+                yield _batch(rows)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, CHUNKS)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "chunk_index", "start_pos", "end_pos", "text"])

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 
 from loamfield import staging
-from loamfield.operators import cells, search
+from loamfield.operators import cells, chunking, search
 from loamfield.plans import catalogue
 
 
@@ -62,3 +62,20 @@ def test_cell_search_sends_a_query_by_shelf(spark, monkeypatch):
         some = _rows(cells.search(index, v.withColumnRenamed("doc", "query"), 3, probes=6).select("query", "doc"))
         assert len(set(some) & set(want)) > 0.7 * len(want)
     assert [n for name, n in kept if name == "routed"] == [300] * 4
+
+
+def test_chunks_leave_a_task_by_the_few(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "ab cd " * 40) for i in range(30)] + [(None, "x"), (98, None), (99, " ")], "doc_id long, text string").coalesce(1)
+    seen = []
+    monkeypatch.setattr(chunking, "_batch", lambda rows, made=chunking._batch: seen.append(len(rows)) or made(rows), raising=False)
+    monkeypatch.setattr(chunking, "HELD", 7, raising=False)
+    run = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema, *a, **k: run.append(f), raising=False)
+    monkeypatch.setattr(type(docs), "mapInPandas", lambda self, f, schema, *a, **k: run.append(f), raising=False)
+    chunking.chunk(docs, "code", 5, 1)
+    monkeypatch.undo()
+    monkeypatch.setattr(chunking, "HELD", 7)
+    got = [b for b in run[0](iter(docs.toArrow().to_batches()))]
+    assert max(b.num_rows for b in got) <= 7
+    want = [(i, j, 3 * j, 3 * j + 2, ("ab", "cd")[j % 2]) for i in range(30) for j in range(80)] + [(None, 0, 0, 1, "x")]
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
