@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 1e-6
+#: Numbers, rows times components, that a task makes at a time.
+NUMBERS = 1 << 19
 
 
 def usable(vectors: DataFrame, width: int) -> DataFrame:
@@ -28,21 +30,33 @@ def _rows(lists, width: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), width)
 
 
-def _summed(vectors: DataFrame, width: int, sums) -> dict[tuple[int, int], np.ndarray]:
-    """(a, b) -> the sum over all batches of the arrays that ``sums`` gives of a batch's rows under that key."""
+def _parts(batches, wide: int):
+    """Batches of fewer rows, where each row makes ``wide`` numbers."""
+    step = max(1, NUMBERS // max(1, wide))
+    for b in batches:
+        for a in range(0, b.num_rows, step):
+            yield b.slice(a, step)
+
+
+def _summed(vectors: DataFrame, width: int, sums, wide: int = 1) -> dict[tuple[int, int], np.ndarray]:
+    """(a, b) -> the sum over all rows of the arrays that ``sums`` gives of some rows under that key; a row makes ``wide``
+    numbers, or as many as its dimensions."""
 
     def work(batches):
         total: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
+        for batch in _parts(batches, max(wide, width)):
             for key, v in sums(_rows(batch.column("embedding"), width)).items():
                 total[key] = total[key] + v if key in total else v
         for (a, b), v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), a)), pa.array(np.full(len(v), b)), pa.array(np.arange(len(v))), pa.array(v.astype(np.float64))], names=["a", "b", "i", "v"])
 
     got = vectors.select("embedding").mapInArrow(work, "a long, b long, i long, v double").groupBy("a", "b", "i").agg(F.sum("v").alias("v")).collect()
-    out: dict[tuple[int, int], np.ndarray] = {}
+    sizes: dict[tuple[int, int], int] = {}
     for r in got:
-        out.setdefault((r.a, r.b), np.zeros(1 + max(x.i for x in got if (x.a, x.b) == (r.a, r.b))) if (r.a, r.b) not in out else out[r.a, r.b])[r.i] = r.v
+        sizes[r.a, r.b] = max(sizes.get((r.a, r.b), 0), r.i + 1)
+    out = {key: np.zeros(n) for key, n in sizes.items()}
+    for r in got:
+        out[r.a, r.b][r.i] = r.v
     return out
 
 
@@ -90,12 +104,12 @@ def spread_centres(vectors: DataFrame, width: int, k: int, seed: int = 42, round
 
     for r in range(rounds):
         c = drawn
-        total = _summed(vectors, width, lambda x, c=c: {(0, 0): np.array([far(x, c).sum()])})[0, 0][0]
+        total = _summed(vectors, width, lambda x, c=c: {(0, 0): np.array([far(x, c).sum()])}, len(c))[0, 0][0]
         if total <= 0:
             break
 
         def pick(batches, c=c, total=total, r=r):
-            for b in batches:
+            for b in _parts(batches, max(len(c), width)):
                 x = _rows(b.column("embedding"), width)
                 lot = (b.column("lot").to_numpy(zero_copy_only=False).astype(np.float64) + 0.5) / (1 << 30)
                 yield b.select(["embedding"]).filter(pa.array(lot < 2 * k * far(x, c) / total))
@@ -106,7 +120,7 @@ def spread_centres(vectors: DataFrame, width: int, k: int, seed: int = 42, round
             drawn = np.unique(np.concatenate([drawn, [m.embedding for m in more]]), axis=0)
     c = drawn
     nearest = lambda x: ((x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)).argmin(axis=1)
-    weight = _summed(vectors, width, lambda x: {(0, 0): np.bincount(nearest(x), minlength=len(c)).astype(float)})[0, 0]
+    weight = _summed(vectors, width, lambda x: {(0, 0): np.bincount(nearest(x), minlength=len(c)).astype(float)}, len(c))[0, 0]
     weight = np.pad(weight, (0, len(c) - len(weight)))
     out = [c[rng.choice(len(c), p=weight / weight.sum())]]
     for _ in range(k - 1):
@@ -135,7 +149,7 @@ def fit(vectors: DataFrame, width: int, starts: list[np.ndarray], rounds: int =
                 out[i, 1], out[i, 2], out[i, 3] = r.sum(axis=0), (r.T @ x).ravel(), (r.T @ (x * x)).ravel()
             return out
 
-        got = _summed(vectors, width, sums)
+        got = _summed(vectors, width, sums, max(len(m.share) for m in held.value.values()))
         for i in sorted(open_):
             old, weight, like = models[i], got[i, 1], float(got[i, 0][0])
             k = len(old.share)
@@ -161,7 +175,7 @@ def assign(vectors: DataFrame, width: int, model: Model, name: str = "id") -> Da
     kind = vectors.schema[name].dataType.simpleString()
 
     def work(batches):
-        for b in batches:
+        for b in _parts(batches, max(len(model.share), width)):
             joint, total = model.logs(_rows(b.column("embedding"), width))
             at = joint.argmax(axis=1)
             yield pa.RecordBatch.from_arrays([b.column(name), pa.array(at.astype(np.int32)), pa.array(np.exp(joint[np.arange(len(at)), at] - total))], names=[name, "cluster", "sure"])

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 
 from loamfield import staging
-from loamfield.operators import cells, chunking, search
+from loamfield.operators import cells, chunking, mixtures, search
 from loamfield.plans import catalogue
 
 
@@ -79,3 +79,10 @@ def test_chunks_leave_a_task_by_the_few(spark, monkeypatch):
     assert max(b.num_rows for b in got) <= 7
     want = [(i, j, 3 * j, 3 * j + 2, ("ab", "cd")[j % 2]) for i in range(30) for j in range(80)] + [(None, 0, 0, 1, "x")]
     assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
+
+
+def test_mixtures_take_few_rows_at_a_time(spark):
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "id long, embedding array<double>").coalesce(1)
+    count = lambda x: {(0, 0): np.array([1.0]), (1, 0): x.sum(axis=0)}
+    got = mixtures._summed(v, 2, count, mixtures.NUMBERS // 5)
+    assert got[0, 0].tolist() == [10.0] and got[1, 0].tolist() == [1225.0, 50.0]
