@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamfield.functions.text import tokens
-from loamfield.operators.search import K1, MOST_TERMS, B, bm25_weight, small, top
+from loamfield.operators.search import K1, MOST_TERMS, B, bm25_weight, dealt, small, top
 from loamfield.session import spread
 from loamfield.staging import fresh_dir, staged
 
@@ -147,7 +147,7 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, k: int = 10, k
     gone = _table(spark, index, "gone", batches).select("doc", "before").groupBy("doc").agg(F.max("before").alias("before"))
     met = met.join(gone, "doc", "left").filter("before is null or batch >= before")
     gain = bm25_weight(F.lit(n), F.col("df"), F.col("tf"), F.col("len"), F.lit(total / max(n, 1)), k1, b)
-    scored = met.join(few(df), "term").select("doc", "term", gain.alias("s")).repartition("doc")
+    scored = met.join(few(df), "term").select("doc", "term", gain.alias("s")).repartition(dealt(n, q), "doc")
     hits = scored.join(few(q), "term").groupBy("query", "doc").agg(F.round(F.sum("s"), 6).alias("score"))
     return top(hits, ["query"], "score", "doc", k)
 

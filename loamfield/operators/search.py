@@ -16,6 +16,8 @@ K1, B = 1.5, 0.75
 
 #: Distinct query terms, and (query, term) rows, that are broadcast; more of them are joined by shuffle.
 MOST_TERMS = 200_000
+#: Scores by query and document that a task adds up, or so.
+SUMS = 1 << 21
 #: Pairs of vectors that a task of :func:`dense` scores at a time.
 SCORES = 1 << 19
 
@@ -63,45 +65,58 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: fl
     """
     t = _tokens_of(docs)
     if groups is not None:
-        q = expanded(queries.select("query", tokens(F.col("text")).alias("t")), groups)
-        each = expanded(t.select("doc", "t"), groups)
-        lens = each.groupBy("doc").agg(F.count(F.lit(1)).alias("len"))
-        total = lens.agg(F.sum("len")).first()[0]
+        q, few = small(expanded(queries.select("query", tokens(F.col("text")).alias("t")), groups).distinct(), MOST_TERMS)
         n = t.count()
-        each = each.join(lens, "doc").select("doc", "len", "term")
+        ways = dealt(n, q)
+        asked = few(q.select("term").distinct().withColumn("asked", F.lit(True)))
+        # all other tokens of a text count as one term, null, so one pass gives lengths and counts of query terms
+        own = expanded(t.select("doc", "t"), groups).join(asked, "term", "left").select("doc", F.when(F.col("asked"), F.col("term")).alias("term"))
+        own = own.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+        lens = F.sum("tf").over(Window.partitionBy("doc"))
+        own = staged(own.repartition(ways, "doc").withColumn("len", lens), "term-counts")
+        total = own.agg(F.sum("tf")).first()[0]
+        tf = own.filter("term is not null")
     else:
         q = queries.select("query", F.explode(tokens(F.col("text"))).alias("term"))
+        q, few = small(q.distinct(), MOST_TERMS)
         n, total = t.agg(F.count(F.lit(1)), F.sum("len")).first()
-        each = t.select("doc", "len", F.explode("t").alias("term"))
-    q, few = small(q.distinct(), MOST_TERMS)
-    # of all tokens only counts of query terms leave a task
-    met = each.join(few(q.select("term").distinct()), "term", "left_semi")
-    tf = staged(met.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len")), "term-counts")
+        ways = dealt(n, q)
+        # of all tokens only those of query terms leave a task
+        met = t.select("doc", "len", F.explode("t").alias("term")).join(few(q.select("term").distinct()), "term", "left_semi")
+        tf = staged(met.repartition(ways, "doc").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len")), "term-counts")
     df = few(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))  # no more terms than the queries have
     gain = bm25_weight(F.lit(n), F.col("df"), F.col("tf"), F.col("len"), F.lit((total or 0) / max(n, 1)), k1, b)
     scored = tf.join(df, "term").select("doc", "term", gain.alias("s"))
-    hits = scored.repartition("doc").join(few(q), "term").groupBy("query", "doc").agg(F.round(F.sum("s"), 6).alias("score"))  # summed where they are
+    hits = scored.repartition(ways, "doc").join(few(q), "term").groupBy("query", "doc").agg(F.round(F.sum("s"), 6).alias("score"))  # summed where they are
     return top(hits, ["query"], "score", "doc", k)
 
 
+def dealt(n: int, q: DataFrame) -> int:
+    """Tasks for the sums of ``n`` documents' scores by query (q: query and others): none has more than some ``SUMS``."""
+    asking = q.select("query").distinct().count()
+    return min(20_000, max(q.sparkSession.sparkContext.defaultParallelism, -(-n * asking // SUMS)))
+
+
 def sparse(docs: DataFrame, queries: DataFrame, k: int = 10, terms: int = 256) -> DataFrame:
     """query, doc, score, rank by the dot product of ln(1 + tf) weights; each text keeps its heaviest ``terms`` terms (ties: the
     smaller), which are found within its row."""
 
-    def weights(t, wanted=None):
+    def weights(t, wanted=None, ways=None):
         s = t.filter("size(t) > 0").withColumn("s", F.when(F.size(F.array_distinct("t")) > terms, F.sort_array("t")))
         s = s.withColumn("at", F.expr("filter(sequence(0, size(s) - 1), i -> i = 0 or s[i] <> s[i - 1])"))
         s = s.withColumn("x", F.expr("transform(at, (b, j) -> struct(b - coalesce(get(at, j + 1), size(s)) as neg, s[b] as term))"))
         # few enough terms need no ranking: each of their tokens counts one
         best = F.coalesce(F.slice(F.array_sort("x"), 1, terms), F.expr("transform(t, v -> struct(-1 as neg, v as term))"))
         s = s.select("doc", F.explode(best).alias("x")).select("doc", "x.term", "x.neg")
-        s = s if wanted is None else s.join(wanted, "term", "left_semi")
+        s = s if wanted is None else s.join(wanted, "term", "left_semi").repartition(ways, "doc")
         return s.groupBy("doc", "term").agg(F.log1p(-F.sum("neg")).alias("w"))
 
     q = weights(queries.select(F.col("query").alias("doc"), tokens(F.col("text")).alias("t"))).select(F.col("doc").alias("query"), "term", F.col("w").alias("wq"))
     q, few = small(q, MOST_TERMS)
-    met = weights(_tokens_of(docs), few(q.select("term").distinct()))
-    hits = met.repartition("doc").join(few(q), "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
+    t = _tokens_of(docs)
+    ways = dealt(t.count(), q)
+    met = weights(t, few(q.select("term").distinct()), ways)
+    hits = met.repartition(ways, "doc").join(few(q), "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
     return top(hits, ["query"], "score", "doc", k)
 
 
@@ -219,11 +234,17 @@ def expanded(texts: DataFrame, groups: DataFrame) -> DataFrame:
     key = texts.columns[0]
     g = groups.select("group_id", F.lower("term").alias("term"))
     pairs = g.alias("a").join(g.alias("b"), "group_id").filter("a.term <> b.term").select(F.col("a.term").alias("term"), F.col("b.term").alias("other")).distinct()
-    pairs = pairs.select("term", F.explode(tokens(F.col("other"))).alias("more"))
-    held = groups.agg(F.max(F.size(F.split("term", " "))).alias("n"))  # one row
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least("n", F.size("t") - i)), lambda n: F.array_join(F.slice("t", i + 1, n), " "))))
-    met = texts.join(F.broadcast(held)).filter("size(t) > 0").select(key, F.explode(spans).alias("term")).join(pairs, "term").select(key, F.col("more").alias("term"))
-    return texts.select(key, F.explode("t").alias("term")).unionByName(met)
+    pairs, few = small(pairs.select("term", F.explode(tokens(F.col("other"))).alias("more")).groupBy("term").agg(F.collect_list("more").alias("more")), MOST_TERMS)
+    longest = groups.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
+
+    def phrases(n):
+        one = lambda i: F.struct(F.concat_ws(" ", *[F.get("t", i + j) for j in range(n)]).alias("term"), F.lit(False).alias("own"))
+        return F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(0), F.size("t") - n), one)).otherwise(F.array().cast("array<struct<term: string, own: boolean>>"))
+
+    spans = F.concat(F.transform("t", lambda v: F.struct(v.alias("term"), F.lit(True).alias("own"))), *[phrases(n) for n in range(2, longest + 1)])
+    each = texts.filter("size(t) > 0").select(key, F.explode(spans).alias("x")).select(key, "x.term", "x.own").join(few(pairs), "term", "left")
+    terms = F.when(F.col("own"), F.when(F.col("more").isNull(), F.array("term")).otherwise(F.concat(F.array("term"), "more"))).otherwise(F.col("more"))
+    return each.filter("own or more is not null").select(key, F.explode(terms).alias("term"))
 
 
 def federate(stores: list[DataFrame], k: int = 10, c: int = 60) -> DataFrame:

@@ -86,3 +86,15 @@ def test_mixtures_take_few_rows_at_a_time(spark):
     count = lambda x: {(0, 0): np.array([1.0]), (1, 0): x.sum(axis=0)}
     got = mixtures._summed(v, 2, count, mixtures.NUMBERS // 5)
     assert got[0, 0].tolist() == [10.0] and got[1, 0].tolist() == [1225.0, 50.0]
+
+
+def test_synonyms_take_one_pass_and_sums_are_dealt(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the house of the king"), (2, "le roi"), (3, None), (4, "in the end and the")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "the king"), (8, "end")], "query long, text string")
+    groups = spark.createDataFrame([(1, "the"), (1, "le"), (1, "of the"), (2, "and"), (2, "in the")], "group_id int, term string")
+    each = sorted((r.doc, r.term) for r in search.expanded(search.token_table(docs).select("doc", "t"), groups).collect() if r.doc == 2)
+    assert each == [(2, "le"), (2, "of"), (2, "roi"), (2, "the"), (2, "the")]
+    monkeypatch.setattr(search, "SUMS", 1, raising=False)
+    few, many = (_rows(search.bm25(docs, asked, groups=groups)) for _ in range(2))
+    assert few == many and {r[1] for r in few if r[0] == 7} == {1, 2, 4}
+    assert search.dealt(4, asked) == max(spark.sparkContext.defaultParallelism, 8)
