@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from pathlib import Path
@@ -122,3 +123,37 @@ def test_messages_are_settled(spark, tmp_path):
     }
     assert {(r.message, r.status, r.attempts, r.cause) for r in got} == want and len(got) == len(want)
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_messages_share_calls_and_state(spark, tmp_path):
+    rng = random.Random(11)
+    batches, tries, n = [], {}, 0
+    for hour in range(4):  # each batch is an hour, in which all come in time
+        rows = []
+        for _ in range(600):
+            m, n = f"m{rng.randrange(900)}", n + 1
+            t = hour * 3600 + rng.randrange(3600)
+            row = (m, n, f"{t // 3600:02}:{t % 3600 // 60:02}:{t % 60:02}", rng.choice(["retry", "retry", "done", "fatal", None]))
+            rows += [row] * rng.randint(1, 2)
+            tries.setdefault(m, []).append((hour, t, str(n), row[3]))
+        batches.append(rows)
+    batches.append([("end", 0, "23:00", "done")])
+    want = {("end", "done", 1, None)}
+    for m, all_of in tries.items():
+        tried = 0
+        for _, _, _, o in sorted(all_of):  # batch by batch
+            tried += 1
+            if o in ("done", "fatal") or tried == 3:
+                want.add((m, "done" if o == "done" else "dead", tried, None if o == "done" else "fatal" if o == "fatal" else "attempts"))
+                break
+        else:
+            want.add((m, "abandoned", tried, "deadline"))
+    out = str(tmp_path / "out")
+    stream = deliveries.settled(stream_of(spark, str(tmp_path / "in"), batches), 3, buckets=16)
+    with deliveries.state_store(spark):
+        query = stream.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).format("parquet").start(out)
+        query.awaitTermination()
+    got = [(r.message, r.status, r.attempts, r.cause) for r in spark.read.parquet(out).collect()]
+    assert set(got) == want and len(got) == len(want)
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert 0 < max(held) <= 16 and len(tries) > 700  # a row of the store for many messages
