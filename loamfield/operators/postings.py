@@ -6,8 +6,8 @@ way, or runs again, leaves nothing behind. Adding a document writes its postings
 the document rows, writes a count less for each, and names the postings that no longer hold; they are left out by readers
 and dropped by :func:`compact`. Document frequencies and the mean length are sums of the counts that changes wrote.
 
-Tables: ``postings`` (term, doc, tf, len) by batch and bucket of the term; ``docs`` (doc, len, terms) by batch and bucket of
-the document; ``counts`` (term, n) by batch and bucket; ``gone`` (doc, before) by batch; ``log`` (batch, n, total).
+Tables: ``postings`` (term, doc, tf, len) by batch and bucket of the term; ``docs`` (doc, len, terms, tfs) by batch and bucket of
+the document, from which a batch's postings and counts are made; ``counts`` (term, n) by batch and bucket; ``gone`` (doc, before) by batch; ``log`` (batch, n, total).
 """
 
 from __future__ import annotations
@@ -24,13 +24,17 @@ from loamfield.staging import fresh_dir, staged
 
 _SCHEMA = {
     "postings": "term string, doc long, tf long, len int, batch int, bucket int",
-    "docs": "doc long, len int, terms array<string>, batch int, bucket int",
+    "docs": "doc long, len int, terms array<string>, tfs array<int>, batch int, bucket int",
     "counts": "term string, n long, batch int, bucket int",
     "gone": "doc long, before int, batch int",
     "log": "n long, total long, batch int",
 }
 
 
+#: Documents that are gone, as ids and batches: so many at most are broadcast, more are joined by shuffle.
+MOST_GONE = 2_000_000
+
+
 @dataclass
 class Index:
     """An index in a folder; ``buckets`` is fixed when it is made."""
@@ -78,13 +82,35 @@ def _commit(spark: SparkSession, index: Index, batch: int, n: int, total: int) -
     spark.createDataFrame([(n, total)], "n long, total long").coalesce(1).write.mode("overwrite").parquet(f"{index.path}/log/batch={batch}")
 
 
+def _alive(spark: SparkSession, index: Index, rows: DataFrame, batches: list[int]) -> DataFrame:
+    """``rows`` (doc, batch and others) without those that a later batch took out."""
+    gone = _table(spark, index, "gone", batches).groupBy("doc").agg(F.max("before").alias("before"))
+    gone = F.broadcast(gone) if gone.limit(MOST_GONE + 1).count() <= MOST_GONE else gone
+    return rows.join(gone, "doc", "left").filter("before is null or batch >= before").drop("before")
+
+
 def _held(spark: SparkSession, index: Index, docs: DataFrame, batches: list[int]) -> DataFrame:
     """doc, len, terms, batch of those of ``docs`` (doc) that the index holds."""
     docs = docs.select("doc").filter("doc is not null").distinct().select("doc", _bucket(index, "doc"))
-    rows = _table(spark, index, "docs", batches).join(docs, ["bucket", "doc"], "left_semi")
-    gone = _table(spark, index, "gone", batches).select("doc", "before")
-    dead = rows.join(gone, "doc").filter("batch < before").select("doc", "batch").distinct()
-    return rows.join(dead, ["doc", "batch"], "left_anti")
+    rows = _table(spark, index, "docs", batches).drop("tfs").join(docs, ["bucket", "doc"], "left_semi")
+    return _alive(spark, index, rows, batches).select("doc", "len", "terms", "batch")
+
+
+def _once(added: DataFrame) -> DataFrame:
+    """doc, text: of a repeated id the greatest text. Texts of other ids stay where they are; ids alone are shuffled."""
+    new = added.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
+    again = staged(new.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc"), "repeated")
+    if not again.limit(1).count():
+        return new
+    return new.join(again, "doc", "left_anti").unionByName(new.join(again, "doc", "left_semi").groupBy("doc").agg(F.max("text").alias("text")))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """doc, len, terms, tfs: the distinct tokens of each text in order, and how often each stands there, within the row."""
+    s = spread(docs, "doc").select("doc", F.sort_array(tokens(F.col("text"))).alias("s"))
+    s = s.withColumn("at", F.expr("filter(transform(s, (v, i) -> if(i = 0 or v <> s[i - 1], i, null)), i -> i is not null)"))
+    terms, tfs = F.expr("transform(at, i -> s[i])"), F.expr("transform(at, (i, j) -> coalesce(get(at, j + 1), size(s)) - i)")
+    return s.select("doc", F.size("s").alias("len"), terms.alias("terms"), tfs.alias("tfs"))
 
 
 def change(spark: SparkSession, index: Index, added: DataFrame | None = None, removed: DataFrame | None = None) -> int:
@@ -108,11 +134,9 @@ def change(spark: SparkSession, index: Index, added: DataFrame | None = None, re
         counts.append(held.select(F.explode("terms").alias("term"), F.lit(-1).cast("long").alias("n")))
         _write(held.select("doc", F.lit(batch).alias("before")).distinct(), index, "gone", batch)
     if added is not None:
-        new = added.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.max("text").alias("text"))
-        new = spread(new, "doc").select("doc", tokens(F.col("text")).alias("t"))
-        rows = staged(new.select("doc", F.size("t").alias("len"), F.array_distinct("t").alias("terms"), "t"), "new-documents")
-        _write(rows.select("doc", "len", "terms", _bucket(index, "doc")), index, "docs", batch)
-        found = rows.select("doc", "len", F.explode("t").alias("term")).groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+        _write(_counted(_once(added)).select("doc", "len", "terms", "tfs", _bucket(index, "doc")), index, "docs", batch)
+        rows = _table(spark, index, "docs", [batch])
+        found = rows.select("doc", "len", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select(F.col("x.terms").alias("term"), "doc", F.col("x.tfs").cast("long").alias("tf"), "len")
         _write(found.select("term", "doc", "tf", "len", _bucket(index, "term")), index, "postings", batch)
         more, length = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
         n, total = n + more, total + length
@@ -144,8 +168,7 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, k: int = 10, k
     wanted = few(terms.select("term"))
     df = _table(spark, index, "counts", batches).filter(F.col("bucket").isin(buckets)).join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
     met = _table(spark, index, "postings", batches).filter(F.col("bucket").isin(buckets)).join(wanted, "term", "left_semi")
-    gone = _table(spark, index, "gone", batches).select("doc", "before").groupBy("doc").agg(F.max("before").alias("before"))
-    met = met.join(gone, "doc", "left").filter("before is null or batch >= before")
+    met = _alive(spark, index, met, batches)
     gain = bm25_weight(F.lit(n), F.col("df"), F.col("tf"), F.col("len"), F.lit(total / max(n, 1)), k1, b)
     scored = met.join(few(df), "term").select("doc", "term", gain.alias("s")).repartition(dealt(n, q), "doc")
     hits = scored.join(few(q), "term").groupBy("query", "doc").agg(F.round(F.sum("s"), 6).alias("score"))
@@ -159,10 +182,9 @@ def compact(spark: SparkSession, index: Index, path: str | None = None) -> Index
     new = create(spark, path, index.buckets)
     if not batches:
         return new
-    gone = _table(spark, index, "gone", batches).groupBy("doc").agg(F.max("before").alias("before"))
     for name in ("postings", "docs"):
-        rows = _table(spark, index, name, batches).join(gone, "doc", "left").filter("before is null or batch >= before").drop("before", "batch")
-        _write(rows, new, name, 1)
+        rows = _alive(spark, index, _table(spark, index, name, batches), batches)
+        _write(rows.drop("batch", "tfs"), new, name, 1)  # counts by text serve the change alone that writes them
     counts = _table(spark, index, "counts", batches).groupBy("term", "bucket").agg(F.sum("n").alias("n")).filter("n <> 0")
     _write(counts, new, "counts", 1)
     _commit(spark, new, 1, sum(x for _, x, _ in done), sum(x for _, _, x in done))

@@ -106,3 +106,15 @@ def test_neighbour_graph_and_layout(spark):
     np.fill_diagonal(far, np.inf)
     kept = np.mean([j % 3 == i % 3 for i in range(90) for j in np.argsort(far[i])[:6]])
     assert kept > 0.9
+
+
+def test_a_change_writes_texts_once(spark, monkeypatch):
+    names, real = [], postings.staged
+    monkeypatch.setattr(postings, "staged", lambda df, name, *at: (names.append(name), real(df, name, *at))[1])
+    index = postings.create(spark, buckets=3)
+    rows = [(1, "b a b"), (1, "a"), (2, None), (2, None), (3, "c c c a"), (4, "")]
+    postings.add(spark, index, spark.createDataFrame(rows, "doc_id long, text string"))
+    held = lambda name, *c: {tuple(r) for r in postings._table(spark, index, name, [1]).select(*c).collect()}
+    assert held("postings", "term", "doc", "tf", "len") == {("b", 1, 2, 3), ("a", 1, 1, 3), ("c", 3, 3, 4), ("a", 3, 1, 4)}
+    assert held("counts", "term", "n") == {("a", 2), ("b", 1), ("c", 1)} and held("docs", "doc", "len") == {(1, 3), (2, 0), (3, 4), (4, 0)}
+    assert names == ["repeated"]  # the documents' own rows serve the postings and counts: no table of tokens beside them
