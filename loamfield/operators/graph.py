@@ -15,8 +15,13 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def neighbours(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """origin, node, hop: nodes within ``hops`` undirected steps of each start, the start left out."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    """origin, node, hop: nodes within ``hops`` undirected steps of each start, the start left out.
+
+    Links are written once, as they come, and met from both ends; what is made distinct is what a hop reaches, not all links.
+    """
+    links = staged(edges.select("src", "dst"), "links")
+    ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    both = links.select(ends.alias("e")).select("e.src", "e.dst")
     seen = start.select(F.col("node").alias("origin"), "node", F.lit(0).alias("hop"))
     front = seen
     for h in range(1, hops + 1):

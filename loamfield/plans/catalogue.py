@@ -382,7 +382,7 @@ s AS (SELECT DISTINCT a AS origin FROM e WHERE a % 100 = 0), h1 AS (SELECT DISTI
 h2 AS (SELECT DISTINCT origin, b AS node FROM h1 JOIN u ON a = node WHERE b <> origin EXCEPT SELECT origin, node FROM h1)
 SELECT origin, node, 1 AS hop FROM h1 UNION ALL SELECT origin, node, 2 FROM h2""")
 def neighbors_k(spark, d):
-    e = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst")).distinct()
+    e = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst"))
     return graph.neighbours(e, e.filter("src % 100 = 0").select(F.col("src").alias("node")).distinct(), 2)
 
 

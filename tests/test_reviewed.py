@@ -98,3 +98,14 @@ def test_synonyms_take_one_pass_and_sums_are_dealt(spark, monkeypatch):
     few, many = (_rows(search.bm25(docs, asked, groups=groups)) for _ in range(2))
     assert few == many and {r[1] for r in few if r[0] == 7} == {1, 2, 4}
     assert search.dealt(4, asked) == max(spark.sparkContext.defaultParallelism, 8)
+
+
+def test_neighbours_write_links_once_and_as_they_come(spark, monkeypatch):
+    from loamfield.operators import graph
+
+    rows, real = {}, graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, name: (t := real(df, name), rows.setdefault(name, t.count()))[0])
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 1), (2, 3), (3, 4), (4, 4)], "src long, dst long")
+    got = graph.neighbours(edges, spark.createDataFrame([(1,), (4,)], "node long"), 2)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 2, 1), (1, 3, 2), (4, 2, 2), (4, 3, 1)]
+    assert rows == {"links": 6, "front": 2}
