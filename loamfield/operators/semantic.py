@@ -101,8 +101,10 @@ def _ends(starts: Column, end: Column) -> Column:
 def _parted(vectors: Column, percentile: float) -> Column:
     """The numbers of the sentences that begin a group: the first, and those less like the one before than the percentile."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, z: s + z)
-    like = lambda x, y: _let(F.sqrt(dot(x, x) * dot(y, y)), lambda n: F.when((F.size(x) == F.size(y)) & (n > 0), dot(x, y) / n).otherwise(0.0))
-    near, p = F.transform(F.sequence(F.lit(0), F.size(vectors) - 2), lambda i: like(F.get(vectors, i), F.get(vectors, i + 1))), min(max(percentile, 0.01), 0.99)
+    own = F.transform(vectors, lambda v: dot(v, v))  # once for each vector
+    like = lambda x, y, u, v: _let(F.sqrt(u * v), lambda n: F.when((F.size(x) == F.size(y)) & (n > 0), dot(x, y) / n).otherwise(0.0))
+    pair = lambda a, i: (F.get(a, i), F.get(a, i + 1))
+    near, p = _let(own, lambda o: F.transform(F.sequence(F.lit(0), F.size(vectors) - 2), lambda i: like(*pair(vectors, i), *pair(o, i)))), min(max(percentile, 0.01), 0.99)
     bound = lambda n: F.get(F.array_sort(n), F.least(F.floor(F.size(n) * F.lit(p)), F.size(n) - 1).cast("int"))
     below = lambda n, b: F.filter(F.transform(n, lambda s, i: F.when(s < b, i + 1)), lambda i: i.isNotNull())
     return F.concat(F.array(F.lit(0)), _let(near, lambda n: _let(bound(n), lambda b: below(n, b))))
@@ -185,7 +187,8 @@ def meaning_chunks(docs: DataFrame, embed: Embed | None = None, percentile: floa
     some = docs.withColumn("parts_", sentences(F.col("text")))
     some = some.withColumn("vectors_", F.col("vectors") if embed is None else embedded(embed)("parts_"))
     spans = spans_by_meaning(some, "parts_", "vectors_", percentile, least, most)
-    c = spans.select("doc_id", F.posexplode("spans").alias("chunk_index", "s"), "parts_")
+    # outer, as else a filter on the spans' number is inferred, below shuffles too, that computes all of them a second time
+    c = spans.select("doc_id", F.posexplode_outer("spans").alias("chunk_index", "s"), "parts_").filter("s is not null")
     n = F.col("s.b") - F.col("s.a")
     return c.select("doc_id", "chunk_index", F.col("s.a").alias("first"), n.alias("n_sentences"), F.array_join(F.slice("parts_", F.col("s.a") + 1, n), " ").alias("text"))
 

@@ -9,7 +9,7 @@ from loamfield.functions import text as tx
 from loamfield.operators import chunking, governance, ingest, semantic
 from loamfield.plans.catalogue import _SECTIONS, _sections
 from loamfield.plans.registry import query
-from loamfield.session import table
+from loamfield.session import spread, table
 from loamfield.sources import delta, feeds, parsers, remote, web
 from loamfield.staging import fresh_dir
 
@@ -210,8 +210,9 @@ e AS (SELECT doc_id, first, lead(first) OVER w AS nxt, row_number() OVER w - 1 A
 SELECT doc_id, k::INTEGER AS chunk_index, first::INTEGER AS first, (coalesce(nxt, len(p)) - first)::INTEGER AS n_sentences, md5(array_to_string(p[first + 1:coalesce(nxt, len(p))], ' ')) AS h FROM e JOIN d USING (doc_id)""")
 def meaning_chunks(spark, d):
     """Sentences grouped by counts of letters, which stand in for a model here and are had by expressions, too."""
-    count = lambda t: F.array(*[(F.length(t) - F.length(F.translate(t, c + c.upper(), ""))).cast("double") for c in _LETTERS])
-    docs = table(spark, d, "documents").withColumn("vectors", F.transform(semantic.sentences(F.col("text")), count))
+    without = lambda t, c: F.replace(F.replace(t, F.lit(c)), F.lit(c.upper()))
+    count = lambda t: F.array(*[(F.length(t) - F.length(without(t, c))).cast("double") for c in _LETTERS])
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id").withColumn("vectors", F.transform(semantic.sentences(F.col("text")), count))
     return semantic.meaning_chunks(docs).select("doc_id", "chunk_index", "first", "n_sentences", F.md5(F.col("text").cast("binary")).alias("h"))
 
 

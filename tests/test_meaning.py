@@ -40,3 +40,11 @@ def test_given_vectors_and_other_columns(spark):
     got = semantic.meaning_chunks(docs, None, 0.5, 1).orderBy("chunk_index").collect()
     assert [(r.first, r.n_sentences, r.text) for r in got] == [(0, 2, "ab ab"), (2, 2, "xy xy")]
     assert semantic.meaning_chunks(docs.limit(0), None).count() == 0
+
+
+def test_spans_are_computed_once(spark):
+    docs = spark.createDataFrame([(1, "ab. ab. xy", [[1.0, 0.0]] * 3), (2, "", []), (3, None, None)], "doc_id long, text string, vectors array<array<double>>")
+    got = semantic.meaning_chunks(docs.repartition(2, "doc_id"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "aggregate(" in x]
+    assert [(r.doc_id, r.text) for r in got.collect()] == [(1, "ab ab xy")]
