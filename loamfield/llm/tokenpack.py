@@ -15,7 +15,8 @@ import os
 import re
 import struct
 import zlib
-from itertools import chain
+from codecs import charmap_decode
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,50 +35,70 @@ BLOCK = 4096
 #: A file is closed with the document that brings it to so many ids, so a writer's memory is bounded whatever a partition holds.
 FILE_IDS = 4_000_000
 #: Blocks are independent, so ids are packed as they come, so many blocks at a time.
-PACK_BLOCKS = 32
+PACK_BLOCKS = 128
 NO_ID = -(1 << 63)
 U = np.uint64
-#: Words that an encoder remembers.
+#: Parts of words that an encoder remembers.
 CACHE = 500_000
+#: Bytes of text encoded at once: the more, the more often a word is met again.
+ENCODE = 4 << 20
 TOKENIZER, END = "word_bpe_49k.json", 2
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, escapes, word offsets, escape offsets) of ids (unsigned, 64 bits at most)."""
-    ids = np.ascontiguousarray(ids, U)
-    n = len(ids)
-    stop = np.minimum((np.arange(n) // block + 1) * block, n)
-    choice, nxt = np.full(n, ESCAPE, np.uint8), np.arange(1, n + 1)
-    fit = [s for s, (_, bits) in enumerate(SELECTORS) if n and int(ids.max()) < 1 << bits]
-    if fit:  # one selector suits everywhere, and beats those with more bits
-        choice[:], nxt = fit[-1], np.minimum(np.arange(n) + SELECTORS[fit[-1]][0], stop)
-    for s in range(fit[-1] - 1 if fit else ESCAPE - 1, -1, -1):  # later ones hold more ids and win
-        many, bits = SELECTORS[s]
-        p = np.flatnonzero(ids < U(1 << bits))
-        if not len(p):
+    n, most = len(ids), SELECTORS[0][0]
+    blocks, wide = -(-n // block), block + most
+    # a row for each block, with zeros after its end, which fit everywhere
+    rows = np.zeros((blocks, block), U)
+    rows.reshape(-1)[:n] = ids
+    rows = np.pad(rows, ((0, 0), (0, most)))
+    top = int(ids.max()) if n else 0
+    need = np.zeros(rows.shape, np.uint8)  # the first selector with enough bits, of an id and then of ever longer runs
+    for s, (_, bits) in enumerate(SELECTORS):
+        if top < 1 << bits:
+            break
+        need += rows >= U(1 << bits)
+    choice, run = np.full((blocks, block), ESCAPE, np.uint8), 1
+    for s in range(ESCAPE - 1, -1, -1):  # later ones hold more ids and win
+        many = SELECTORS[s][0]
+        while run < many:
+            step = min(run, many - run)
+            need = np.maximum(need[:, :-step], need[:, step:])
+            run += step
+        fits = need[:, :block] <= s
+        if not fits.any():
             break  # nor does anything fit in fewer bits
-        ends = np.flatnonzero(np.append(p[1:] != p[:-1] + 1, True))
-        run = np.repeat(p[ends] + 1, np.diff(np.append(-1, ends)))
-        end = np.minimum(p + many, stop[p])
-        ok = run >= end
-        choice[p[ok]], nxt[p[ok]] = s, end[ok]
-    starts, i, step = [], 0, nxt.tolist()
-    while i < n:
-        starts.append(i)
-        i = step[i]
-    at = np.array(starts, np.int64)
+        choice[fits] = s
+    choice = choice.reshape(-1)[:n]
+    place = np.arange(n)
+    nxt = np.minimum(place + np.array([m for m, _ in SELECTORS] + [1])[choice], np.minimum((place // block + 1) * block, n))
+    at = _walk(nxt, np.arange(0, n, block), np.minimum(np.arange(block, n + block, block), n))
     sel = choice[at]
     words = sel.astype(U) << U(60)
+    flat, first = rows.reshape(-1), at + at // block * most
     for s, (many, bits) in enumerate(SELECTORS):
-        rows = np.flatnonzero(sel == s)
-        if len(rows):
-            first, size = at[rows], nxt[at[rows]] - at[rows]
+        of = np.flatnonzero(sel == s)
+        if len(of):
+            start, word = first[of], words[of]
             for k in range(many):
-                live = size > k
-                words[rows[live]] |= ids[first[live] + k] << U(k * bits)
+                word |= flat[start + k] << U(k * bits)
+            words[of] = word
     escaped = at[sel == ESCAPE]
     edges = np.arange(0, n + block, block) if n else np.zeros(1, np.int64)
-    return words, ids[escaped], np.searchsorted(at, edges).astype(U), np.searchsorted(escaped, edges).astype(U)
+    return words, np.asarray(ids, U)[escaped], np.searchsorted(at, edges).astype(U), np.searchsorted(escaped, edges).astype(U)
+
+
+def _walk(nxt: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places that are met from each block's start up to its end; the blocks are walked side by side."""
+    met, i = np.zeros(len(nxt), bool), starts
+    while len(i):
+        met[i] = True
+        i = nxt[i]
+        inside = i < ends
+        if not inside.all():
+            i, ends = i[inside], ends[inside]
+    return np.flatnonzero(met)
 
 
 def unpack(words: np.ndarray, escapes: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
@@ -170,42 +191,69 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
-#: Words of printable ASCII and Latin letters whose lower case is one letter are parted here, as the tokenizer parts them;
-#: the library's model gives the ids of each part. All other words go through the whole tokenizer.
+#: Words of printable ASCII and Latin letters whose lower case is one letter are parted by the kinds of their bytes, as the
+#: tokenizer parts them; the library's model gives the ids of each part. Words with an apostrophe are parted by ``_PARTS``,
+#: all other words go through the whole tokenizer.
 _LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e"
 _SIMPLE = re.compile(f"[!-~{_LATIN}]*")
+_EVEN = f"^[!-&(-~{_LATIN}]*$"
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z{_LATIN}0-9]+")
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Kinds of bytes of such words in lower case: letters 1, digits 2, others 0.
+_DIGIT = 2
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = 1
+_KINDS[ord("0") : ord("9") + 1] = _DIGIT
+
+
+def _parted(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(parts of words of ``_EVEN``, in order and in lower case; their count for each word)."""
+    low = unsliced(pc.utf8_lower(words))
+    n, edges = len(low), np.frombuffer(low.buffers()[1], np.int64, len(low) + 1) if len(low) else np.zeros(1, np.int64)
+    if not edges[-1]:
+        return low.slice(0, 0), np.zeros(n, np.int64)
+    kinds = _KINDS[np.frombuffer(low.buffers()[2], np.uint8, edges[-1])]
+    first = np.ones(len(kinds) + 1, bool)  # the end of the bytes too
+    first[1:-1] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == _DIGIT)
+    first[edges] = True
+    at = np.flatnonzero(first)
+    parts = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), low.buffers()[2])
+    return parts, np.diff(np.searchsorted(at, edges))
+
+
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of runs that start at ``first`` and have ``size`` places, one run after the other."""
+    total = np.cumsum(size)
+    return np.repeat(first - (total - size), size) + np.arange(total[-1] if len(total) else 0)
 
 
 class Encoder:
-    """Ids of texts, word by word: the tokenizer parts words at white space, so a word's ids don't depend on its neighbours."""
+    """Ids of texts, word by word: the tokenizer parts words at white space, so a word's ids don't depend on its neighbours.
+
+    The different words of a call are parted at once; what is remembered are ids of parts, and of the few words that aren't
+    parted by their bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         self.sep = "<|endoftext|>"
         self.sep_id = self.tok.token_to_id(self.sep)
         kind = json.loads(self.tok.to_str())
         steps = [x.get("type") for x in (kind["normalizer"] or {}).get("normalizers", [])], [x.get("type") for x in (kind["pre_tokenizer"] or {}).get("pretokenizers", [])]
         split = ((kind["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
         self.simple = steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and split == _SPLIT
-        self.letters = _byte_letters()
+        self.letters = "".join(_byte_letters())
         self.clear()
 
     def clear(self):
         self.at: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
         self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _part(self, s: str) -> list[int]:
-        got = self.parts.get(s)
-        if got is None:
-            raw = s if s.isascii() else "".join([self.letters[b] for b in s.encode()])
-            got = self.parts[s] = [t.id for t in self.tok.model.tokenize(raw)]
-        return got
+        return [t.id for t in self.model.tokenize(s if s.isascii() else charmap_decode(s.encode(), "strict", self.letters)[0])]
 
     def _whole(self, words: list[str]) -> list[list[int]]:
         """Ids of words by the whole tokenizer: many in one call, told apart by a special token."""
@@ -222,22 +270,39 @@ class Encoder:
             out[k] = x.ids
         return out
 
-    def _learn(self, words: list[str]):
-        part, simple = self._part, _SIMPLE.fullmatch
-        ids: list[list[int] | None] = [None] * len(words)
+    def _learn(self, parts: list[str], words: list[str]):
+        """Remember parts, and words that aren't parted by their bytes."""
+        part, ids = self._part, []
         if self.simple:
-            for k, w in enumerate(words):
-                if "<|" not in w and simple(w):
-                    low = w.lower()
-                    ids[k] = part(low) if low.isalpha() else list(chain.from_iterable([part(x) for x in _PARTS.findall(low)]))
-        rest = [k for k, x in enumerate(ids) if x is None]
+            ids = [part(x) for x in parts]
+            few: list[list[int] | None] = [list(chain.from_iterable(map(part, _PARTS.findall(w.lower())))) if "<|" not in w and _SIMPLE.fullmatch(w) else None for w in words]
+        else:
+            few = [None] * len(words)
+        rest = [k for k, x in enumerate(few) if x is None]
         for k, x in zip(rest, self._whole([words[k] for k in rest]), strict=True):
-            ids[k] = x
+            few[k] = x
+        ids += few
         n = len(self.first) - 1
-        self.at.update(zip(words, range(n, n + len(words)), strict=True))
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in ids])])
+        self.at.update(zip(chain(parts, words), range(n, n + len(ids))))
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
 
+    def _places(self, parts: pa.DictionaryArray, words: list[str]) -> np.ndarray:
+        """Where the ids of parts and words are remembered; those not met before are learnt."""
+        if len(self.at) > CACHE:
+            self.clear()
+        known = parts.dictionary.to_pylist()
+        n = len(known)
+        known += words
+        of = np.fromiter(map(self.at.get, known, repeat(-1)), np.int64, len(known))
+        new = np.flatnonzero(of < 0)
+        if len(new):
+            of[new] = len(self.first) - 1 + np.arange(len(new))
+            cut = int(np.searchsorted(new, n))
+            new = [known[i] for i in new.tolist()]
+            self._learn(new[:cut], new[cut:])
+        return np.concatenate([of[:n][parts.indices.to_numpy(zero_copy_only=False)], of[n:]])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, their count for each text) of a string array; null is empty."""
         texts = pc.fill_null(unsliced(texts).cast(pa.large_string()), "")
@@ -245,20 +310,22 @@ class Encoder:
         folded = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         lists = pc.ascii_split_whitespace(folded)
         coded = pc.dictionary_encode(pc.list_flatten(lists))
-        known = coded.dictionary.to_pylist()
-        if len(self.at) > CACHE or len(self.parts) > CACHE:
-            self.clear()
-        of = list(map(self.at.get, known))
-        if None in of:
-            self._learn([w for w, i in zip(known, of, strict=True) if i is None])
-            of = list(map(self.at.__getitem__, known))
-        of = np.array(of, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
-        size = self.first[of + 1] - self.first[of]
-        total = np.cumsum(size)
-        n = int(total[-1]) if len(total) else 0
-        ids = self.flat[np.repeat(self.first[of] - (total - size), size) + np.arange(n)]
-        ends = np.concatenate([[0], total])[lists.offsets.to_numpy()]
-        return ids, np.diff(ends)
+        words = coded.dictionary
+        even = pc.and_not(pc.match_substring_regex(words, _EVEN), pc.match_substring(words, "<|")) if self.simple else pa.array(np.zeros(len(words), bool))
+        parts, many = _parted(words.filter(even))
+        odd = words.filter(pc.invert(even)).to_pylist()
+        even = even.to_numpy(zero_copy_only=False)
+        at = self._places(pc.dictionary_encode(parts), odd)
+        # ids of the different words, those parted by their bytes first
+        size = self.first[at + 1] - self.first[at]
+        flat = self.flat[_runs(self.first[at], size)]
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(np.concatenate([many, np.ones(len(odd), np.int64)]))])]
+        of = np.empty(len(words), np.int64)
+        of[np.concatenate([np.flatnonzero(even), np.flatnonzero(~even)])] = np.arange(len(words))
+        of = of[coded.indices.to_numpy(zero_copy_only=False)]
+        size = np.diff(ends)[of]
+        ids = flat[_runs(ends[of], size)]
+        return ids, np.diff(np.concatenate([[0], np.cumsum(size)])[lists.offsets.to_numpy()])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -323,7 +390,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str | None = None, en
             return pa.RecordBatch.from_pydict({"part": [part], "piece": [piece], "path": [path], "n_docs": [sum(map(len, packer.names))], "n_ids": [packer.n]})
 
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, ENCODE):
                 ids, counts = enc.encode(batch.column("text"))
                 ids = np.insert(ids, np.cumsum(counts), end_id)
                 names, counts = pc.fill_null(batch.column("doc_id"), NO_ID).to_numpy(zero_copy_only=False), counts + 1

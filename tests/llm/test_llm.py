@@ -183,6 +183,39 @@ def test_slices_of_a_batch_encode_alike():
     assert at == len(texts)
 
 
+def test_words_share_what_is_remembered_of_their_parts():
+    enc, rng = tokenpack.Encoder(tokenpack.tokenizer_path()), random.Random(44)
+    parts = ["the", "naïve", "ÉTÉ", "x", "Ÿž", "7", "42", "…", "×", ",", "...", "<|", "|>", "-", "'", "'s", "'ll", "'T", "中", "e\u0301", "\u00a0", "ĸ", "ŉ"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", "", " ", "\n\t"]) for _ in range(rng.randrange(40))) for _ in range(400)]
+    ids, counts = enc.encode(pa.array(texts))
+    for t, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert got.tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+    enc.clear()
+    marks, names = [".", ",", ";", "!?", ")"], ["été", "winter", "b"]
+    ids, _ = enc.encode(pa.array([" ".join(a + m + b for a in names for m in marks for b in names)]))
+    assert set(enc.at) == {*marks, *names} and ids.tolist() == enc.tok.encode(" ".join(a + m + b for a in names for m in marks for b in names), add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("top", [1, 40, 49408, 2**62])
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 700])
+def test_pack_takes_the_most_ids_that_fit(n, top):
+    rng, block = np.random.default_rng(n + top % 97), 64
+    ids = rng.integers(0, top, n, dtype=np.uint64) >> rng.integers(0, 50, n, dtype=np.uint64)
+    words, escapes, at, esc_at = tokenpack.pack(ids, block)
+    want, out, ends, esc_ends = [], [], [0], [0]
+    for b in range(0, n, block):
+        x = ids[b : b + block].tolist()
+        while x:
+            s = next((s for s, (many, bits) in enumerate(tokenpack.SELECTORS) if all(i < 1 << bits for i in x[:many])), tokenpack.ESCAPE)
+            many, bits = tokenpack.SELECTORS[s] if s < tokenpack.ESCAPE else (1, 0)
+            want.append(s << 60 | (sum(i << k * bits for k, i in enumerate(x[:many])) if bits else 0))
+            out += [] if bits else x[:1]
+            x = x[many:]
+        ends.append(len(want))
+        esc_ends.append(len(out))
+    assert words.tolist() == want and escapes.tolist() == out and at.tolist() == ends and esc_at.tolist() == esc_ends
+
+
 def test_files_end_with_the_document_that_fills_them(docs_of, tmp_path):
     rows = [(i, f"w{i} " * (i % 23)) for i in range(60)]
     whole = tokenpack.Packer(64)
