@@ -360,6 +360,17 @@ def test_remove_repeats_of_texts_without_ids(docs_of):
         assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, 40)
 
 
+def test_passages_of_many_words_go_from_400_bytes_on(docs_of):
+    """What is removed hangs on bytes, not words, and shows in n_removed; n_bytes is the whole text's length."""
+    rng = random.Random(9)
+    short, long = "".join(rng.choices("abcd ", k=399)), "".join(rng.choices("efgh ", k=400))
+    rows = [(i, f"{i}{p}{i + 1}") for i, p in enumerate([short, short, long, long, "alone"])]
+    got = suffix.remove_repeats(docs_of(rows)).collect()
+    assert min(len(short.split()), len(long.split())) > 50
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got) == [(i, len(t), 400 * (i in (2, 3)), int(i in (2, 3))) for i, t in rows]
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, 400)
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------
 def brute_components(rows, size, percent):
     def shingles(t):
