@@ -295,19 +295,32 @@ def token_windows(n: int, spans: list[tuple[int, int]], size: int, overlap: int
     return out
 
 
+#: Words whose places are counted together.
+_BLOCK = 64
+
+
 def word_windows(text: Column, size: int, overlap: int = 0) -> Column:
     """The windows of :func:`token_windows` over runs that aren't white space, as structs (start_pos, end_pos), by expressions
-    alone: a text's words stand in one array of places."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0))
-    gaps = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\s*)\S+"), F.lit(1))
-    spans = F.aggregate(
-        F.arrays_zip(gaps.alias("g"), words.alias("w")), F.expr("cast(array() as array<struct<a: int, b: int>>)"),
-        lambda acc, x: F.concat(acc, F.array(F.struct(
-            (F.coalesce(F.try_element_at(acc, F.lit(-1))["b"], F.lit(0)) + F.length(x["g"])).cast("int").alias("a"),
-            (F.coalesce(F.try_element_at(acc, F.lit(-1))["b"], F.lit(0)) + F.length(x["g"]) + F.length(x["w"])).cast("int").alias("b")))),
-    )
-    return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(size - overlap)), lambda i: (F.size(words) > 0) & ((i == 0) | (i + overlap < F.size(words)))),
-                       lambda i: F.struct(F.element_at(spans, i + 1)["a"].alias("start_pos"), F.element_at(spans, F.least(i + size, F.size(words)))["b"].alias("end_pos")))
+    alone. A text's words are found once; what stands before a word is known for every ``_BLOCK`` words and counted from there,
+    so that time grows with the text alone."""
+    step, nothing = size - overlap, F.array().cast("array<int>")
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\s*\S+"), F.lit(0))  # a word with the space before it
+    total = lambda lens, first, n: F.aggregate(F.slice(lens, first + 1, n), F.lit(0), lambda s, x: s + x)
+
+    def before(lens):  # places of the ends of blocks, from 0
+        blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(lens) - 1) / _BLOCK), F.lit(0)).cast("int"))
+        sums = F.transform(blocks, lambda j: total(lens, j * _BLOCK, F.lit(_BLOCK)))
+        add = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+        return F.aggregate(sums, F.concat(nothing, F.array(F.lit(0))), add)
+
+    def windows(words, lens, done):
+        place = lambda i: F.get(done, F.floor(i / _BLOCK).cast("int")) + total(lens, i - i % _BLOCK, i % _BLOCK)
+        space = lambda i: F.get(lens, i) - F.length(F.regexp_replace(F.get(words, i), r"^\s+", ""))
+        starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1, F.lit(step)), lambda i: (i == 0) | (i + overlap < F.size(words)))
+        pair = lambda i: F.struct((place(i) + space(i)).cast("int").alias("start_pos"), place(F.least(i + size, F.size(words))).cast("int").alias("end_pos"))
+        return F.when(F.size(words) > 0, F.transform(starts, pair)).otherwise(F.array().cast("array<struct<start_pos: int, end_pos: int>>"))
+
+    return _let(parts, lambda words: _let(F.transform(words, lambda w: F.length(w)), lambda lens: _let(before(lens), lambda done: windows(words, lens, done))))
 
 
 # ---- vectors of tokens ---------------------------------------------------------------------------------------------

@@ -228,8 +228,9 @@ o AS (SELECT conv_id, turn, list(a ORDER BY i) AS a, list(b ORDER BY i) AS b FRO
 (SELECT conv_id, turn, generate_subscripts(w, 1) AS i, length(unnest(w)) AS wl, length(unnest(g)) AS gl FROM t) WINDOW k AS (PARTITION BY conv_id, turn ORDER BY i)) GROUP BY ALL)
 SELECT conv_id, turn, a[s + 1]::INTEGER AS start_pos, b[least(s + 16, len(b))]::INTEGER AS end_pos FROM (SELECT *, unnest(range(0, len(a), 12)) AS s FROM o) WHERE s = 0 OR s + 4 < len(a)""")
 def word_windows(spark, d):
-    t = table(spark, d, "conversations").select("conv_id", "turn", F.explode(semantic.word_windows(F.col("text"), 16, 4)).alias("x"))
-    return t.select("conv_id", "turn", "x.*")
+    # outer, as else a filter on the windows' number is inferred that computes all of them a second time
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.explode_outer(semantic.word_windows(F.col("text"), 16, 4)).alias("x"))
+    return t.filter("x is not null").select("conv_id", "turn", "x.*")
 
 
 def _kinds(spark, d):
